@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import bpe, packing, splitting
+from quirelake.llm import alignment, bpe, langid, packing, splitting
 from quirelake.tables import load
 
 RANKS = os.path.join(bpe.TOKENIZER_DIR, "byte_bpe_50k.tiktoken")
@@ -18,6 +18,21 @@ def _limit(spark: SparkSession, sf_dir: str, name: str) -> tuple[int, int]:
     return row["max_size"], row["overlap"]
 
 
+def _prose_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs that are not code; pairs of unknown type count as prose."""
+    return load(spark, sf_dir, "recovered_chunk_pair").where("not (chunk_type <=> 'code')")
+
+
+def _language_model(spark: SparkSession, sf_dir: str) -> langid.LanguageModel:
+    names = ("documents", "recovered_chunk_pair", "lang_dir", "vocabulary")
+    return langid.fit_tables(spark, *(load(spark, sf_dir, name) for name in names))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _prose_pairs(spark, sf_dir)
+    return alignment.align(pairs, _language_model(spark, sf_dir), alignment.fit_tables(pairs))
+
+
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     max_size, overlap = _limit(spark, sf_dir, "chunk_content")
     return splitting.split_oversized(load(spark, sf_dir, "source_chunk"), max_size, overlap)
@@ -43,6 +58,7 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p6_ids": p6_ids,
