@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import alignment, bpe, langid, packing, splitting
+from quirelake.llm import alignment, bpe, defects, langid, packing, splitting
 from quirelake.tables import load
 
 RANKS = os.path.join(bpe.TOKENIZER_DIR, "byte_bpe_50k.tiktoken")
@@ -42,6 +42,67 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_pieces(spark, sf_dir).where("piece_no = 1").select("chunk_id", "cut_kind")
 
 
+def _pair_judge(spark: SparkSession, sf_dir: str) -> tuple[langid.LanguageModel, defects.Fitted, dict[int, int]]:
+    """Language model, defect classifier, and the language of each target directory."""
+    pairs, model = _prose_pairs(spark, sf_dir), _language_model(spark, sf_dir)
+    languages = defects.target_languages(pairs, model)
+    return model, defects.fit_tables(pairs, model, alignment.fit_tables(pairs), languages), languages
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, fitted, languages = _pair_judge(spark, sf_dir)
+    return defects.find_defects(_prose_pairs(spark, sf_dir), fitted, languages)
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of defective pairs per directory and defect, and of those with a failed call for the same chunk."""
+    failures = (
+        load(spark, sf_dir, "chunk_failure")
+        .join(load(spark, sf_dir, "path_map").select("relative_path", "path_checksum").distinct(), F.col("source_path") == F.col("relative_path"))
+        .groupBy("lang_dir_id", "path_checksum", "chunk_index")
+        .agg(F.count(F.lit(1)).alias("n_failures"))
+    )
+    pairs = load(spark, sf_dir, "recovered_chunk_pair").select("pair_id", "lang_dir_id", F.lower(F.trim("path_checksum")).alias("path_checksum"), "chunk_index")
+    return (
+        p4_found(spark, sf_dir)
+        .join(pairs, "pair_id")
+        .join(failures, ["lang_dir_id", "path_checksum", "chunk_index"], "left")
+        .groupBy("lang_dir_id", "defect")
+        .agg(F.count(F.lit(1)).alias("n_pairs"), F.count("n_failures").alias("n_with_failure"))
+    )
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wrong labels of documents and target directories, paragraphs of documents and sentences of targets in another
+    language."""
+    model, fitted, languages = _pair_judge(spark, sf_dir)
+    pairs = _prose_pairs(spark, sf_dir)
+    documents = langid.detect(load(spark, sf_dir, "documents"), "doc_id", "text", model, "paragraph", "lang")
+    of_documents = documents.where("seg_no > 0 or not label_fits").select(
+        F.lit("documents").alias("table_name"), F.col("id").alias("record_id"), "seg_no", "lang"
+    )
+    sentences = langid.detect(pairs, "pair_id", "tgt_text", model, "sentence").where("seg_no > 0")
+    defective = defects.find_defects(pairs, fitted, languages).select(F.col("pair_id").alias("id"))
+    of_pairs = sentences.join(defective, "id", "left_anti").select(
+        F.lit("recovered_chunk_pair").alias("table_name"), F.col("id").alias("record_id"), "seg_no", "lang"
+    )
+    labels = load(spark, sf_dir, "lang_dir").where("role = 'target'").select("lang_dir_id", "language").collect()
+    wrong = [
+        ("lang_dir", row["lang_dir_id"], 0, langid.LANGUAGES[number])
+        for row in labels
+        if (number := languages.get(row["lang_dir_id"])) is not None
+        and langid.canonical(row["language"]) != langid.LANGUAGES[number]
+    ]
+    of_dirs = spark.createDataFrame(wrong, "table_name string, record_id bigint, seg_no int, lang string")
+    return of_documents.unionByName(of_pairs).unionByName(of_dirs)
+
+
+def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document with a confidence."""
+    found = langid.detect(load(spark, sf_dir, "documents"), "doc_id", "text", _language_model(spark, sf_dir), "paragraph", "lang")
+    return found.where("seg_no = 0").select(F.col("id").alias("doc_id"), "lang", F.round("confidence", 6).alias("confidence"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_column(load(spark, sf_dir, "documents"), "doc_id", "text", RANKS)
 
@@ -61,6 +122,10 @@ QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p4_found": p4_found,
+    "p4_report": p4_report,
+    "p5_found": p5_found,
+    "p5_languages": p5_languages,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
