@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import alignment, bpe, defects, langid, packing, splitting
+from quirelake.llm import abuse, alignment, bpe, defects, langid, packing, splitting
 from quirelake.tables import load
 
 RANKS = os.path.join(bpe.TOKENIZER_DIR, "byte_bpe_50k.tiktoken")
@@ -118,6 +118,23 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p7_containers(spark, sf_dir), capacity)
 
 
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = load(spark, sf_dir, "documents")
+    return abuse.score(documents, abuse.fit_tables(documents, load(spark, sf_dir, "review_label")))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_scores(spark, sf_dir).where("is_abusive").select("doc_id")
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and share of abusive documents per source."""
+    abusive = F.count_if("is_abusive")
+    return p8_scores(spark, sf_dir).groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_documents"), abusive.alias("n_abusive"), F.round(abusive / F.count(F.lit(1)), 6).alias("rate")
+    )
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -129,6 +146,9 @@ QUERIES = {
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
+    "p8_rates": p8_rates,
 }
 SQL = {
     "p2_found": r"""
