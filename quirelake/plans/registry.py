@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quirelake.plans import reference_checks
+from quirelake.plans import reference_checks, status
 
-_MODULES = [reference_checks]
+_MODULES = [reference_checks, status]
 
 
 def queries() -> dict:
