@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quirelake.plans import reference_checks, status
+from quirelake.plans import memory_queries, reference_checks, status
 
-_MODULES = [reference_checks, status]
+_MODULES = [reference_checks, status, memory_queries]
 
 
 def queries() -> dict:
