@@ -123,10 +123,10 @@ def restore(xml: Column, placeholders: Column) -> Column:
     body = F.regexp_extract(xml, r"(?s)<TEXT>(.*)</TEXT>", 1)
     pieces = F.regexp_extract_all(body, F.lit(r'(?s)<PH id="[0-9]+">.*?</PH>|[^<]+'), F.lit(0))
 
-    def back(piece: Column) -> Column:
+    def back(piece: Column, known: Column) -> Column:
         number = F.regexp_extract(piece, r'^<PH id="([0-9]+)">', 1)
         inline = unescape(F.regexp_extract(piece, r"(?s)^<PH[^>]*>(.*)</PH>$", 1))
-        known = F.try_element_at(placeholders, number)
-        return F.when(number != "", F.coalesce(known, inline)).otherwise(unescape(piece))
+        return F.when(number != "", F.coalesce(F.try_element_at(known, number), inline)).otherwise(unescape(piece))
 
-    return F.array_join(F.transform(pieces, back), "")
+    # the map is repeated beside the pieces, so that it is made once a row and not once a piece
+    return F.array_join(F.zip_with(pieces, F.array_repeat(placeholders, F.size(pieces)), back), "")

@@ -62,10 +62,8 @@ def line_chunks(text: Column, n: int) -> Column:
     """The text in chunks of n lines; n <= 0 gives the whole text, an empty text no chunk."""
     if n <= 0:
         return F.when(text != "", F.array(text)).otherwise(F.array().cast("array<string>"))
-    lines = lines_with_ends(text)
-    starts = F.sequence(F.lit(0), F.ceil(F.size(lines) / n).cast("int") - 1)
-    chunks = F.transform(starts, lambda k: F.array_join(F.slice(lines, k * n + 1, F.lit(n)), ""))
-    return F.when(F.size(lines) > 0, chunks).otherwise(F.array().cast("array<string>"))
+    pattern = f"(?:[^{BREAKS}]*[{BREAKS}]|[^{BREAKS}]+){{1,{n}}}"
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
 def between(text: Column, start: str, end: str) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quirelake.plans import memory_queries, reference_checks, status
+from quirelake.plans import memory_queries, reference_checks, status, text_queries
 
-_MODULES = [reference_checks, status, memory_queries]
+_MODULES = [reference_checks, status, memory_queries, text_queries]
 
 
 def queries() -> dict:
