@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quirelake.plans import memory_queries, reference_checks, status, text_queries
+from quirelake.plans import memory_queries, pipeline_queries, reference_checks, status, text_queries
 
-_MODULES = [reference_checks, status, memory_queries, text_queries]
+_MODULES = [reference_checks, status, memory_queries, text_queries, pipeline_queries]
 
 
 def queries() -> dict:
