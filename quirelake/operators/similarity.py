@@ -66,15 +66,17 @@ def best_matches(queries: DataFrame, candidates: DataFrame, threshold: float = 0
     """query_id, checksum, score of the best candidate of the same group above the threshold.
 
     queries: grp, query_id, text, own (a checksum that does not count, or null); candidates: grp, checksum, text (a checksum once a group)."""
-    spread = candidates.select("grp", "checksum", "text").dropDuplicates(["grp", "checksum"]).withColumn("part", F.pmod(F.xxhash64("checksum"), F.lit(salts)))
+    # new names on one side, as both sides may come from one table
+    own = candidates.select(F.col("grp").alias("c_grp"), F.col("checksum").alias("c_checksum"), F.col("text").alias("c_text"))
+    spread = own.dropDuplicates(["c_grp", "c_checksum"]).withColumn("c_part", F.pmod(F.xxhash64("c_checksum"), F.lit(salts)))
     asked = queries.select("grp", "query_id", "text", "own").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = best_of(left["text"].tolist(), right["text"].tolist(), right["checksum"].tolist(), threshold, left["own"].tolist()) if len(left) and len(right) else [None] * len(left)
-        rows = [(q, right["checksum"].iloc[hit[1]], hit[0]) for q, hit in zip(left["query_id"], found) if hit]
+        found = best_of(left["text"].tolist(), right["c_text"].tolist(), right["c_checksum"].tolist(), threshold, left["own"].tolist()) if len(left) and len(right) else [None] * len(left)
+        rows = [(q, right["c_checksum"].iloc[hit[1]], hit[0]) for q, hit in zip(left["query_id"], found) if hit]
         return pd.DataFrame(rows, columns=["query_id", "checksum", "score"])
 
-    parts = asked.groupBy("grp", "part").cogroup(spread.groupBy("grp", "part")).applyInPandas(compare, "query_id bigint, checksum string, score double")
+    parts = asked.groupBy("grp", "part").cogroup(spread.groupBy("c_grp", "c_part")).applyInPandas(compare, "query_id bigint, checksum string, score double")
     # the best score; among equals the smallest checksum
     best = parts.groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("minus"), "checksum")).alias("best"))
     return best.select("query_id", "best.checksum", (-F.col("best.minus")).alias("score"))
