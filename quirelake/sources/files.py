@@ -14,7 +14,9 @@ SKIPPED_PARTS = ("/.", "/__pycache__/")
 
 
 def scan_texts(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """rel_path, doc_type, text of every file under root, with line breaks as in a text-mode read."""
+    """rel_path, doc_type, text of every file under root, with line breaks as in a text-mode read.
+
+    Files of no bytes have no row (the file source skips them); they would have no chunk either."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     root = os.path.abspath(root).rstrip("/")
     path = F.regexp_replace("path", "^file:/*", "/")
