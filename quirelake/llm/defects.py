@@ -47,31 +47,37 @@ REFUSALS = {
         "I'm sorry, but I can't translate this text.", "I cannot help with this request.", "As an AI model, I am not able to process this content.",
         "Unfortunately I have to decline to translate this passage.", "Please provide the text that you want me to translate.", "The guidelines do not allow me to continue.",
         "This content could not be processed.", "The request was declined.", "I am unable to assist with that.", "Could you paste the text to be translated?",
+        "I must decline to go on with this.", "My rules do not permit this translation.", "As a language model I cannot handle this request.", "Please send the text first.",
     ],
     "fr": [
         "Je suis désolé, mais je ne peux pas traduire ce texte.", "Je ne peux pas répondre à cette demande.", "En tant que modèle de langage, je ne peux pas traiter ce contenu.",
         "Malheureusement, je dois refuser de traduire ce passage.", "Veuillez fournir le texte à traduire.", "Il m'est impossible de continuer.", "Cette demande a été refusée.",
         "Ce contenu n'a pas pu être traité.", "Mes consignes ne me permettent pas de traduire cela.",
+        "Je dois refuser de poursuivre.", "Il m'est interdit de traduire ce texte.", "Désolé, je ne peux pas vous aider.", "Merci d'indiquer le texte à traduire.",
     ],
     "de": [
         "Es tut mir leid, aber ich kann diesen Text nicht übersetzen.", "Bei dieser Anfrage kann ich nicht helfen.", "Als Sprachmodell darf ich diesen Inhalt nicht verarbeiten.",
         "Leider muss ich die Übersetzung ablehnen.", "Bitte geben Sie den Text an, den ich übersetzen soll.", "Meine Richtlinien erlauben das nicht.", "Die Anfrage wurde abgelehnt.",
         "Der Inhalt konnte nicht verarbeitet werden.", "Dazu kann ich nichts sagen.",
+        "Ich muss diese Bitte ablehnen.", "Bitte senden Sie den zu übersetzenden Text.", "Es ist mir nicht gestattet, das zu bearbeiten.", "Entschuldigung, das kann ich nicht übersetzen.",
     ],
     "es": [
         "Lo siento, pero no puedo traducir este texto.", "No puedo ayudar con esta solicitud.", "Como modelo de lenguaje, no puedo procesar este contenido.",
         "Lamentablemente debo rechazar esta petición.", "Por favor, proporcione el texto que desea traducir.", "Mis directrices no me permiten continuar.", "La solicitud fue rechazada.",
         "No se pudo procesar el contenido.", "No me es posible atender esto.",
+        "Debo negarme a continuar.", "Indique el texto que hay que traducir.", "Tengo prohibido tratar este contenido.", "Disculpe, no puedo traducirlo.",
     ],
     "it": [
         "Mi dispiace, ma non posso tradurre questo testo.", "Non posso aiutare con questa richiesta.", "Come modello linguistico non posso elaborare questo contenuto.",
         "Purtroppo devo rifiutare di tradurre questo brano.", "Per favore, fornisci il testo da tradurre.", "Le mie linee guida non mi permettono di continuare.", "La richiesta è stata respinta.",
         "Il contenuto non può essere elaborato.", "Non mi è possibile rispondere.",
+        "Devo rifiutare questa richiesta.", "Indica il testo da tradurre.", "Non sono in grado di soddisfare la richiesta.", "Scusa, non posso tradurlo.",
     ],
     "uk": [
         "Вибачте, але я не можу перекласти цей текст.", "Я не можу допомогти з цим запитом.", "Як мовна модель, я не можу обробити цей вміст.",
         "На жаль, я мушу відмовитися від перекладу.", "Будь ласка, надайте текст для перекладу.", "Мої правила не дозволяють мені продовжувати.", "Запит відхилено.",
         "Вміст не вдалося обробити.", "Мені заборонено опрацьовувати це.",
+        "Я мушу відхилити цей запит.", "Вкажіть текст, який треба перекласти.", "Мені шкода, але я не можу виконати це прохання.", "Перепрошую, я цього не перекладу.",
     ],
 }
 #: Remarks that stand in good translations, to train on as harmless.
@@ -427,9 +433,15 @@ def judge(src_texts, tgt_texts, src_langs, majority, fitted: Fitted) -> list[str
     empty = [is_empty(t) for t in tgt_texts]
     if fitted.weights is None:
         return ["empty" if e else None for e in empty]
-    scores = _scores(features(src_texts, tgt_texts, src_langs, majority, fitted), fitted.weights) - fitted.thresholds
+    rows = features(src_texts, tgt_texts, src_langs, majority, fitted)
+    scores = _scores(rows, fitted.weights) - fitted.thresholds
+    wrong, wanted = LABELS.index("wrong_language"), NAMES.index("in_target_language")
     out: list[str | None] = []
     for k, e in enumerate(empty):
+        places, values = rows[k]
+        # a text that is partly in the directory's language is no case
+        if scores[k, wrong] > 0 and wanted in places and values[places.index(wanted)] > 0.2:
+            scores[k, wrong] = 0.0
         first = next((label for i, label in enumerate(LABELS) if scores[k, i] > 0), None)
         out.append("empty" if e else first)
     return out
