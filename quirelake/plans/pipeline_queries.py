@@ -58,7 +58,7 @@ def best_match(spark, sf_dir):
     """For every fiftieth chunk the most similar other chunk text of its file (queries against all rows of the file)."""
     chunks = _chunks(spark, sf_dir).select("chunk_id", F.coalesce(tidy_key("path_checksum"), F.lit("")).alias("grp"), F.col("content").alias("text"), "checksum")
     queries = chunks.where("chunk_id % 50 = 0").select("grp", F.col("chunk_id").alias("query_id"), "text", F.col("checksum").alias("own"))
-    found = similarity.best_matches(queries, chunks, similarity.EXAMPLE_THRESHOLD)
+    found = similarity.best_matches(queries, chunks)
     return found.select("query_id", "checksum", F.round("score", 6).alias("score"))
 
 
