@@ -285,7 +285,7 @@ def detect(
                     continue
                 ids = batch.column(0).to_numpy(zero_copy_only=False)[block.first : block.first + len(block.texts)]
                 sums, n_grams, n_words = scorer.sentences(seg)
-                main, odds = main_language(scorer.model, seg, sums, n_grams, n_words)
+                main, odds = main_language(scorer.model, seg, sums, n_grams, n_words, unit == "sentence")
                 has = np.flatnonzero(main >= 0)
                 words = grouped(n_words, seg.text, len(block.texts))
                 sure = confidences(odds[has])[np.arange(len(has)), main[has]] if len(has) else np.zeros(0)
@@ -297,8 +297,12 @@ def detect(
                 if unit == "paragraph":
                     group, number, of = seg.paragraph, seg.paragraph_number, seg.paragraph_text
                     n = len(of)
+                    each, has_words = scorer.model.log_odds(sums, n_grams), n_words > 0
                     sums, n_grams = grouped(sums, group, n), grouped(n_grams, group, n)
-                    spoken = grouped((n_words > 0).astype(np.int64), group, n)
+                    # sentences that are rather in the paragraph's language than in the text's
+                    best = scorer.model.log_odds(sums, n_grams).argmax(1)
+                    at, own = np.arange(len(each)), np.maximum(main[of], 0)
+                    spoken = grouped((has_words & (each[at, best[group]] > each[at, own[group]])).astype(np.int64), group, n)
                     n_words = grouped(n_words, group, n)
                 else:
                     number, of, spoken = seg.number, seg.text, np.full(len(seg.text), 2)
@@ -318,17 +322,23 @@ def detect(
     return source.mapInArrow(run, SEGMENT_SCHEMA)
 
 
-def main_language(model: LanguageModel, seg: Segments, sums: np.ndarray, n_grams: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def main_language(
+    model: LanguageModel, seg: Segments, sums: np.ndarray, n_grams: np.ndarray, n_words: np.ndarray, by_sentence: bool = False
+) -> tuple[np.ndarray, np.ndarray]:
     """The language of most words of each text, -1 where there are none, and the log odds of the whole text.
 
-    Each paragraph votes with its words for its own language, so that a text's language is that of most of it."""
-    n = len(seg.paragraph_text)
-    words = grouped(n_words, seg.paragraph, n)
-    best = model.log_odds(grouped(sums, seg.paragraph, n), grouped(n_grams, seg.paragraph, n)).argmax(1)
-    votes = np.zeros((n, len(LANGUAGES)))
-    votes[np.arange(n), best] = words
+    Each paragraph votes with its words for its own language, so that a text's language is that of most of it; or each
+    sentence with words has one vote, and words decide between equals."""
+    if by_sentence:
+        words, best, of = np.where(n_words > 0, 1 + 1e-3 * n_words, 0.0), model.log_odds(sums, n_grams).argmax(1) if len(sums) else np.zeros(0, np.int64), seg.text
+    else:
+        n = len(seg.paragraph_text)
+        words, of = grouped(n_words, seg.paragraph, n), seg.paragraph_text
+        best = model.log_odds(grouped(sums, seg.paragraph, n), grouped(n_grams, seg.paragraph, n)).argmax(1)
+    votes = np.zeros((len(words), len(LANGUAGES)))
+    votes[np.arange(len(words)), best] = words
     n_texts = len(seg.block.texts)
-    votes = grouped(votes, seg.paragraph_text, n_texts)
+    votes = grouped(votes, of, n_texts)
     odds = model.log_odds(grouped(sums, seg.text, n_texts), grouped(n_grams, seg.text, n_texts))
     # ties between languages go to the better score of the whole text
     main = (votes + 1e-6 * confidences(odds)).argmax(1)
