@@ -57,6 +57,14 @@ def _parser() -> argparse.ArgumentParser:
     p = add("query")
     p.add_argument("name")
     p.add_argument("data")
+    p = add("cache")
+    p.add_argument("action", choices=["clear"])
+    p.add_argument("memory")
+    p.add_argument("--missing-chunks", action="store_true")
+    p.add_argument("--all", action="store_true")
+    p.add_argument("--lang")
+    p.add_argument("--file")
+    p.add_argument("--keyword")
     p = add("migrate")
     p.add_argument("json")
     return top
@@ -93,6 +101,8 @@ def _run(args: argparse.Namespace) -> int:
         name = args.name if args.command == "query" else "status_grouping_sets" if args.files else "status_by_lang"
         registry.queries()[name](_session(), args.data).orderBy(1).show(1000, truncate=False)
         return 0
+    if args.command == "cache":
+        return _clear(args)
     path = nearest_upwards(".", settings.FILE_NAME)
     if path is None:
         raise settings.ConfigError("no project here")
@@ -108,6 +118,25 @@ def _run(args: argparse.Namespace) -> int:
     return 0
 
 
+def _clear(args: argparse.Namespace) -> int:
+    """Either what has lost its text, or everything in a scope; the scope's options need --all."""
+    if args.missing_chunks == args.all:
+        raise settings.ConfigError("give one of --missing-chunks and --all")
+    if not args.all and (args.lang or args.file or args.keyword is not None):
+        raise settings.ConfigError("--lang, --file and --keyword go with --all")
+    from hashlib import sha256
+
+    from quirelake.engine import Engine
+
+    engine = Engine(_session(), args.memory)
+    if args.missing_chunks:
+        engine.clear_missing()
+    else:
+        engine.clear(args.lang, sha256(settings.normal(args.file).encode()).hexdigest() if args.file else None, args.keyword)
+    print(f"version {engine.version()}")
+    return 0
+
+
 def _change(config: settings.ProjectConfig, args: argparse.Namespace) -> None:
     action = getattr(args, "action", None)
     if args.command == "lang":

@@ -66,6 +66,16 @@ def test_env_and_keys():
     assert config.resolve_keys({}, {"LLM_API_KEY": "f", "LLM_REASONING_API_KEY": "r"}) == ("f", "r") and config.resolve_keys({}, {}) == (None, None)
 
 
+def test_clearing_by_command(spark, tmp_path, capsys):
+    from quirelake.engine import Engine
+
+    engine = Engine(spark, str(tmp_path))
+    engine.persist(spark.createDataFrame([("p", "en", "fr", "a", "A")], "path_hash string, src_lang string, tgt_lang string, src_text string, tgt_text string"))
+    assert cli.main(["cache", "clear", str(tmp_path)]) == 1 and cli.main(["cache", "clear", str(tmp_path), "--missing-chunks", "--lang", "fr"]) == 1
+    assert cli.main(["cache", "clear", str(tmp_path), "--missing-chunks"]) == 0 and engine.pairs().count() == 1
+    assert cli.main(["cache", "clear", str(tmp_path), "--all", "--keyword", "A"]) == 0 and engine.pairs().count() == 0
+
+
 def test_command_line(tmp_path, monkeypatch, capsys):
     monkeypatch.chdir(tmp_path)
     assert cli.main(["info"]) == 1
