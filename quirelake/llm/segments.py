@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from quirelake.llm.textkernel import SPACE, Block, class_table
+from quirelake.llm.textkernel import LETTER, SPACE, Block, class_table
 
 _PROSE_FENCES = "note|warning|tip|important|caution|hint|danger|attention|seealso|admonition|exercise|theorem|proof"
 _CODE_ENVIRONMENTS = "equation|align|gather|multline|eqnarray|verbatim|Verbatim|lstlisting|minted|math|displaymath|tikzpicture"
@@ -118,7 +118,10 @@ class Segments:
         inside = np.concatenate([[False], _word_table()[self.plain.cps], [False]])
         starts = inside[1:-1] & (~inside[:-2] | opens[:n])
         finish = inside[1:-1] & (~inside[2:] | opens[1:])
-        self.word_begins, self.word_ends = np.flatnonzero(starts), np.flatnonzero(finish) + 1
+        begins, ends = np.flatnonzero(starts), np.flatnonzero(finish) + 1
+        # marks without a letter before them are no words
+        real = class_table()[self.plain.cps[begins]] == LETTER
+        self.word_begins, self.word_ends = begins[real], ends[real]
         #: first word of each sentence
         self.first_word = np.searchsorted(self.word_begins, self.begins)
         self.last_word = np.searchsorted(self.word_begins, self.ends)
