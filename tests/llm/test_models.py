@@ -228,3 +228,10 @@ def test_abuse_without_labels():
     block = Block([abuse.SEEDS[0], "The garden is green."])
     scores = scorer.passages(block, Segments(block))
     assert scores[0] > model.threshold > scores[1]
+
+
+def test_short_abusive_passages_are_scored_whole():
+    ratio, passage = np.array([5.0, 5.0, 4.0, 5.0, 5.0] + [-0.3] * 12), np.array([0, 0, 1] + [2] * 14)
+    scores = abuse.passage_scores(ratio, passage, 3)
+    # one and two words can pass, one odd pair in a long passage cannot
+    assert scores[0] > 0.8 and scores[1] > 0.8 and scores[2] < 0.3
