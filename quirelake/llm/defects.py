@@ -164,7 +164,7 @@ def features(src_texts: list[str | None], tgt_texts: list[str | None], src_langs
 
     as_source = share((spoken == own[of_sentence]) & (spoken >= 0))
     as_target = share((spoken == want[of_sentence]) & (spoken >= 0))
-    main, _ = main_language(fitted.language, tgt.seg, sums, n_grams, n_words, True)
+    main, _, _ = main_language(fitted.language, tgt.seg, sums, n_grams, n_words, True)
     other = share((spoken != own[of_sentence]) & (spoken != want[of_sentence]) & (spoken >= 0)) * ((main != own) & (main != want))
     # words: which translate, which repeat
     letters = ~tgt.is_number

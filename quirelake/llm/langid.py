@@ -254,8 +254,8 @@ def fit_tables(spark: SparkSession, documents: DataFrame, pairs: DataFrame, lang
 
 #: A segment counts as being in another language only if its log odds against the text's language reach this.
 MARGIN = 5.0
-#: A label is wrong only if the log odds of the text's language against the label's reach this.
-LABEL_MARGIN = 10.0
+#: The label of a text of at most `FEW_WORDS` is wrong only if the log odds of the text's language against it reach this.
+LABEL_MARGIN, FEW_WORDS = 10.0, 2
 SEGMENT_SCHEMA = "id bigint, seg_no int, lang string, confidence double, n_words int, main string, label_fits boolean"
 
 
@@ -270,8 +270,8 @@ def detect(
     """The language of every text (seg_no 0) and of each of its segments in another language (seg_no from 1).
 
     unit: `paragraph` (a block between blank lines, with two or more sentences in the language) or `sentence`.
-    `main` is the text's language; `label_fits` (of texts only) says whether the label names it, or a language that the
-    text can hardly be told from. Texts without a word of natural language have no rows. The model is broadcast: its
+    `main` is the text's language; `label_fits` (of texts only) says whether the label names it, or one of as many
+    words, or the text has too few words to be told. Texts without a word of natural language have no rows. The model is broadcast: its
     size is fixed by the number of hash places. Nothing is shuffled."""
     sent = df.sparkSession.sparkContext.broadcast(model)
 
@@ -285,14 +285,16 @@ def detect(
                     continue
                 ids = batch.column(0).to_numpy(zero_copy_only=False)[block.first : block.first + len(block.texts)]
                 sums, n_grams, n_words = scorer.sentences(seg)
-                main, odds = main_language(scorer.model, seg, sums, n_grams, n_words, unit == "sentence")
+                main, odds, votes = main_language(scorer.model, seg, sums, n_grams, n_words, unit == "sentence")
                 has = np.flatnonzero(main >= 0)
                 words = grouped(n_words, seg.text, len(block.texts))
                 sure = confidences(odds[has])[np.arange(len(has)), main[has]] if len(has) else np.zeros(0)
                 labels = [canonical(x) for x in batch.column(2).slice(block.first, len(block.texts)).to_pylist()]
                 label = np.array([LANGUAGES.index(x) if x else -1 for x in labels], np.int64)[has]
                 short = odds[has, main[has]] - odds[has, np.maximum(label, 0)]
-                fits = (label >= 0) & ((label == main[has]) | (short < LABEL_MARGIN))
+                # the label names the language of most words, or an equal one, or the text is too short to say
+                most = votes[has, np.maximum(label, 0)] >= votes[has, main[has]]
+                fits = (label >= 0) & (most | ((words[has] <= FEW_WORDS) & (short < LABEL_MARGIN)))
                 yield _rows(pa.array(ids[has]), [pa.array(np.zeros(len(has), np.int32)), pa.array(names[main[has]], pa.string()), pa.array(sure), pa.array(words[has].astype(np.int32)), pa.array(names[main[has]], pa.string()), pa.array(fits)])
                 if unit == "paragraph":
                     group, number, of = seg.paragraph, seg.paragraph_number, seg.paragraph_text
@@ -324,8 +326,8 @@ def detect(
 
 def main_language(
     model: LanguageModel, seg: Segments, sums: np.ndarray, n_grams: np.ndarray, n_words: np.ndarray, by_sentence: bool = False
-) -> tuple[np.ndarray, np.ndarray]:
-    """The language of most words of each text, -1 where there are none, and the log odds of the whole text.
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The language of most words of each text, -1 where there are none, the log odds of the whole text, and the votes.
 
     Each paragraph votes with its words for its own language, so that a text's language is that of most of it; or each
     sentence with words has one vote, and words decide between equals."""
@@ -342,4 +344,4 @@ def main_language(
     odds = model.log_odds(grouped(sums, seg.text, n_texts), grouped(n_grams, seg.text, n_texts))
     # ties between languages go to the better score of the whole text
     main = (votes + 1e-6 * confidences(odds)).argmax(1)
-    return np.where(votes.sum(1) > 0, main, -1), odds
+    return np.where(votes.sum(1) > 0, main, -1), odds, votes

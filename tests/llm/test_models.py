@@ -235,3 +235,12 @@ def test_short_abusive_passages_are_scored_whole():
     scores = abuse.passage_scores(ratio, passage, 3)
     # one and two words can pass, one odd pair in a long passage cannot
     assert scores[0] > 0.8 and scores[1] > 0.8 and scores[2] < 0.3
+
+
+def test_label_of_the_smaller_language_is_wrong(spark, model):
+    rng = random.Random(3)
+    # 49 French words and 45 Italian ones, whose log odds over the whole text speak for Italian
+    text = "\n\n".join(" ".join(sentence(lang, x) for x in plans(rng, 6)) for lang in ("fr", "it"))
+    df = spark.createDataFrame([(1, text, "it"), (2, text, "fr")], "key bigint, body string, label string")
+    got = {r.id: (r.lang, r.label_fits) for r in langid.detect(df, "key", "body", model, label_column="label").where("seg_no = 0").collect()}
+    assert got == {1: ("fr", False), 2: ("fr", True)}
