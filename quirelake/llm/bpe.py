@@ -4,6 +4,7 @@ Every distinct pre-token is merged once per worker: a segment tree over its byte
 least rank; each merge takes the root and makes two point updates, for the live neighbours of the merged pair, each
 logarithmic in the pre-token's length, so that a pre-token of a million bytes is no worse than as many short ones.
 Splitting into pre-tokens, finding known ones and writing out the ids is array code over whole blocks of texts.
+Known pre-tokens are found by a hash and then compared letter by letter, so that no id rests on a hash alone.
 
 Defined results: a null text and an empty text have no ids (an empty list, never null); special tokens are neither
 made nor recognised, their spellings are ordinary text; lone surrogates are encoded as U+FFFD; repeated texts get
@@ -23,8 +24,8 @@ from pyspark.sql import DataFrame
 from quirelake.llm.textkernel import LETTER, NUMBER, OTHER, SPACE, Block, HashIndex, blocks, class_table
 
 TOKENIZER_DIR = os.environ.get("QUIRELAKE_TOKENIZERS", "/opt/tokenizers")
-#: Distinct pre-tokens that a worker remembers before it starts afresh; this changes speed only.
-REMEMBERED = 1 << 20
+#: Distinct pre-tokens, and their characters, that a worker remembers before it starts afresh; this changes speed only.
+REMEMBERED, REMEMBERED_CHARS = 1 << 20, 1 << 24
 
 
 def read_ranks(path: str) -> bytes:
@@ -140,22 +141,34 @@ class Encoder:
 
     def _forget(self) -> None:
         self.index = HashIndex()
-        self.begins = np.zeros(1024, np.int64)
-        self.counts = np.zeros(1024, np.int64)
-        self.ids = np.zeros(4096, np.int32)
-        self.used = 0
-
-    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        numbers = self.index.add(hashes)
-        while len(self.begins) < self.index.n:
-            self.begins, self.counts = np.resize(self.begins, 2 * len(self.begins)), np.resize(self.counts, 2 * len(self.counts))
+        self.n = 0
+        #: per pre-token: place and number of its ids, place and length of its spelling
+        self.begins, self.counts, self.spelt, self.lengths = (np.zeros(1024, np.int64) for _ in range(4))
+        self.ids, self.letters = np.zeros(4096, np.int32), np.zeros(4096, np.uint32)
+        self.used = self.used_letters = 0
+        #: pre-tokens whose hash belongs to another one
+        self.odd: dict[str, int] = {}
+
+    def _learn(self, pieces: list[str]) -> np.ndarray:
+        """Numbers for new pre-tokens."""
+        numbers = np.arange(self.n, self.n + len(pieces))
+        self.n += len(pieces)
+        while len(self.begins) < self.n:
+            self.begins, self.counts, self.spelt, self.lengths = (np.resize(x, 2 * len(x)) for x in (self.begins, self.counts, self.spelt, self.lengths))
         for number, piece in zip(numbers.tolist(), pieces):
-            ids = merge(piece.encode("utf-8", "replace") if piece.isascii() else _utf8(piece), self.ranks)
+            ids = merge(piece.encode() if piece.isascii() else _utf8(piece), self.ranks)
+            letters = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
             while self.used + len(ids) > len(self.ids):
                 self.ids = np.resize(self.ids, 2 * len(self.ids))
+            while self.used_letters + len(letters) > len(self.letters):
+                self.letters = np.resize(self.letters, 2 * len(self.letters))
             self.ids[self.used : self.used + len(ids)] = ids
+            self.letters[self.used_letters : self.used_letters + len(letters)] = letters
             self.begins[number], self.counts[number] = self.used, len(ids)
+            self.spelt[number], self.lengths[number] = self.used_letters, len(letters)
             self.used += len(ids)
+            self.used_letters += len(letters)
+        return numbers
 
     def _known(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the pre-tokens and their numbers."""
@@ -165,15 +178,34 @@ class Encoder:
         numbers = self.index.find(hashes)
         missing = np.flatnonzero(numbers < 0)
         if len(missing):
-            if self.index.n > REMEMBERED:
+            if self.n > REMEMBERED or self.used_letters > REMEMBERED_CHARS:
                 self._forget()
                 missing = np.arange(len(starts))
             new, at = np.unique(hashes[missing], return_index=True)
             at = missing[at]
-            self._learn(new, [block.joined[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())])
+            self.index.add(new, self._learn([block.joined[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())]))
             numbers[missing] = self.index.find(hashes[missing])
+        if not len(starts):
+            return starts, numbers
+        # the pre-tokens tile the block: their spellings, one after the other, must be its text
+        size = ends - starts
+        wrong = np.flatnonzero(self.lengths[numbers] != size)
+        if not len(wrong):
+            spelt = self.letters[np.repeat(self.spelt[numbers] - starts, size) + np.arange(block.n)]
+            wrong = np.unique(np.searchsorted(starts, np.flatnonzero(spelt != block.cps), side="right") - 1)
+        else:
+            wrong = np.flatnonzero([self._spelling(k) != block.joined[s:e] for k, s, e in zip(numbers.tolist(), starts.tolist(), ends.tolist())])
+        for i in wrong.tolist():
+            piece = block.joined[starts[i] : ends[i]]
+            if piece not in self.odd:
+                self.odd[piece] = int(self._learn([piece])[0])
+            numbers[i] = self.odd[piece]
         return starts, numbers
 
+    def _spelling(self, number: int) -> str:
+        begin = self.spelt[number]
+        return self.letters[begin : begin + self.lengths[number]].tobytes().decode("utf-32-le", "surrogatepass")
+
     def count(self, block: Block) -> np.ndarray:
         """Number of tokens of each text of the block."""
         starts, numbers = self._known(block)

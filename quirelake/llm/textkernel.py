@@ -1,9 +1,10 @@
-"""Array code on many texts at once: code points, runs of character classes and 64-bit hashes of spans.
+"""Array code on many texts at once: code points, runs of character classes and 62-bit hashes of spans.
 
 The texts of an Arrow batch are laid end to end as one array of code points, in blocks of about a million, so that
-memory stays small whatever a batch or a text holds.  A span's hash is a polynomial in a fixed odd base over random
-64-bit values of the code points, read off prefix sums; equal spans have equal hashes at every place, and two of a
-million different spans collide with a probability below 1e-7.
+memory stays small whatever a batch or a text holds.  A span's hash joins two polynomials modulo the prime 2**31 - 1,
+each in a base and over values of the code points of its own, read off prefix sums; equal spans have equal hashes at
+every place.  Two different spans of n code points collide with a probability of about (n / 2**31)**2, whatever their
+form, as the modulus is prime; where a collision would falsify a result, spellings are compared besides (`bpe`).
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ import numpy as np
 
 BLOCK_CHARS = 1 << 20
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
-_BASE = 0x9E3779B97F4A7C15 | 1
+_PRIME = (1 << 31) - 1
+#: bases of the two polynomials
+_BASES = (1355236547, 961748927)
 #: Unicode White_Space (fixed values)
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -42,22 +45,35 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def _values() -> np.ndarray:
-    return _mixed(np.arange(sys.maxunicode + 1, dtype=np.uint64))
+@lru_cache(maxsize=2)
+def _values(k: int) -> np.ndarray:
+    """Values of the code points, from 1 to the prime less 1."""
+    return _mixed(np.arange(sys.maxunicode + 1, dtype=np.uint64) + np.uint64(k << 32)) % np.uint64(_PRIME - 1) + np.uint64(1)
+
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, for x below 2**62, as a number below 2**31 + 1."""
+    return (x & np.uint64(_PRIME)) + (x >> np.uint64(31))
 
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """At least n powers of the base and of its inverse modulo 2**64."""
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(max(n, BLOCK_CHARS + 1), base, np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.multiply.accumulate(steps)
-    return _POWERS[0], _POWERS[1]
+
+def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """At least n powers of each base and of its inverse modulo the prime."""
+    if not _POWERS or len(_POWERS[0][0]) < n:
+        made = []
+        for base in _BASES:
+            both = []
+            for b in (base, pow(base, -1, _PRIME)):
+                out, step = np.ones(1, np.uint64), b
+                while len(out) < max(n, BLOCK_CHARS + 1):
+                    out = np.concatenate([out, out * np.uint64(step) % np.uint64(_PRIME)])
+                    step = step * step % _PRIME
+                both.append(out)
+            made.append((both[0], both[1]))
+        _POWERS[:] = made
+    return _POWERS
 
 
 class Block:
@@ -72,23 +88,32 @@ class Block:
         #: the texts' starts, and the end of the last
         self.bounds = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(t) if t else 0 for t in texts], out=self.bounds[1:])
-        self._prefix: np.ndarray | None = None
+        self._prefix: list[np.ndarray] | None = None
 
     @property
     def n(self) -> int:
         return len(self.cps)
 
+    def _prefixes(self, cps: np.ndarray) -> list[np.ndarray]:
+        out = []
+        for k, (powers, _) in enumerate(_powers(self.n + 1)):
+            prefix = np.zeros(self.n + 1, np.uint64)
+            np.cumsum(_reduced(_values(k)[cps] * powers[: self.n]), out=prefix[1:])
+            out.append(prefix)
+        return out
+
     def hashes(self, starts: np.ndarray, ends: np.ndarray, cps: np.ndarray | None = None) -> np.ndarray:
         """Hash of each span; cps: other code points in the place of the block's own, such as case-folded ones."""
-        powers, inverse = _powers(self.n + 1)
-        if cps is None and self._prefix is not None:
-            prefix = self._prefix
+        if cps is not None:
+            prefixes = self._prefixes(cps)
         else:
-            prefix = np.zeros(self.n + 1, np.uint64)
-            np.cumsum(_values()[self.cps if cps is None else cps] * powers[: self.n], out=prefix[1:])
-            if cps is None:
-                self._prefix = prefix
-        return (prefix[ends] - prefix[starts]) * inverse[starts] ^ (ends - starts).astype(np.uint64)
+            prefixes = self._prefix = self._prefix or self._prefixes(self.cps)
+        halves = []
+        for prefix, (_, inverse) in zip(prefixes, _powers(self.n + 1)):
+            # differences stay below 2**31 times the number of code points
+            part = _reduced(_reduced(prefix[ends] - prefix[starts]))
+            halves.append(part * inverse[starts] % np.uint64(_PRIME))
+        return _mixed(halves[0] << np.uint64(31) | halves[1])
 
     def texts_of(self, at: np.ndarray) -> np.ndarray:
         """The place in the block of the text that holds each position."""
@@ -140,9 +165,10 @@ class HashIndex:
                 out[rest] = np.where(self.keys[at] == wanted, self.numbers[at], -1)
         return out
 
-    def add(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers for new, distinct hashes."""
-        new = np.arange(self.n, self.n + len(hashes))
+    def add(self, hashes: np.ndarray, new: np.ndarray | None = None) -> np.ndarray:
+        """Numbers for new, distinct hashes: those given, else the next ones."""
+        if new is None:
+            new = np.arange(self.n, self.n + len(hashes))
         self.n += len(hashes)
         keys, numbers = np.concatenate([self.keys, hashes]), np.concatenate([self.numbers, new])
         order = np.argsort(keys, kind="stable")

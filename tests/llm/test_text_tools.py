@@ -51,6 +51,25 @@ def test_encoding_edges(encoder, public):
     assert [int(n) for b in blocks(texts, 100) for n in encoder.count(b)] == [len(public.encode_ordinary(t)) if t else 0 for t in texts]
 
 
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_that_collide_modulo_powers_of_two_keep_their_ids(public, n):
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    texts = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+    block = Block(texts)
+    assert len(set(block.hashes(block.bounds[:-1], block.bounds[1:]).tolist())) == 2
+    fresh = bpe.Encoder(bpe.parse_ranks(bpe.read_ranks(RANKS)))
+    assert encoded(fresh, [" ".join(texts)]) == [public.encode_ordinary(" ".join(texts))]
+
+
+@pytest.mark.parametrize("texts", [["one two three", "four five six one"], ["abc abd abe", "abd abc xyz abe"]])
+def test_no_id_rests_on_a_hash(public, texts, monkeypatch):
+    monkeypatch.setattr(Block, "hashes", lambda self, starts, ends, cps=None: (ends - starts).astype("uint64"))
+    fresh = bpe.Encoder(bpe.parse_ranks(bpe.read_ranks(RANKS)))
+    for _ in range(2):
+        assert encoded(fresh, texts) == [public.encode_ordinary(t) for t in texts]
+    assert [int(c) for b in blocks(texts) for c in fresh.count(b)] == [len(public.encode_ordinary(t)) for t in texts]
+
+
 def test_encode_column(spark, public):
     df = spark.createDataFrame([(1, "a b", "x"), (2, None, "y"), (3, "", "z"), (3, "", "z")], "doc_id bigint, text string, ids string")
     assert sorted((r.doc_id, r.ids) for r in bpe.encode_column(df, "doc_id", "text", RANKS).collect()) == [(1, public.encode_ordinary("a b")), (2, []), (3, []), (3, [])]
