@@ -1,24 +1,30 @@
 """Pairing of the sentences of two texts that are rough translations of each other.
 
 Method: length-based dynamic programming.  A translated sentence's length is modelled as normally distributed around
-`c` times its source's, with a variance in proportion to it (`c` and the variance are estimated for each direction);
-the best path over the beads one-to-one, omission, insertion, merge and split is found exactly.  As in the two-pass
-variant of the method, a first pass on lengths and shared numbers over a bounded sample of pairs yields sentence pairs
-from which a word-translation table is estimated (expectation maximisation); the bead costs of the second pass, over
-all rows, add how much of both sides' words translate each other.  The path is monotone, so two things follow it:
+`c` times its source's, with a variance in proportion to it; the best path over the beads one-to-one, omission,
+insertion, merge and split is found exactly, by rows, for many pairs at once.  As in the two-pass variant of the method,
+a first pass on lengths and shared numbers over all pairs yields one-to-one sentences, from which the length model and a
+word table are estimated; the bead costs of the second pass add how much of both sides' words translate each other.  The
+path is monotone, so two things follow it:
 
 * a check drops beads whose words are known and do not translate each other (a remark beside a left-out sentence),
-* sentences left over are matched to the best place in the other text whose words are not yet accounted for, which
-  recovers sentences that were moved, or joined with a distant one.
+* what is left over goes through the same cost once more, without order: bead by bead, cheapest first, each of which must
+  explain a new part of both sentences.  This recovers sentences that were moved, or joined with a distant one.
+
+`via` of a rendering says which of the two found it: `path` or `moved`.
 
 Sentences of the target that are in the source's language are no renderings and take no part.
 
-Bounds: the length model and the word table are fitted on at most `SAMPLE` pairs, which bounds both; all rows are
-aligned.  Texts of up to `WIDE` sentences are searched in full; beyond that the path keeps within `BAND` sentences of
-the diagonal, and the last step, which knows no band, finds what moved further.
+Word table: co-occurrence in one-to-one sentences, counted over all pairs in Spark, a row a word pair and task; words
+translate each other if their association (phi squared) is at least half of the target word's best one and significant.
+The table sent to the workers has at most `TABLE_ROWS` rows, those with most evidence.
+
+Memory: a path keeps two rows and a byte for each cell; beyond `KEPT` cells only the rows that open a strip are kept and
+the strips are run again from the last one back, with the same result.
 
 Defined results: null, empty and blank texts give no rows; ties go to the earlier sentence; sentences without known
-words are paired by length and place alone; repeated rows are aligned alike.
+words are paired by length and place alone; repeated rows are aligned alike; pairs of unknown type or source language
+are aligned like any other.
 """
 
 from __future__ import annotations
@@ -29,18 +35,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirelake.llm.langid import LANGUAGES, LanguageModel, bounded_sample, canonical, scorer_of
-from quirelake.llm.segments import Segments, lower_table, segment
-from quirelake.llm.textkernel import LETTER, NUMBER, Block, class_table, hash_of
+from quirelake.llm.langid import LANGUAGES, LanguageModel, canonical, scorer_of
+from quirelake.llm.segments import Segments, lower_table, segment, unwrapped
+from quirelake.llm.textkernel import BLOCK_CHARS, LETTER, NUMBER, Block, _mixed, class_table, hash_of
+from quirelake.runtime import durable
 
-SAMPLE = 10000
-WIDE, BAND = 400, 120
+TABLE_ROWS = 1 << 18
 #: beads (source sentences, target sentences) and their prior probabilities (fixed values of the published method)
 BEADS = (((1, 1), 0.89), ((1, 0), 0.0099), ((0, 1), 0.0099), ((2, 1), 0.0445), ((1, 2), 0.0445), ((2, 2), 0.011))
 PRIOR = {bead: -math.log(p) for bead, p in BEADS}
+_CODES = list(PRIOR)
 #: how much full mutual translation is worth against none
 LEXICAL = 24.0
 NUMBER_WEIGHT = 3.0
@@ -48,10 +55,30 @@ NUMBER_WEIGHT = 3.0
 NEW_PART = 0.3
 #: a target sentence is in the source's language if its log odds against every other one reach this
 SAME_LANGUAGE = 2.0
-PAIRS = 4000
+#: cells that are held at once, and cells of a path whose beads are kept; these change memory and speed only
+CELLS, KEPT, LINKS = 1 << 20, 1 << 26, 1 << 21
+#: pairs of more source sentences are searched by themselves, those with few target sentences by target
+TALL, THIN = 1024, 256
+#: least number of sentences, and least log likelihood ratio, for two words to be taken for translations
+LEAST_SEEN, LEAST_EVIDENCE = 3, 15.0
 
 
 _LANGUAGE_KEYS = np.array([hash_of(f"from {code}") for code in (*LANGUAGES, "?")], np.uint64)
+_MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def pair_blocks(*columns: list[str | None], chars: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose texts have about so many characters together; a row is never divided."""
+    begin = size = 0
+    n = len(columns[0])
+    for i in range(n):
+        more = sum(len(c[i]) for c in columns if c[i])
+        if size and size + more > chars:
+            yield begin, i
+            begin, size = i, 0
+        size += more
+    if begin < n:
+        yield begin, n
 
 
 def source_codes(labels: list[str | None]) -> list[int]:
@@ -79,10 +106,12 @@ def tokens(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Side:
     """Sentences of one side of a block of pairs, with their tokens."""
 
-    def __init__(self, texts: list[str | None], with_plain: bool = False, codes: list[int] | None = None):
+    def __init__(self, texts: list[str | None], with_plain: bool = False, codes: list[int] | None = None, blanked: list[str | None] | None = None):
+        """blanked: the texts with what does not count, such as tags, blanked out at equal length."""
         self.block = Block(texts)
         self.seg = segment(self.block) if with_plain else Segments(self.block)
-        begins, self.hashes, self.is_number = tokens(self.block)
+        self.inked = Block(blanked) if blanked is not None else self.block
+        begins, self.hashes, self.is_number = tokens(self.inked)
         sentence = np.searchsorted(self.seg.begins, begins, side="right") - 1
         self.sentence = sentence
         self.text = self.seg.text[sentence] if len(sentence) else np.zeros(0, np.int64)
@@ -93,7 +122,7 @@ class Side:
 
     def _lengths(self) -> np.ndarray:
         """Characters of each sentence without the white space around it, near enough."""
-        ink = np.concatenate([[0], np.cumsum(self.block.cps > 32)])
+        ink = np.concatenate([[0], np.cumsum(self.inked.cps > 32)])
         return (ink[self.seg.ends] - ink[self.seg.begins]).astype(float)
 
 
@@ -125,269 +154,579 @@ def _expand(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
 
 
-def _token_links(src: Side, tgt: Side, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Source and target tokens of the same pair that translate each other, and the weights of all tokens."""
-    sw, tw = lexicon.weight(src.hashes, src.is_number), lexicon.weight(tgt.hashes, tgt.is_number)
-    # candidates: every target token, with the source words that it may stand for; itself where it is unknown
-    if len(lexicon.target):
-        row, at = _expand(np.searchsorted(lexicon.target, tgt.keys), np.searchsorted(lexicon.target, tgt.keys, side="right"))
-        known = lexicon.source[at]
-    else:
-        row, known = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    same = np.flatnonzero(tgt.is_number | (tw == 0))
-    row, wanted = np.concatenate([row, same]), np.concatenate([known, tgt.hashes[same]])
-    # source tokens by (pair, word)
-    mix = np.uint64(0x9E3779B97F4A7C15)
-    key = src.hashes ^ (src.text.astype(np.uint64) * mix)
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    want = wanted ^ (tgt.text[row].astype(np.uint64) * mix)
-    hit, at = _expand(np.searchsorted(key, want), np.searchsorted(key, want, side="right"))
-    t, s = row[hit], order[at]
-    good = src.text[s] == tgt.text[t]
-    t, s = t[good], s[good]
-    return s, t, sw, tw
-
-
-def overlaps_of_tokens(src: Side, tgt: Side, lexicon: Lexicon):
-    """Which source and target tokens have a counterpart, the source tokens' weights, and (source sentence, target
-    sentence, weight of the target's words that translate some word of the source's, weight of the source's)."""
-    s, t, sw, tw = _token_links(src, tgt, lexicon)
-    met_s, met_t = np.zeros(len(src.hashes), bool), np.zeros(len(tgt.hashes), bool)
-    met_s[s], met_t[t] = True, True
-    n_tgt = max(1, len(tgt.seg.begins))
-    cell = src.sentence[s].astype(np.int64) * n_tgt + tgt.sentence[t]
-
-    def summed(token: np.ndarray, weights: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Each token counts once in each cell."""
-        cells, number = np.unique(cell, return_inverse=True)
-        code = np.unique(number.astype(np.int64) * max(1, n) + token)
-        return cells, np.bincount(code // max(1, n), weights[code % max(1, n)], len(cells))
-
-    cells, of_t = summed(t, np.where(tw > 0, tw, 1.0), len(tgt.hashes))
-    _, of_s = summed(s, sw, len(src.hashes))
-    return met_s, met_t, sw, (cells // n_tgt, cells % n_tgt, of_t, of_s)
-
-
-def overlaps(src: Side, tgt: Side, lexicon: Lexicon):
-    """For sentences i of the source and j of the target of the same pair: the weight of i's words that some word of j
-    translates, and of j's words that translate some word of i. Also the known weight of every sentence, and a function that names the words."""
-    s, t, sw, tw = _token_links(src, tgt, lexicon)
-    n_tgt = max(1, len(tgt.seg.begins))
-    cell = src.sentence[s].astype(np.int64) * n_tgt + tgt.sentence[t]
-
-    def summed(token, weights):
-        """Each token counts once in each cell."""
-        code = np.unique(cell * np.int64(1 << 22) + (token & ((1 << 22) - 1))) if len(cell) else cell
-        cells, token = code >> 22, code & ((1 << 22) - 1)
-        return cells, weights[token], token
-
-    cells_s, ws, tokens_s = summed(s, np.where(sw > 0, sw, 1.0))
-    cells_t, wt, tokens_t = summed(t, np.where(tw > 0, tw, 1.0))
-
-    def matched(i: int, j: int) -> tuple[dict[int, float], dict[int, float]]:
-        """Words of i and of j (numbers in the block) that translate each other, with their weights."""
-        out = []
-        for cells, tokens, weights in ((cells_s, tokens_s, ws), (cells_t, tokens_t, wt)):
-            a, b = np.searchsorted(cells, [i * n_tgt + j, i * n_tgt + j + 1])
-            out.append(dict(zip(tokens[a:b].tolist(), weights[a:b].tolist())))
-        return out[0], out[1]
-
-    cells, inverse = np.unique(np.concatenate([cells_s, cells_t]), return_inverse=True)
-    of_s = np.bincount(inverse[: len(cells_s)], ws, len(cells))
-    of_t = np.bincount(inverse[len(cells_s) :], wt, len(cells))
-    known_s = np.bincount(src.sentence, sw, len(src.seg.begins))
-    known_t = np.bincount(tgt.sentence, tw, len(tgt.seg.begins))
-    return cells // n_tgt, cells % n_tgt, of_s, of_t, known_s, known_t, matched
-
-
-def length_cost(a: float, b: float, lexicon: Lexicon) -> float:
-    """-log of the probability of a length at least as far from what the source's length makes likely."""
-    mean = (a + b / lexicon.ratio) / 2
-    if mean <= 0:
-        return 0.0
-    delta = abs(b - a * lexicon.ratio) / math.sqrt(mean * lexicon.variance)
-    return min(-math.log(max(math.erfc(delta / math.sqrt(2)), 1e-12)), 20.0)
-
-
-def best_path(la: list[float], lb: list[float], ka: list[float], kb: list[float], cells: dict[tuple[int, int], tuple[float, float]], lexicon: Lexicon, lexical: float = LEXICAL) -> list[tuple[int, int, int, int]]:
-    """Beads (first source, number, first target, number) of the cheapest path."""
-    m, n = len(la), len(lb)
-    infinite = float("inf")
-    cost = [[infinite] * (n + 1) for _ in range(m + 1)] if m * n <= WIDE * WIDE else [dict() for _ in range(m + 1)]
-    banded = m * n > WIDE * WIDE
-    back: list = [dict() for _ in range(m + 1)]
-    none = (0.0, 0.0)
-
-    def bead_cost(i: int, a: int, j: int, b: int) -> float:
-        out = PRIOR[a, b]
-        if not a or not b:
-            return out
-        out += length_cost(sum(la[i : i + a]), sum(lb[j : j + b]), lexicon)
-        known = sum(ka[i : i + a]) + sum(kb[j : j + b])
-        if known > 0:
-            of_s = of_t = 0.0
-            for x in range(i, i + a):
-                for y in range(j, j + b):
-                    s, t = cells.get((x, y), none)
-                    of_s += s
-                    of_t += t
-            shared = min(of_s, sum(ka[i : i + a]) or of_s) + min(of_t, sum(kb[j : j + b]) or of_t)
-            out += lexical * (0.5 - min(1.0, shared / known)) * min(1.0, known / 8)
-        return out
 
-    get = (lambda i, j: cost[i].get(j, infinite)) if banded else (lambda i, j: cost[i][j])
-    cost[0][0] = 0.0
-    for i in range(m + 1):
-        lo, hi = (0, n) if not banded else (max(0, i * n // m - BAND), min(n, i * n // m + BAND))
-        for j in range(lo, hi + 1):
-            if i == 0 and j == 0:
-                continue
-            best, how = infinite, None
-            for a, b in PRIOR:
-                if a <= i and b <= j:
-                    before = get(i - a, j - b)
-                    if before < best:
-                        c = before + bead_cost(i - a, a, j - b, b)
-                        if c < best:
-                            best, how = c, (a, b)
-            if how:
-                cost[i][j] = best
-                back[i][j] = how
-    beads, i, j = [], m, n
-    while i or j:
-        a, b = back[i][j]
-        beads.append((i - a, a, j - b, b))
+class Entries:
+    """Words of the sentences of a block of pairs, once a sentence, and which of them translate each other."""
+
+    def __init__(self, src: Side, tgt: Side, lexicon: Lexicon, use: np.ndarray | None = None):
+        #: source words: sentence, key (word and pair), weight; in the order of sentences
+        self.sw, self.tw = lexicon.weight(src.hashes, src.is_number), lexicon.weight(tgt.hashes, tgt.is_number)
+        key = src.hashes ^ (src.text.astype(np.uint64) * _MIX)
+        self.s_key = key
+        self.a_key, self.a_at, self.a_w, _, _ = self._once(key, src.sentence, np.where(self.sw > 0, self.sw, 1.0))
+        first = np.arange(len(src.seg.begins) + 1)
+        self.a_first = np.searchsorted(self.a_at, first)
+        _, self.e_at, self.e_w, token, self.e_of = self._once(tgt.hashes, tgt.sentence, np.where(self.tw > 0, self.tw, 1.0))
+        self.e_first = np.searchsorted(self.e_at, np.arange(len(tgt.seg.begins) + 1))
+        # candidates: the source words that each target word may stand for; itself where it is unknown
+        keys = tgt.keys[token]
+        if len(lexicon.target):
+            row, at = _expand(np.searchsorted(lexicon.target, keys), np.searchsorted(lexicon.target, keys, side="right"))
+            known = lexicon.source[at]
+        else:
+            row, known = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        same = np.flatnonzero(tgt.is_number[token] | (self.tw[token] == 0))
+        e, wanted = np.concatenate([row, same]), np.concatenate([known, tgt.hashes[token][same]])
+        if use is not None:
+            kept = use[self.e_at[e]]
+            e, wanted = e[kept], wanted[kept]
+        wanted = wanted ^ (tgt.text[token][e].astype(np.uint64) * _MIX)
+        order = np.argsort(wanted, kind="stable")
+        self.wanted, self.wanted_e = wanted[order], e[order]
+        exact = _mixed(wanted ^ ((self.e_at[e].astype(np.uint64) + np.uint64(1)) * _MIX2))
+        order = np.argsort(exact, kind="stable")
+        self.exact, self.exact_e = exact[order], e[order]
+        self.known_s = np.bincount(src.sentence, self.sw, len(src.seg.begins))
+        self.known_t = np.bincount(tgt.sentence, self.tw, len(tgt.seg.begins))
+        self.n_tgt = max(1, len(tgt.seg.begins))
+
+    @staticmethod
+    def _once(key: np.ndarray, sentence: np.ndarray, weight: np.ndarray):
+        """Keys, sentences and summed weights of the words of each sentence, a token of each, and each token's place."""
+        order = np.lexsort((key, sentence))
+        k, at = key[order], sentence[order]
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (at[1:] != at[:-1])
+        starts = np.flatnonzero(new)
+        total = np.add.reduceat(weight[order], starts) if len(starts) else np.zeros(0)
+        place = np.zeros(len(k), np.int64)
+        place[order] = np.cumsum(new) - 1
+        return k[new], at[new], total, order[new], place
+
+    def met(self) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each source and each target token has a counterpart somewhere in its pair."""
+        if not len(self.wanted) or not len(self.s_key):
+            return np.zeros(len(self.s_key), bool), np.zeros(len(self.e_of), bool)
+        known = np.sort(self.s_key)
+        hit = known[np.minimum(np.searchsorted(known, self.wanted), len(known) - 1)] == self.wanted
+        entry = np.zeros(len(self.e_at), bool)
+        entry[self.wanted_e[hit]] = True
+        at = np.minimum(np.searchsorted(self.wanted, self.s_key), len(self.wanted) - 1)
+        return self.wanted[at] == self.s_key, entry[self.e_of]
+
+    def cells(self, first: int, last: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(source sentence, target sentence, weight of the source's words that the target translates, and of the
+        target's that translate a word of the source) for the source sentences first..last, in order, in parts."""
+        a0, a1 = int(self.a_first[first]), int(self.a_first[last])
+        lo = np.searchsorted(self.wanted, self.a_key[a0:a1])
+        hi = np.searchsorted(self.wanted, self.a_key[a0:a1], side="right")
+        total = np.concatenate([[0], np.cumsum(hi - lo)])
+        begin = first
+        while begin < last:
+            x = int(self.a_first[begin]) - a0
+            # as many sentences as have LINKS links, at least one
+            stop = int(np.searchsorted(total, total[x] + LINKS, side="right")) - 1
+            end = max(begin + 1, int(np.searchsorted(self.a_first[: last + 1], stop + a0, side="right")) - 1)
+            end = min(end, last)
+            y = int(self.a_first[end]) - a0
+            a, at = _expand(lo[x:y], hi[x:y])
+            a, e = a + a0 + x, self.wanted_e[at]
+            cell = self.a_at[a].astype(np.int64) * self.n_tgt + self.e_at[e]
+            n_a, n_e = max(1, len(self.a_key)), max(1, len(self.e_at))
+            local, cell_at = np.unique(cell, return_inverse=True)
+            u, v = np.unique(cell_at * n_a + a), np.unique(cell_at * n_e + e)
+            of_s = np.bincount(u // n_a, self.a_w[u % n_a], len(local))
+            of_t = np.bincount(v // n_e, self.e_w[v % n_e], len(local))
+            yield local // self.n_tgt, local % self.n_tgt, of_s, of_t
+            begin = end
+
+    def words_of(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The words that translate each other in the cells (i, j): (number of the cell, source word), (number of the
+        cell, target word), sorted by cell."""
+        cell, a = _expand(self.a_first[i], self.a_first[np.asarray(i, np.int64) + 1])
+        want = _mixed(self.a_key[a] ^ ((np.asarray(j)[cell].astype(np.uint64) + np.uint64(1)) * _MIX2))
+        hit, at = _expand(np.searchsorted(self.exact, want), np.searchsorted(self.exact, want, side="right"))
+        cell, a, e = cell[hit], a[hit], self.exact_e[at]
+        n_a, n_e = max(1, len(self.a_key)), max(1, len(self.e_at))
+        u, v = np.unique(cell * n_a + a), np.unique(cell * n_e + e)
+        return u // n_a, u % n_a, v // n_e, v % n_e
+
+    def sums_of(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        c, a, d, e = self.words_of(i, j)
+        return np.bincount(c, self.a_w[a], len(i)), np.bincount(d, self.e_w[e], len(i))
+
+
+# -- paths ------------------------------------------------------------------------------------------------------------
+
+#: coefficients of the rational Chebyshev form of erfc (fixed values, relative error below 1.2e-7)
+_ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
+def length_cost(a, b, lexicon: Lexicon):
+    """-log of the probability of a length at least as far from what the source's length makes likely, 20 at most."""
+    mean = (a + b / lexicon.ratio) * (0.5 * lexicon.variance)
+    z = np.abs(b - a * lexicon.ratio) / np.sqrt(2.0 * np.maximum(mean, 1e-9))
+    t = 1.0 / (1.0 + 0.5 * z)
+    poly = _ERFC[-1]
+    for c in _ERFC[-2::-1]:
+        poly = poly * t + c
+    return np.where(mean > 0, np.clip(z * z - poly - np.log(t), 0.0, 20.0), 0.0)
+
+
+class Paths:
+    """The paths of several pairs of as many source sentences, row by row; targets are padded at the end."""
+
+    def __init__(self, la: np.ndarray, lb: np.ndarray, ka: np.ndarray, kb: np.ndarray, lexicon: Lexicon, lexical: float, swapped: bool = False):
+        self.la, self.ka, self.lexicon, self.lexical = la, ka, lexicon, lexical
+        #: lengths and known weights of one and of two target sentences
+        self.lb = (lb, lb[:, :-1] + lb[:, 1:])
+        self.kb = (kb, kb[:, :-1] + kb[:, 1:])
+        self.swapped = swapped
+        self.steps = np.arange(lb.shape[1] + 1) * PRIOR[0, 1]
+        self.before: list[np.ndarray] = [np.tile(self.steps, (len(la), 1))]
+        #: matches of the row before
+        self.last: tuple[np.ndarray, np.ndarray] | None = None
+
+    def opening(self) -> np.ndarray:
+        return np.full(self.before[0].shape, _CODES.index((0, 1)), np.uint8)
+
+    def _bead(self, i: int, a: int, b: int, s: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Cost of the beads of source sentences i - a..i and each b target sentences with these matches."""
+        la, ka = self.la[:, i - a : i].sum(1)[:, None], self.ka[:, i - a : i].sum(1)[:, None]
+        lb, kb = self.lb[b - 1], self.kb[b - 1]
+        cost = (length_cost(lb, la, self.lexicon) if self.swapped else length_cost(la, lb, self.lexicon)) + PRIOR[(b, a) if self.swapped else (a, b)]
+        known = ka + kb
+        shared = np.minimum(s, np.where(ka > 0, ka, np.inf)) + np.minimum(t, np.where(kb > 0, kb, np.inf))
+        value = self.lexical * (0.5 - np.minimum(1.0, shared / np.maximum(known, 1e-9))) * np.minimum(1.0, known / 8)
+        return cost + np.where(known > 0, value, 0.0)
+
+    def row(self, i: int, s: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Goes on to row i, of the matches s and t of source sentence i - 1; the bead that ends in each cell."""
+        one = self.before[-1]
+        n = one.shape[1] - 1
+        cost = one + PRIOR[1, 0]
+        how = np.full(one.shape, _CODES.index((1, 0)), np.uint8)
+
+        def offer(a: int, b: int, from_row: np.ndarray, s: np.ndarray, t: np.ndarray) -> None:
+            made = from_row[:, : n + 1 - b] + self._bead(i, a, b, s, t)
+            here = cost[:, b:]
+            better = made < here
+            here[better] = made[better]
+            how[:, b:][better] = _CODES.index((a, b))
+
+        offer(1, 1, one, s, t)
+        if n > 1:
+            offer(1, 2, one, s[:, :-1] + s[:, 1:], t[:, :-1] + t[:, 1:])
+        if i > 1 and self.last is not None:
+            s2, t2 = s + self.last[0], t + self.last[1]
+            offer(2, 1, self.before[-2], s2, t2)
+            if n > 1:
+                offer(2, 2, self.before[-2], s2[:, :-1] + s2[:, 1:], t2[:, :-1] + t2[:, 1:])
+        # insertions: the best cell before in the row
+        level = cost - self.steps
+        least = np.minimum.accumulate(level, 1)
+        inserted = np.zeros(level.shape, bool)
+        inserted[:, 1:] = least[:, :-1] <= level[:, 1:] - 1e-12
+        cost = np.where(inserted, least + self.steps, cost)
+        how[inserted] = _CODES.index((0, 1))
+        self.before, self.last = [one, cost], (s, t)
+        return how
+
+
+def _traced(how: bytes, width: int, m: int, n: int, down_to: int = 0, shift: int = 0) -> tuple[list[tuple[int, int, int, int]], int, int]:
+    """Beads (first source, number, first target, number) from the end of a path back to a row; how: rows from `shift`."""
+    out, i, j = [], m, n
+    while i > down_to or (down_to == 0 and j):
+        a, b = _CODES[how[(i - shift) * width + j]]
+        out.append((i - a, a, j - b, b))
         i, j = i - a, j - b
-    return beads[::-1]
-
-
-def links(la, lb, ka, kb, cells, lexicon: Lexicon, use: list[bool], matched) -> list[tuple[int, int]]:
-    """Sentence pairs of which one renders the other or a part of it.
-
-    `use` says which target sentences take part; `matched(i, j)` gives the weights of the words of both sentences that
-    translate each other, by word. A link outside the path must explain a new part of both sentences."""
-    places = [j for j in range(len(lb)) if use[j]]
-    if len(places) < len(lb):
-        new = {j: k for k, j in enumerate(places)}
-        cells = {(i, new[j]): v for (i, j), v in cells.items() if use[j]}
-        lb, kb = [lb[j] for j in places], [kb[j] for j in places]
-    if not la or not lb:
-        return []
-    found: set[tuple[int, int]] = set()
-    #: weights that are accounted for
-    done_a, done_b = [0.0] * len(la), [0.0] * len(lb)
-
-    def take(i: int, j: int) -> None:
-        if (i, j) not in found:
-            found.add((i, j))
-            s, t = cells.get((i, j), (0.0, 0.0))
-            done_a[i] += s
-            done_b[j] += t
-
-    for i, a, j, b in best_path(la, lb, ka, kb, cells, lexicon):
-        for x in range(i, i + a):
-            for y in range(j, j + b):
-                s, t = cells.get((x, y), (0.0, 0.0))
-                if a * b == 1 and min(ka[x], kb[y]) < 2.0:
-                    take(x, y)  # nothing known: length and place decide
-                elif s + t >= 0.5 * (ka[x] + kb[y]) or s >= 0.7 * ka[x] > 0 or t >= 0.7 * kb[y] > 0:
-                    take(x, y)
-    taken_a, taken_b = {i for i, _ in found}, {j for _, j in found}
-    left = []
-    for (i, j), (s, t) in cells.items():
-        least = NEW_PART * min(ka[i], kb[j])
-        if (i, j) not in found and least > 0 and s >= least and t >= least:
-            if i not in taken_a or j not in taken_b or (ka[i] - done_a[i] >= least and kb[j] - done_b[j] >= least):
-                left.append((-min(s, t), i, j))
-    if left:
-        own_a: dict[int, dict[int, float]] = {}
-        own_b: dict[int, dict[int, float]] = {}
-
-        def account(i: int, j: int) -> None:
-            of_a, of_b = matched(i, places[j])
-            own_a.setdefault(i, {}).update(of_a)
-            own_b.setdefault(j, {}).update(of_b)
-
-        for i, j in found:
-            account(i, j)
-        for _, i, j in sorted(left):
-            of_a, of_b = matched(i, places[j])
-            mine_a, mine_b = own_a.get(i, ()), own_b.get(j, ())
-            new_a = sum(w for x, w in of_a.items() if x not in mine_a)
-            new_b = sum(w for x, w in of_b.items() if x not in mine_b)
-            if min(new_a, new_b) >= max(4.0, NEW_PART * min(ka[i], kb[j])):
-                found.add((i, j))
-                account(i, j)
-    return [(i, places[j]) for i, j in found]
-
-
-def fit_lexicon(rows: list[tuple[str | None, str | None, str | None]], rounds: int = 5) -> Lexicon:
-    """Length model and word table from (source text, target text, source language) rows."""
-    rows = [row for row in rows if row[0] and row[1]]
-    lexicon = Lexicon()
-    if not rows:
-        return lexicon
-    src, tgt = Side([row[0] for row in rows]), Side([row[1] for row in rows], codes=source_codes([row[2] for row in rows]))
-    pairs = _one_to_one(src, tgt, lexicon)
-    if not len(pairs):
-        return lexicon
-    a, b = src.lengths[pairs[:, 0]], tgt.lengths[pairs[:, 1]]
-    ratio = float(np.median(b / np.maximum(a, 1)))
-    close = np.abs(b - ratio * a) < 0.5 * np.maximum(a, 1)
-    variance = float(np.mean((b - ratio * a)[close] ** 2 / np.maximum(a, 1)[close])) if close.any() else 6.8
-    # word table by expectation maximisation: which source word a target word stems from, and the other way round
-    s_words, s_ids = np.unique(src.hashes, return_inverse=True)
-    t_words, t_ids = np.unique(tgt.keys, return_inverse=True)
-    plain = np.zeros(len(t_words), np.uint64)
-    plain[t_ids] = tgt.hashes
-    s_first = np.searchsorted(src.sentence, np.arange(len(src.seg.begins) + 1))
-    t_first = np.searchsorted(tgt.sentence, np.arange(len(tgt.seg.begins) + 1))
-    ns, nt = np.diff(s_first)[pairs[:, 0]], np.diff(t_first)[pairs[:, 1]]
-    keep = (ns > 0) & (nt > 0) & (ns * nt < 2500)
-    pairs, ns, nt = pairs[keep], ns[keep], nt[keep]
-    row, offset = _expand(np.zeros(len(pairs), np.int64), ns * nt)
-    s_at = s_first[pairs[row, 0]] + offset // nt[row]
-    t_at = t_first[pairs[row, 1]] + offset % nt[row]
-    code = s_ids[s_at].astype(np.int64) * len(t_words) + t_ids[t_at]
-    codes, at = np.unique(code, return_inverse=True)
-    cs, ct = codes // len(t_words), codes % len(t_words)
-
-    def em(given: np.ndarray, n_given: int, made: np.ndarray) -> np.ndarray:
-        """p(made | given) for each code; made: number of the token occurrence that each row explains."""
-        p = np.ones(len(codes))
-        for _ in range(rounds):
-            value = p[at]
-            total = np.bincount(made, value)
-            count = np.bincount(at, value / total[made], len(codes))
-            p = count / np.maximum(np.bincount(given, count, n_given)[given], 1e-12)
-        return p
-
-    _, by_s = np.unique(row * np.int64(1 << 20) + offset // nt[row], return_inverse=True)
-    p_s = em(ct, len(t_words), by_s)  # a target word gives rise to source words
-    best = np.zeros(len(t_words))
-    np.maximum.at(best, ct, p_s)
-    seen = np.bincount(np.concatenate([np.unique(row * np.int64(1 << 31) + t_ids[t_at])]) & ((1 << 31) - 1), minlength=len(t_words))
-    numbers = np.zeros(len(t_words), bool)
-    numbers[t_ids[tgt.is_number]] = True
-    strong = (p_s >= 0.06) & (p_s >= 0.5 * best[ct]) & (seen[ct] >= 3) & ~numbers[ct]
-    codes_of_t = np.zeros(len(t_words), np.int64)
-    codes_of_t[t_ids] = np.array(tgt.codes, np.int64)[tgt.text]
-    target, source = _with_pivots(t_words[ct[strong]], plain[ct[strong]], codes_of_t[ct[strong]], s_words[cs[strong]])
+    return out, i, j
+
+
+def best_path(la, lb, ka, kb, rows, lexicon: Lexicon, lexical: float = LEXICAL, swapped: bool = False) -> list[tuple[int, int, int, int]]:
+    """Beads of the cheapest path of one pair, of any size. rows(first, last) gives (source sentence, s, t) of the
+    sentences first..last in turn. swapped: what is called source here is the target."""
+    la, lb, ka, kb = (np.asarray(x, float)[None, :] for x in (la, lb, ka, kb))
+    m, n = la.shape[1], lb.shape[1]
+    height = m if m * n <= KEPT else max(2, KEPT // max(1, n))
+    paths, saved = Paths(la, lb, ka, kb, lexicon, lexical, swapped), {}
+    kept: list[np.ndarray] = []
+    for i, s, t in rows(0, m):
+        if i % height == 0:
+            saved[i], kept = (list(paths.before), paths.last), []
+        kept.append(paths.row(i + 1, s[None, :], t[None, :])[0])
+    out: list[tuple[int, int, int, int]] = []
+    at, j = m, n
+    opening = paths.opening()[0]
+    for begin in range((m - 1) // height * height, -1, -height):
+        if begin + height < m:  # a strip that is run again
+            paths.before, paths.last = saved[begin]
+            kept = [paths.row(i + 1, s[None, :], t[None, :])[0] for i, s, t in rows(begin, begin + height)]
+        # a bead may reach over the strip's first row
+        how = np.stack([opening if begin == 0 else np.zeros_like(opening), *kept]).tobytes()
+        beads, at, j = _traced(how, n + 1, at, j, begin, begin)
+        out += beads
+    return out[::-1]
+
+
+def _dense_rows(i: np.ndarray, j: np.ndarray, s: np.ndarray, t: np.ndarray, n: int):
+    """Rows of `best_path` from cells in order of i."""
+
+    def rows(first: int, last: int):
+        at = np.searchsorted(i, np.arange(first, last + 1))
+        for k in range(first, last):
+            x, y = at[k - first], at[k - first + 1]
+            of_s, of_t = np.zeros(n), np.zeros(n)
+            of_s[j[x:y]], of_t[j[x:y]] = s[x:y], t[x:y]
+            yield k, of_s, of_t
+
+    return rows
+
+
+class Aligner:
+    """The pairs of a block: their sentences, words and paths."""
+
+    def __init__(self, src: Side, tgt: Side, lexicon: Lexicon, use: np.ndarray | None = None):
+        self.src, self.tgt, self.lexicon = src, tgt, lexicon
+        use = np.ones(len(tgt.seg.begins), bool) if use is None else use
+        self.entries = Entries(src, tgt, lexicon, use)
+        #: used target sentences, and the place of each among those of its pair
+        self.used = np.flatnonzero(use)
+        n_texts = len(src.block.texts)
+        self.t_first = np.searchsorted(tgt.seg.text[self.used], np.arange(n_texts + 1))
+        self.place = np.cumsum(use) - 1
+        self.s_first = src.seg.first
+        self.m, self.n = np.diff(self.s_first), np.diff(self.t_first)
+        has = (self.m > 0) & (self.n > 0)
+        large = (self.m * self.n > CELLS) | (self.m > TALL)
+        self.small, self.large = np.flatnonzero(has & ~large), np.flatnonzero(has & large)
+        self.cells = self._small_cells()
+
+    def _small_cells(self):
+        parts = [part for x, y in self._runs() for part in self.entries.cells(int(self.s_first[x]), int(self.s_first[y]))]
+        if not parts:
+            return tuple(np.zeros(0, t) for t in (np.int64, np.int64, float, float))
+        return tuple(np.concatenate(column) for column in zip(*parts))
+
+    def _runs(self) -> list[tuple[int, int]]:
+        """Ranges of neighbouring pairs without the large ones."""
+        edges = [-1, *self.large.tolist(), len(self.m)]
+        return [(a + 1, b) for a, b in zip(edges, edges[1:]) if b > a + 1]
+
+    def beads(self, lexical: float = LEXICAL) -> np.ndarray:
+        """(pair, first source, number, first target, number) of the beads of all paths, places within the pair."""
+        out: list[tuple[int, int, int, int, int]] = []
+        ci, cj, cs, ct = self.cells
+        first = np.searchsorted(ci, self.s_first)
+        lengths, kb = self.tgt.lengths[self.used], self.entries.known_t[self.used]
+        order = self.small[np.lexsort((self.n[self.small], self.m[self.small]))]
+        begin = 0
+        m, n = self.m[order].tolist(), self.n[order].tolist()
+        while begin < len(order):
+            end = begin + 1
+            while end < len(order) and m[end] == m[begin] and n[end] <= 2 * n[begin] + 4 and (end - begin + 1) * m[end] * n[end] <= CELLS:
+                end += 1
+            ks = order[begin:end]
+            p, rows, cols = len(ks), m[begin], n[end - 1]
+            x = self.s_first[ks][:, None] + np.arange(rows)
+            y = np.minimum(self.t_first[ks][:, None] + np.arange(cols), len(self.used) - 1)
+            real = np.arange(cols) < self.n[ks][:, None]
+            s, t = np.zeros((p, rows, cols)), np.zeros((p, rows, cols))
+            row, at = _expand(first[ks], first[ks + 1])
+            local = (row, ci[at] - self.s_first[ks][row], self.place[cj[at]] - self.t_first[ks][row])
+            s[local], t[local] = cs[at], ct[at]
+            paths = Paths(self.src.lengths[x], lengths[y] * real, self.entries.known_s[x], kb[y] * real, self.lexicon, lexical)
+            how = np.stack([paths.opening(), *(paths.row(i + 1, s[:, i], t[:, i]) for i in range(rows))], 1)
+            for k, own, width in zip(ks.tolist(), how, n[begin:end]):
+                out += [(k, *bead) for bead in _traced(own.tobytes(), cols + 1, rows, width)[0]]
+            begin = end
+        for k in self.large.tolist():
+            out += [(k, *bead) for bead in self._large(k, lexical)]
+        return np.array(out, np.int64).reshape(-1, 5)
+
+    def _large(self, k: int, lexical: float) -> list[tuple[int, int, int, int]]:
+        """The path of one large pair; its matches are made anew strip by strip and never held at once."""
+        a, b = int(self.s_first[k]), int(self.s_first[k + 1])
+        own = self.used[self.t_first[k] : self.t_first[k + 1]]
+
+        def rows(first: int, last: int):
+            done = first
+            for i, j, s, t in self.entries.cells(a + first, a + last):
+                end = int(i[-1]) - a + 1 if len(i) else done
+                yield from _dense_rows(i - a, self.place[j] - self.t_first[k], s, t, len(own))(done, end)
+                done = end
+            yield from _dense_rows(*(np.zeros(0, np.int64),) * 2, *(np.zeros(0),) * 2, len(own))(done, last)
+
+        sides = (self.src.lengths[a:b], self.tgt.lengths[own], self.entries.known_s[a:b], self.entries.known_t[own])
+        if len(own) > THIN or len(own) >= b - a:
+            return best_path(*sides, rows, self.lexicon, lexical)
+        # few target sentences: they are the rows
+        i, j, s, t = (np.concatenate(column) for column in zip(*self.entries.cells(a, b)))
+        i, j = i - a, self.place[j] - self.t_first[k]
+        order = np.lexsort((i, j))
+        turned = _dense_rows(j[order], i[order], t[order], s[order], b - a)
+        beads = best_path(sides[1], sides[0], sides[3], sides[2], turned, self.lexicon, lexical, True)
+        return [(i, a, j, b) for j, b, i, a in beads]
+
+    def candidates(self, taken) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Cells of which both sides explain enough of the lighter sentence, as `taken` lets them through."""
+        for part in (self.cells, *(c for k in self.large.tolist() for c in self.entries.cells(int(self.s_first[k]), int(self.s_first[k + 1])))):
+            i, j, s, t = part
+            least = NEW_PART * np.minimum(self.entries.known_s[i], self.entries.known_t[j])
+            keep = np.flatnonzero((least > 0) & (s >= least) & (t >= least))
+            keep = keep[taken(i[keep], j[keep], least[keep])]
+            yield i[keep], j[keep], s[keep], t[keep]
+
+    def renderings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Source sentence, target sentence (numbers in the block) and whether it is outside the path."""
+        beads = self.beads()
+        real = beads[(beads[:, 2] > 0) & (beads[:, 4] > 0)]
+        k = np.repeat(real[:, 0], real[:, 2] * real[:, 4])
+        row, at = _expand(np.zeros(len(real), np.int64), real[:, 2] * real[:, 4])
+        i = self.s_first[k] + real[row, 1] + at // real[row, 4]
+        j = self.used[self.t_first[k] + real[row, 3] + at % real[row, 4]] if len(k) else k
+        s, t = self.entries.sums_of(i, j)
+        ka, kb = self.entries.known_s[i], self.entries.known_t[j]
+        # nothing known: length and place decide
+        unknown = (real[row, 2] * real[row, 4] == 1) & (np.minimum(ka, kb) < 2.0)
+        meant = (s + t >= 0.5 * (ka + kb)) | ((s >= 0.7 * ka) & (ka > 0)) | ((t >= 0.7 * kb) & (kb > 0))
+        keep = unknown | meant
+        i, j, s, t = i[keep], j[keep], s[keep], t[keep]
+        more_i, more_j = self._moved(i, j, s, t)
+        return np.concatenate([i, more_i]), np.concatenate([j, more_j]), np.arange(len(i) + len(more_i)) >= len(i)
+
+    def _moved(self, i: np.ndarray, j: np.ndarray, s: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Renderings outside the paths, given those on them with their matches."""
+        e = self.entries
+        n_s, n_t = len(e.known_s), len(e.known_t)
+        seen_i, seen_j = np.bincount(i, minlength=n_s) > 0, np.bincount(j, minlength=n_t) > 0
+        rest_i, rest_j = e.known_s - np.bincount(i, s, n_s), e.known_t - np.bincount(j, t, n_t)
+        there = np.sort(i * e.n_tgt + j)
+
+        def taken(x, y, least):
+            code = x * e.n_tgt + y
+            known = there[np.minimum(np.searchsorted(there, code), len(there) - 1)] == code if len(there) else np.zeros(len(code), bool)
+            return ~known & (~seen_i[x] | ~seen_j[y] | ((rest_i[x] >= least) & (rest_j[y] >= least)))
+
+        parts = [part for part in self.candidates(taken) if len(part[0])]
+        nothing = np.zeros(0, np.int64)
+        if not parts:
+            return nothing, nothing
+        x, y, of_s, of_t = (np.concatenate(column) for column in zip(*parts))
+        # the cost of each as a bead of its own: length, and how much of both sides' words it explains
+        ka, kb = e.known_s[x], e.known_t[y]
+        shared = (np.minimum(of_s, ka) + np.minimum(of_t, kb)) / np.maximum(ka + kb, 1e-9)
+        cost = length_cost(self.src.lengths[x], self.tgt.lengths[y], self.lexicon) - LEXICAL * shared * np.minimum(1.0, (ka + kb) / 8)
+        order = np.lexsort((y, x, cost))
+        x, y = x[order], y[order]
+        # what the renderings of the same sentences explain already
+        near = np.flatnonzero(np.isin(i, x) | np.isin(j, y))
+        all_i, all_j = np.concatenate([i[near], x]), np.concatenate([j[near], y])
+        c, a, d, b = e.words_of(all_i, all_j)
+        cuts_a, cuts_b = np.searchsorted(c, np.arange(len(all_i) + 1)).tolist(), np.searchsorted(d, np.arange(len(all_i) + 1)).tolist()
+        words_a, words_b, weight_a, weight_b = a.tolist(), b.tolist(), e.a_w[a].tolist(), e.e_w[b].tolist()
+        done_a: set[int] = set()
+        done_b: set[int] = set()
+        made: list[int] = []
+        least = np.maximum(4.0, NEW_PART * np.minimum(e.known_s[all_i], e.known_t[all_j])).tolist()
+        for k in range(len(all_i)):
+            pa_, pb_ = range(cuts_a[k], cuts_a[k + 1]), range(cuts_b[k], cuts_b[k + 1])
+            if k >= len(near):
+                new_a = sum(weight_a[q] for q in pa_ if words_a[q] not in done_a)
+                new_b = sum(weight_b[q] for q in pb_ if words_b[q] not in done_b)
+                if min(new_a, new_b) < least[k]:
+                    continue
+                made.append(k - len(near))
+            done_a.update(words_a[q] for q in pa_)
+            done_b.update(words_b[q] for q in pb_)
+        return x[made] if made else nothing, y[made] if made else nothing
+
+
+# -- fitting ----------------------------------------------------------------------------------------------------------
+
+COUNTS = "kind string, code int, t bigint, s bigint, n bigint, x double, y double, z double"
+
+
+class _Tally:
+    """Counts of keyed rows (columns of 64 bits), kept once a key."""
+
+    def __init__(self, columns: int):
+        self.columns = [np.zeros(0, np.uint64) for _ in range(columns)]
+        self.n = np.zeros(0, np.int64)
+        self.fresh: list[tuple[list[np.ndarray], np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, columns: list[np.ndarray], n: np.ndarray) -> None:
+        self.fresh.append((columns, n))
+        self.waiting += len(n)
+        if self.waiting > 1 << 20 and self.waiting > len(self.n):
+            self.settle()
+
+    def settle(self) -> None:
+        columns = [np.concatenate([own, *(c[k] for c, _ in self.fresh)]) for k, own in enumerate(self.columns)]
+        n = np.concatenate([self.n, *(m for _, m in self.fresh)])
+        key = np.zeros(len(n), np.uint64)
+        for column in columns:
+            key = _mixed(key ^ column)
+        _, at, inverse = np.unique(key, return_index=True, return_inverse=True)
+        self.columns, self.n = [c[at] for c in columns], np.bincount(inverse, n, len(at)).astype(np.int64)
+        self.fresh, self.waiting = [], 0
+
+
+def _distinct(sentence: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word once a sentence."""
+    order = np.lexsort((word, sentence))
+    a, b = sentence[order], word[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
+class Statistics:
+    """Counts of the first pass, added up over blocks."""
+
+    def __init__(self) -> None:
+        self.pairs, self.sources, self.targets = _Tally(3), _Tally(2), _Tally(2)
+        #: sentences that hold a word, of either side, and places of target words but the last of each text
+        self.holding, self.inside = _Tally(1), _Tally(1)
+        self.sentences = 0
+        self.per_code = np.zeros(len(LANGUAGES) + 1, np.int64)
+        self.moments = np.zeros((4,))
+
+    def add(self, src_texts: list[str | None], tgt_texts: list[str | None], src_langs: list[str | None]) -> None:
+        codes = np.array(source_codes(src_langs), np.int64)
+        src, tgt = Side(src_texts), Side(tgt_texts, codes=codes.tolist(), blanked=[unwrapped(t) for t in tgt_texts])
+        aligner = Aligner(src, tgt, Lexicon())
+        beads = aligner.beads(6.0)
+        beads = beads[(beads[:, 2] == 1) & (beads[:, 4] == 1)]
+        i, j = aligner.s_first[beads[:, 0]] + beads[:, 1], aligner.t_first[beads[:, 0]] + beads[:, 3]
+        code = codes[beads[:, 0]] % (len(LANGUAGES) + 1)
+        self.per_code += np.bincount(code, minlength=len(self.per_code))
+        a, b = src.lengths[i], tgt.lengths[j]
+        close = (b > 0.5 * a) & (b < 2 * a)
+        a, b = a[close], b[close]
+        self.moments += (a.sum(), b.sum(), (b * b / np.maximum(a, 1)).sum(), len(a))
+        s_at, s_word = _distinct(src.sentence, src.hashes)
+        letters = ~tgt.is_number
+        t_at, t_word = _distinct(tgt.sentence[letters], tgt.hashes[letters])
+        self.sentences += len(src.seg.begins) + len(tgt.seg.begins)
+        for word in (s_word, t_word):
+            self.holding.add([word], np.ones(len(word), np.int64))
+        last = np.searchsorted(tgt.text, np.arange(len(tgt_texts)), side="right") - 1
+        inner = letters.copy()
+        inner[last[last >= 0]] = False
+        self.inside.add([tgt.hashes[inner]], np.ones(int(inner.sum()), np.int64))
+        s_first, t_first = np.searchsorted(s_at, np.arange(len(src.seg.begins) + 1)), np.searchsorted(t_at, np.arange(len(tgt.seg.begins) + 1))
+        for begin, end in _portions((s_first[i + 1] - s_first[i]) * (t_first[j + 1] - t_first[j]), LINKS):
+            x, y, c = i[begin:end], j[begin:end], code[begin:end]
+            row, s = _expand(s_first[x], s_first[x + 1])
+            self.sources.add([c[row].astype(np.uint64), s_word[s]], np.ones(len(s), np.int64))
+            again, t = _expand(t_first[y], t_first[y + 1])
+            self.targets.add([c[again].astype(np.uint64), t_word[t]], np.ones(len(t), np.int64))
+            which, t = _expand(t_first[y][row], t_first[y + 1][row])
+            self.pairs.add([c[row][which].astype(np.uint64), t_word[t], s_word[s[which]]], np.ones(len(t), np.int64))
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        names = [part.split()[0] for part in COUNTS.split(", ")]
+
+        def made(kind: str, code, t, s, n, x=0.0, y=0.0, z=0.0) -> pa.RecordBatch:
+            size = len(n)
+            whole = lambda v: v.view(np.int64) if isinstance(v, np.ndarray) and v.dtype == np.uint64 else np.broadcast_to(np.asarray(v, np.int64), size)
+            real = [pa.array(np.broadcast_to(np.asarray(v, float), size)) for v in (x, y, z)]
+            return pa.RecordBatch.from_arrays([pa.array([kind] * size), pa.array(whole(code).astype(np.int32)), pa.array(whole(t)), pa.array(whole(s)), pa.array(np.asarray(n, np.int64)), *real], names)
+
+        for tally in (self.pairs, self.sources, self.targets, self.holding, self.inside):
+            tally.settle()
+        step = 1 << 16
+        for kind, tally, order in (("pair", self.pairs, (0, 1, 2)), ("source", self.sources, (0, None, 1)), ("target", self.targets, (0, 1, None)), ("holding", self.holding, (None, 0, None)), ("inside", self.inside, (None, 0, None))):
+            for at in range(0, len(tally.n), step):
+                yield made(kind, *(0 if k is None else tally.columns[k][at : at + step] for k in order), tally.n[at : at + step])
+        yield made("code", np.arange(len(self.per_code)), 0, 0, self.per_code)
+        yield made("total", 0, 0, 0, np.array([self.sentences]), *(np.array([v]) for v in self.moments[:3]))
+
+
+def _portions(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of items of about so much size together."""
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    begin = 0
+    while begin < len(sizes):
+        end = max(begin + 1, int(np.searchsorted(total, total[begin] + limit, side="right")) - 1)
+        yield begin, end
+        begin = end
+
+
+@dataclass
+class Fit:
+    """What the pairs of a table say about lengths and words."""
+
+    lexicon: Lexicon
+    #: hashes of the words that stand inside target texts, sorted
+    vocabulary: np.ndarray
+
+
+def count_words(pairs: DataFrame) -> DataFrame:
+    """The first pass over all pairs: counts added up per word pair, word and language (see COUNTS)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        statistics = Statistics()
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(3)]
+            for begin, end in pair_blocks(columns[0], columns[1]):
+                statistics.add(*(c[begin:end] for c in columns))
+        yield from statistics.rows()
+
+    source = pairs.where("src_text is not null and tgt_text is not null").select("src_text", "tgt_text", "src_lang")
+    total = lambda c: F.sum(c).alias(c)
+    return source.mapInArrow(run, COUNTS).groupBy("kind", "code", "t", "s").agg(*map(total, ("n", "x", "y", "z")))
+
+
+def fit_tables(pairs: DataFrame, table_rows: int = TABLE_ROWS) -> Fit:
+    """The length model, word table and vocabulary of all pairs (src_text, tgt_text, src_lang).
+
+    What comes to the driver: at most `table_rows` word pairs and as many words, and a row a language."""
+    counts = durable(count_words(pairs).where(f"kind <> 'pair' or n >= {LEAST_SEEN}"))
+    of = lambda kind: counts.where(F.col("kind") == kind)
+    total = of("total").first()
+    if total is None or not total["n"]:
+        return Fit(Lexicon(), np.zeros(0, np.uint64))
+    a, b, bb = max(total["x"], 1.0), total["y"], total["z"]
+    per_code = {r["code"]: r["n"] for r in of("code").collect()}
+    close = max(1, sum(per_code.values()))
+    ratio = b / a if b > 0 else 1.1
+    variance = max(1.0, (bb - 2 * ratio * b + ratio * ratio * a) / close) if b > 0 else 6.8
+    # association of two words: phi squared, and the log likelihood ratio as evidence
+    joined = (
+        of("pair").select("code", "t", "s", F.col("n").cast("double").alias("k"))
+        .join(of("target").select("code", "t", F.col("n").cast("double").alias("c_t")), ["code", "t"])
+        .join(of("source").select("code", "s", F.col("n").cast("double").alias("c_s")), ["code", "s"])
+        .join(of("code").select("code", F.col("n").cast("double").alias("all")), "code")
+    )
+    k, c_t, c_s, n = (F.col(x) for x in ("k", "c_t", "c_s", "all"))
+    gain = n * k - c_s * c_t
+    part = lambda x, e: F.when(x > 0, x * F.ln(x / e)).otherwise(0.0)
+    evidence = 2 * (
+        part(k, c_s * c_t / n) + part(c_t - k, c_t * (n - c_s) / n) + part(c_s - k, c_s * (n - c_t) / n) + part(n - c_s - c_t + k, (n - c_s) * (n - c_t) / n)
+    )
+    scored = joined.withColumn("phi", gain * gain / (c_s * c_t * F.greatest(n - c_s, F.lit(0.5)) * F.greatest(n - c_t, F.lit(0.5)))).withColumn("evidence", evidence)
+    scored = scored.where((gain > 0) & (F.col("evidence") >= LEAST_EVIDENCE))
+    best = scored.withColumn("best", F.max("phi").over(Window.partitionBy("code", "t"))).where("phi >= 0.5 * best")
+    rows = best.orderBy(F.desc("evidence"), "code", "t", "s").limit(table_rows).select("code", "t", "s")
+    rows = durable(rows)
+    table = rows.toArrow()
+    held = lambda column: rows.select(F.col(column).alias("t")).distinct()
+    weights = of("holding").join(held("t").union(held("s")).distinct(), "t", "left_semi").select("t", "n").toArrow()
+    inside = of("inside").where(F.col("n") >= LEAST_SEEN).orderBy(F.desc("n"), "t").limit(table_rows).select("t").toArrow()
+    as_hash = lambda part, name: part.column(name).to_numpy().astype(np.int64).view(np.uint64)
+    codes = table.column("code").to_numpy().astype(np.int64)
+    codes = np.where(codes == len(LANGUAGES), -1, codes)
+    plain, source = as_hash(table, "t"), as_hash(table, "s")
+    target, source = _with_pivots(plain ^ _LANGUAGE_KEYS[codes], plain, codes, source)
     order = np.argsort(target, kind="stable")
-    target, source = target[order], source[order]
-    # weights: words that few sentences hold say more
-    df_s = np.bincount(np.unique(src.sentence * np.int64(1 << 31) + s_ids) & ((1 << 31) - 1), minlength=len(s_words))
-    p_words, p_ids = np.unique(tgt.hashes, return_inverse=True)
-    df_t = np.bincount(np.unique(tgt.sentence * np.int64(1 << 31) + p_ids) & ((1 << 31) - 1), minlength=len(p_words))
-    targets = np.unique(plain[ct[strong]])
-    weights: dict[int, float] = {}
-    for words, df, used, n in ((s_words, df_s, np.unique(source), len(src.seg.begins)), (p_words, df_t, targets, len(tgt.seg.begins))):
-        for k in np.searchsorted(words, used).tolist():
-            w = max(0.3, min(6.0, math.log(n / (1 + int(df[k])))))
-            weights[int(words[k])] = max(weights.get(int(words[k]), 0.0), w)
-    words = np.array(sorted(weights), np.uint64)
-    return Lexicon(target, source, words, np.array([weights[int(w)] for w in words]), ratio, max(variance, 1.0))
+    words = as_hash(weights, "t")
+    idf = np.clip(np.log(total["n"] / 2 / (1.0 + weights.column("n").to_numpy())), 0.3, 6.0)
+    at = np.argsort(words)
+    lexicon = Lexicon(target[order], source[order], words[at], idf[at], ratio, variance)
+    return Fit(lexicon, np.sort(as_hash(inside, "t")))
 
 
 def _with_pivots(keys: np.ndarray, target: np.ndarray, codes: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -409,41 +748,6 @@ def _with_pivots(keys: np.ndarray, target: np.ndarray, codes: np.ndarray, source
     return np.concatenate([keys, np.array(new_keys, np.uint64)]), np.concatenate([source, np.array(new_source, np.uint64)])
 
 
-def _per_pair(src: Side, tgt: Side, lexicon: Lexicon):
-    """(pair, source lengths, target lengths, known weights of both, cells) of each pair that has both sides."""
-    i, j, of_s, of_t, known_s, known_t, matched = overlaps(src, tgt, lexicon)
-    pair = src.seg.text[i] if len(i) else i
-    order = np.argsort(pair, kind="stable")
-    i, j, of_s, of_t, pair = i[order], j[order], of_s[order], of_t[order], pair[order]
-    first = np.searchsorted(pair, np.arange(len(src.block.texts) + 1)).tolist()
-    sa, sb = src.seg.first.tolist(), tgt.seg.first.tolist()
-    i, j, of_s, of_t = i.tolist(), j.tolist(), of_s.tolist(), of_t.tolist()
-    la, lb, ka, kb = src.lengths.tolist(), tgt.lengths.tolist(), known_s.tolist(), known_t.tolist()
-    for k in range(len(src.block.texts)):
-        a, b, c, d = sa[k], sa[k + 1], sb[k], sb[k + 1]
-        if a == b or c == d:
-            continue
-        cells = {(i[x] - a, j[x] - c): (of_s[x], of_t[x]) for x in range(first[k], first[k + 1])}
-        yield k, la[a:b], lb[c:d], ka[a:b], kb[c:d], cells, (lambda x, y, a=a, c=c: matched(a + x, c + y))
-
-
-def _one_to_one(src: Side, tgt: Side, lexicon: Lexicon) -> np.ndarray:
-    """Sentence pairs (numbers in the block) of the one-to-one beads of a pass on lengths and numbers."""
-    out = []
-    sa, sb = src.seg.first.tolist(), tgt.seg.first.tolist()
-    for k, la, lb, ka, kb, cells, _ in _per_pair(src, tgt, lexicon):
-        for i, a, j, b in best_path(la, lb, ka, kb, cells, lexicon, 6.0):
-            if a == b == 1:
-                out.append((sa[k] + i, sb[k] + j))
-    return np.array(out, np.int64).reshape(-1, 2)
-
-
-def fit_tables(pairs: DataFrame) -> Lexicon:
-    """The length model and word table of a bounded sample of the pairs."""
-    sample = bounded_sample(pairs.where("chunk_type <> 'code' and tgt_text is not null").select("pair_id", "src_text", "tgt_text", "src_lang"), "pair_id", SAMPLE)
-    return fit_lexicon([(row["src_text"], row["tgt_text"], row["src_lang"]) for row in sample.collect()])
-
-
 def in_language(tgt: Side, model: LanguageModel, codes: list[int]) -> np.ndarray:
     """Whether each target sentence is in the language codes[pair], and surely in no other one."""
     sums, n_grams, n_words = scorer_of(model).sentences(tgt.seg)
@@ -455,36 +759,31 @@ def in_language(tgt: Side, model: LanguageModel, codes: list[int]) -> np.ndarray
     return (own >= 0) & (n_words > 0) & (mine - odds.max(1, initial=-np.inf) > SAME_LANGUAGE)
 
 
-def align_block(src_texts: list[str | None], tgt_texts: list[str | None], src_langs: list[str | None], model: LanguageModel, lexicon: Lexicon) -> tuple[list[int], list[int], list[int]]:
-    """Row, source number and target number (from 1) of every rendering."""
+def align_block(src_texts: list[str | None], tgt_texts: list[str | None], src_langs: list[str | None], model: LanguageModel, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, source number and target number (from 1) of every rendering, and whether it is outside the path."""
     codes = source_codes(src_langs)
-    src, tgt = Side(src_texts), Side(tgt_texts, with_plain=True, codes=codes)
-    foreign = (~in_language(tgt, model, codes)).tolist() if len(tgt.seg.begins) else []
-    sb = tgt.seg.first.tolist()
-    rows, i_out, j_out = [], [], []
-    for k, la, lb, ka, kb, cells, matched in _per_pair(src, tgt, lexicon):
-        for i, j in links(la, lb, ka, kb, cells, lexicon, foreign[sb[k] : sb[k + 1]], matched):
-            rows.append(k)
-            i_out.append(i + 1)
-            j_out.append(j + 1)
-    return rows, i_out, j_out
+    src, tgt = Side(src_texts), Side(tgt_texts, with_plain=True, codes=codes, blanked=[unwrapped(t) for t in tgt_texts])
+    use = ~in_language(tgt, model, codes) if len(tgt.seg.begins) else None
+    i, j, moved = Aligner(src, tgt, lexicon, use).renderings()
+    return src.seg.text[i], src.seg.number[i], tgt.seg.number[j], moved
 
 
 def align(pairs: DataFrame, model: LanguageModel, lexicon: Lexicon) -> DataFrame:
-    """pair_id, src_no, tgt_no of every rendering in the pairs; nothing is shuffled, the fitted tables are broadcast."""
+    """pair_id, src_no, tgt_no, via of every rendering in the pairs; nothing is shuffled, the fitted tables are broadcast."""
     sent = pairs.sparkSession.sparkContext.broadcast((model, lexicon))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, lexicon = sent.value
         for batch in batches:
-            for begin in range(0, batch.num_rows, PAIRS):
-                part = batch.slice(begin, PAIRS)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                rows, i, j = align_block(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), model, lexicon)
+            texts = [batch.column(k).to_pylist() for k in (1, 2, 3)]
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for begin, end in pair_blocks(texts[0], texts[1]):
+                rows, i, j, moved = align_block(*(c[begin:end] for c in texts), model, lexicon)
+                via = pa.DictionaryArray.from_arrays(pa.array(moved.astype(np.int8)), pa.array(["path", "moved"])).cast(pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[rows] if rows else [], pa.int64()), pa.array(i, pa.int32()), pa.array(j, pa.int32())],
-                    ["pair_id", "src_no", "tgt_no"],
+                    [pa.array(ids[rows + begin], pa.int64()), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), via],
+                    ["pair_id", "src_no", "tgt_no", "via"],
                 )
 
     source = pairs.select(F.col("pair_id").cast("bigint").alias("pair_id"), "src_text", "tgt_text", "src_lang")
-    return source.mapInArrow(run, "pair_id bigint, src_no int, tgt_no int")
+    return source.mapInArrow(run, "pair_id bigint, src_no int, tgt_no int, via string")

@@ -4,16 +4,17 @@ Method: one linear classifier a defect (logistic regression, fitted with follow-
 the pair (lengths, shares of words that translate or repeat the other side's, shares of each language, how the last
 sentence ends and how much of its source it leaves out) and on hashed word n-grams of what has no counterpart in the
 source and of the last word.  It is trained on a bounded sample (`TRAIN_PAIRS`) of the table's own pairs, spoilt on
-purpose: cut inside a sentence, replaced by the source, by a refusal (with and without the source after it), or held
-against another target language; and on harmless changes that must not be flagged: a sentence dropped or added, a full
-stop or a tag lost.  Thresholds are those with the best F1 on held-out
-examples, weighted to the share of defects that a table is expected to have (`SHARE`).  What is empty is decided exactly.
+purpose: cut inside a sentence, replaced by the source, by a refusal (with and without the source after it), swapped for
+the response of a pair in another language, or held against another target language; and on harmless changes that must
+not be flagged: a sentence dropped or added, a part in another language, a full stop or a tag lost.  Thresholds are those
+with the best F1 on held-out examples, weighted to the share of defects that a table is expected to have (`SHARE`).  What
+is empty is decided exactly.  Word counts (which words occur, which translate each other) are those of all pairs.
 
 A pair has one defect, the first of empty, refusal, copy, wrong_language, truncated that applies.
 
 Defined results: null, blank and markup-only targets are `empty`, whatever the source; a pair with a null or empty
 source is judged by the target alone; a directory without a known majority language has no `wrong_language`; repeated
-rows are judged alike; very long texts are linear work apart from the aligned sentences.
+rows are judged alike; very long texts are read whole, and their sentences compared in parts of bounded size.
 """
 
 from __future__ import annotations
@@ -29,16 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.alignment import PAIRS, Lexicon, Side, overlaps_of_tokens, source_codes
-from quirelake.llm.langid import LANGUAGES, LanguageModel, bounded_sample, grouped, main_language, scorer_of
+from quirelake.llm.alignment import Entries, Fit, Lexicon, Side, pair_blocks, source_codes
+from quirelake.llm.langid import LANGUAGES, LanguageModel, bounded_sample, confidences, foreign_segments, grouped, main_language, scorer_of
+from quirelake.llm.segments import unwrapped
 
 LABELS = ("refusal", "copy", "wrong_language", "truncated")
 TRAIN_PAIRS = 2500
 HASH_DIM = 1 << 13
 #: share of pairs that is expected to have any one defect, for the thresholds
 SHARE = 0.05
-_TAGS = re.compile(r"</?[A-Za-z!][^<>\n]{0,80}>")
-_WRAPPED = re.compile(r"</?(?:document|TEXT|PH)\b[^<>\n]{0,80}>")
+_TAGS = re.compile(r"</?[A-Za-z!][^<>\n]*>")
 _MARKUP = re.compile(r"[`*_#=~\"'“”„«»‘’‹›\-\\{}\[\]()<>$&|]+|```[a-z]*")
 
 #: Sentences that refuse or ask for input, to train on.
@@ -99,11 +100,6 @@ def is_empty(text: str | None) -> bool:
     return not any(unicodedata.category(c)[0] not in "ZC" and c != "ㅤ" for c in rest)
 
 
-def unwrapped(text: str | None) -> str:
-    """The text without tags of the translation format."""
-    return _WRAPPED.sub("", text) if text else ""
-
-
 #: dense features, by name
 NAMES = (
     "one", "shorter", "longer", "translated", "repeated", "source_repeated", "covered", "in_source_language", "in_target_language",
@@ -111,7 +107,7 @@ NAMES = (
     "source_ends_in_word", "last_left_out", "last_shorter", "last_unknown", "last_left_out_no_end", "unknown_no_end", "lost_after", "lost_no_end", "tiny",
     "alien_before_copy", "alien_count", "mostly_repeated", "left_out_much", "left_out_much_no_end", "copy_alone",
     "out_15", "out_30", "out_45", "out_60", "out_15_no_end", "out_30_no_end", "out_45_no_end", "out_60_no_end", "tail_unmet", "tail_unmet_no_end", "tail_met", "tail_met_no_end",
-    "mate_unmet", "mate_unmet_no_end", "whole_no_end",
+    "mate_unmet", "mate_unmet_no_end", "whole_no_end", "some_target_language", "all_other_language",
 )
 DIM = HASH_DIM + len(NAMES)
 
@@ -129,6 +125,10 @@ def _ending(text: str) -> str:
     return "colon" if text[-1] in ":;" else "word"
 
 
+#: the last word of a text
+_LAST_WORD = re.compile(r"([^\W\d_]+)(?=[\W\d_]*\Z)")
+
+
 def _place(gram: str) -> int:
     return len(NAMES) + (zlib.crc32(gram.encode("utf-8", "replace")) & (HASH_DIM - 1))
 
@@ -139,19 +139,54 @@ class Fitted:
 
     language: LanguageModel
     lexicon: Lexicon
-    #: hashes of the words of the sample's targets, sorted
+    #: hashes of the words that stand inside targets, sorted
     vocabulary: np.ndarray
     weights: np.ndarray | None = None
     thresholds: np.ndarray | None = None
 
 
-def features(src_texts: list[str | None], tgt_texts: list[str | None], src_langs: list[str | None], majority: list[int], fitted: Fitted) -> list[tuple[list[int], list[float]]]:
-    """Places and values of each pair's features. majority: number of the directory's language, -1 where unknown."""
+@dataclass
+class Features:
+    """Dense features of pairs, and the places of their hashed words with one value a pair."""
+
+    dense: np.ndarray
+    row: np.ndarray
+    place: np.ndarray
+    scale: np.ndarray
+    #: the targets, and what `Scorer.sentences` gives for their sentences
+    target: Side
+    spoken: tuple[np.ndarray, np.ndarray, np.ndarray]
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        hashed = grouped(weights[self.place], self.row, len(self.dense))
+        return self.dense @ weights[: len(NAMES)] + hashed * self.scale[:, None]
+
+    def rows(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Places and values of each pair."""
+        cut = np.searchsorted(self.row, np.arange(len(self.dense) + 1))
+        out = []
+        for k, values in enumerate(self.dense):
+            at, hashed = np.flatnonzero(values), self.place[cut[k] : cut[k + 1]]
+            out.append((np.concatenate([at, hashed]), np.concatenate([values[at], np.full(len(hashed), self.scale[k])])))
+        return out
+
+
+def _last_sentences(side: Side, n: int) -> np.ndarray:
+    """The last sentence of each text that holds more than blanked tags, -1 where there is none."""
+    out = np.full(n, -1, np.int64)
+    inked = np.flatnonzero(side.lengths > 0)
+    out[side.seg.text[inked]] = inked
+    return out
+
+
+def features(src_texts: list[str | None], tgt_texts: list[str | None], src_langs: list[str | None], majority: list[int], fitted: Fitted) -> Features:
+    """The features of pairs. majority: number of the directory's language, -1 where unknown."""
     n = len(src_texts)
-    tgt_texts = [unwrapped(t) for t in tgt_texts]
     codes = source_codes(src_langs)
-    src, tgt = Side(src_texts), Side(tgt_texts, with_plain=True, codes=codes)
-    words_s, words_t, sw, cell = overlaps_of_tokens(src, tgt, fitted.lexicon)
+    src, tgt = Side(src_texts), Side(tgt_texts, with_plain=True, codes=codes, blanked=[unwrapped(t) for t in tgt_texts])
+    entries = Entries(src, tgt, fitted.lexicon)
+    words_s, words_t = entries.met()
+    sw = entries.sw
     # languages by sentence
     sums, n_grams, n_words = scorer_of(fitted.language).sentences(tgt.seg)
     odds = fitted.language.log_odds(sums, n_grams)
@@ -170,8 +205,9 @@ def features(src_texts: list[str | None], tgt_texts: list[str | None], src_langs
     letters = ~tgt.is_number
     translated = words_t & letters
     mix = np.uint64(0x9E3779B97F4A7C15)
-    repeated = np.isin(tgt.hashes ^ (tgt.text.astype(np.uint64) * mix), src.hashes ^ (src.text.astype(np.uint64) * mix)) & letters
-    back = np.isin(src.hashes ^ (src.text.astype(np.uint64) * mix), tgt.hashes ^ (tgt.text.astype(np.uint64) * mix)) & ~src.is_number
+    tgt_key = tgt.hashes ^ (tgt.text.astype(np.uint64) * mix)
+    repeated = np.isin(tgt_key, entries.s_key) & letters
+    back = np.isin(entries.s_key, tgt_key) & ~src.is_number
     per = lambda v, side: np.bincount(side.text, v, n)
     count = np.maximum(per(letters, tgt), 1)
     share_translated, share_repeated = per(translated & ~repeated, tgt) / count, per(repeated, tgt) / count
@@ -181,93 +217,118 @@ def features(src_texts: list[str | None], tgt_texts: list[str | None], src_langs
     ink = lambda side: grouped(side.lengths, side.seg.text, n)
     ratio = np.log((ink(tgt) + 1) / (ink(src) + 1))
     # sentences of the target without counterpart
-    in_sentence = lambda v: np.bincount(tgt.sentence, v, len(tgt.seg.begins))
-    size = in_sentence(letters)
-    met = in_sentence(translated | repeated)
+    n_src, n_tgt = len(src.seg.begins), len(tgt.seg.begins)
+    size = np.bincount(tgt.sentence, letters, n_tgt)
+    met = np.bincount(tgt.sentence, translated | repeated, n_tgt)
     alien = (met < 0.45 * size) & (size >= 2)
     alien_words = grouped(size * alien, of_sentence, n) / count
     rest = grouped(size * ~alien, of_sentence, n)
-    has_alien = grouped(alien.astype(float), of_sentence, n) > 0
+    has_alien = (grouped(alien.astype(float), of_sentence, n) > 0).astype(float)
     # source sentences: what is left out of each
-    s_known = np.bincount(src.sentence, sw, len(src.seg.begins))
-    s_met = np.bincount(src.sentence, sw * words_s, len(src.seg.begins))
+    s_known, s_met = np.bincount(src.sentence, sw, n_src), np.bincount(src.sentence, sw * words_s, n_src)
+    last = _last_sentences(tgt, n)
+    has = last >= 0
+    is_last = np.zeros(n_tgt, bool)
+    is_last[last[has]] = True
+    # the source sentence that each target sentence renders most, and all that the last ones render
+    heavy = np.full(n_tgt, -1.0)
+    partner, heavy_part = np.zeros(n_tgt, np.int64), np.zeros(n_tgt)
+    ends_parts = []
+    for i, j, of_s, of_t in entries.cells(0, n_src):
+        order = np.lexsort((-i, of_t, j))
+        top = order[np.append(j[order][1:] != j[order][:-1], True)] if len(order) else order
+        top = top[of_t[top] > heavy[j[top]]]
+        heavy[j[top]], partner[j[top]], heavy_part[j[top]] = of_t[top], i[top], of_s[top]
+        keep = is_last[j]
+        ends_parts.append((i[keep], j[keep], of_s[keep], of_t[keep]))
+    rendered = np.zeros(n_src)
+    real = np.flatnonzero(heavy >= 0)
+    np.add.at(rendered, partner[real], heavy_part[real])
+    left_out, shorter, lost, unmet, mate_unmet = (np.zeros(n) for _ in range(5))
+    tailed = np.flatnonzero(has & (heavy[np.maximum(last, 0)] >= 0)) if n_tgt else np.zeros(0, np.int64)
+    if len(tailed):
+        best, at = partner[last[tailed]], last[tailed]
+        left_out[tailed] = np.where(s_known[best] > 0, np.maximum(0.0, 1 - np.maximum(rendered[best], heavy_part[at]) / np.maximum(s_known[best], 1e-9)), 0.0)
+        shorter[tailed] = np.maximum(0.0, np.log((src.lengths[best] + 1) / (tgt.lengths[at] + 1)))
+        i, j, _, of_t = (np.concatenate(c) for c in zip(*ends_parts))
+        mate = of_t >= 0.4 * heavy[j]
+        last_mate = np.zeros(n_tgt, np.int64)
+        np.maximum.at(last_mate, j[mate], i[mate])
+        end_of = last_mate[at]
+        # the last three known words of a source sentence: the share that has no counterpart
+        known_tokens = np.flatnonzero(sw > 0)
+        in_sentence = src.sentence[known_tokens]
+
+        def tail(sentence: np.ndarray) -> np.ndarray:
+            stop = np.searchsorted(in_sentence, sentence, side="right")
+            seen, hits = np.zeros(len(sentence)), np.zeros(len(sentence))
+            for back_by in (1, 2, 3):
+                place = stop - back_by
+                ok = (place >= 0) & (in_sentence[np.maximum(place, 0)] == sentence) if len(in_sentence) else np.zeros(len(sentence), bool)
+                seen += ok
+                hits += ok & words_s[known_tokens[np.maximum(place, 0)]] if len(in_sentence) else 0
+            return np.where(seen > 0, 1 - hits / np.maximum(seen, 1), 0.0)
+
+        unmet[tailed], mate_unmet[tailed] = tail(best), tail(end_of)
+        gone = np.concatenate([[0], np.cumsum((s_known > 0) & (s_met < 0.4 * s_known))])
+        lost[tailed] = gone[src.seg.first[tailed + 1]] - gone[end_of + 1]
+    # how the last sentence ends
     known_word = np.isin(tgt.hashes, fitted.vocabulary) | tgt.is_number
-    first_token = np.searchsorted(tgt.sentence, np.arange(len(tgt.seg.begins) + 1))
-    s_token = np.searchsorted(src.sentence, np.arange(len(src.seg.begins) + 1))
-
-    def tail(i: int) -> float:
-        """Share of the last three known words of a source sentence that have no counterpart."""
-        at = np.arange(s_token[i], s_token[i + 1])
-        at = at[sw[at] > 0][-3:]
-        return 1 - float(words_s[at].mean()) if len(at) else 0.0
-
-    order = np.argsort(cell[1], kind="stable")
-    partner, target, weight, of_source = (x[order] for x in cell)
-    # how much of each source sentence is rendered by the target sentences that render it most
-    rendered = np.zeros(len(src.seg.begins))
-    if len(target):
-        rank = np.lexsort((-partner, weight, target))
-        heaviest = rank[np.append(target[rank][1:] != target[rank][:-1], True)]
-        np.add.at(rendered, partner[heaviest], of_source[heaviest])
-    out = []
-    for k in range(n):
-        a, b = int(tgt.seg.first[k]), int(tgt.seg.first[k + 1])
-        c, d = int(src.seg.first[k]), int(src.seg.first[k + 1])
-        values = dict.fromkeys(NAMES, 0.0)
-        places: list[int] = []
-        r = float(ratio[k])
-        values.update(
-            one=1.0, shorter=max(0.0, -r), longer=max(0.0, r), translated=share_translated[k], repeated=share_repeated[k], source_repeated=share_back[k],
-            covered=covered[k], in_source_language=as_source[k], in_target_language=as_target[k], in_other_language=other[k], alien_words=min(1.0, alien_words[k]),
-            alien_share=float(has_alien[k]), alien_alone=float(has_alien[k] and rest[k] < 3), tiny=float(count[k] < 4),
-            alien_before_copy=float(has_alien[k]) * min(1.0, 2 * share_repeated[k]) * as_source[k], alien_count=min(1.0, alien_words[k] * count[k] / 8),
-            mostly_repeated=max(0.0, share_repeated[k] - 0.7) * 3, copy_alone=max(0.0, share_repeated[k] - 0.7) * 3 * (1.0 - has_alien[k]),
-        )
-        if b > a:
-            text = tgt.block.joined[int(tgt.seg.begins[b - 1]) : int(tgt.seg.ends[b - 1])]
-            end = _ending(text)
-            src_end = _ending(src.block.joined[int(src.seg.begins[d - 1]) : int(src.seg.ends[d - 1])]) if d > c else "none"
-            # the source sentence that the last target sentence renders most
-            x, y = np.searchsorted(target, [b - 1, b])
-            left_out = shorter = lost = unmet = mate_unmet = 0.0
-            if y > x:
-                best = int(partner[x + int(weight[x:y].argmax())])
-                mates = partner[x:y][weight[x:y] >= 0.4 * weight[x:y].max()]
-                for i, own_part in zip(partner[x:y].tolist(), of_source[x:y].tolist()):
-                    if i == best and s_known[i] > 0:
-                        left_out = max(0.0, 1 - max(rendered[i], own_part) / s_known[i])
-                shorter = max(0.0, float(np.log((src.lengths[best] + 1) / (tgt.lengths[b - 1] + 1))))
-                last = int(mates.max())
-                unmet, mate_unmet = tail(best), tail(last)
-                lost = sum(1.0 for i in range(last + 1, d) if s_known[i] > 0 and s_met[i] < 0.4 * s_known[i])
-            t0, t1 = int(first_token[b - 1]), int(first_token[b])
-            unknown = float(t1 > t0 and not known_word[t1 - 1])
-            no_end = float(end != "end")
-            values.update(
-                ends=1 - no_end, ends_in_word=float(end == "word"), ends_in_dots=float(end == "dots"), ends_in_dash=float(end == "dash"), ends_in_colon=float(end == "colon"),
-                source_ends_like=float(end == src_end), source_ends_in_word=float(src_end == "word"), last_left_out=left_out, last_shorter=min(3.0, shorter) * left_out,
-                last_unknown=unknown, last_left_out_no_end=left_out * no_end, unknown_no_end=unknown * no_end, lost_after=min(3.0, lost), lost_no_end=min(3.0, lost) * no_end,
-                tail_unmet=unmet, tail_unmet_no_end=unmet * no_end, tail_met=float(unmet == 0), tail_met_no_end=float(unmet == 0) * no_end,
-                mate_unmet=mate_unmet, mate_unmet_no_end=mate_unmet * no_end, whole_no_end=float(left_out < 0.1 and unmet == 0) * no_end,
-                **{f"out_{x}": float(left_out > x / 100) for x in (15, 30, 45, 60)}, **{f"out_{x}_no_end": float(left_out > x / 100) * no_end for x in (15, 30, 45, 60)},
-                left_out_much=max(0.0, left_out - 0.3) * 2, left_out_much_no_end=max(0.0, left_out - 0.3) * 2 * no_end,
-            )
-            last_words = re.findall(r"[^\W\d_]+", text[-60:].lower())
-            if last_words:
-                places.append(_place(f"last {last_words[-1]}"))
-                places.append(_place(f"last {end} {last_words[-1]}"))
-            for j in range(a, b):
-                if alien[j]:
-                    words = re.findall(r"[^\W\d_]+", tgt.block.joined[int(tgt.seg.begins[j]) : int(tgt.seg.ends[j])].lower())
-                    places += [_place(w) for w in words] + [_place(f"{v} {w}") for v, w in zip(words, words[1:])]
-        dense = [i for i, name in enumerate(NAMES) if values[name]]
-        hashed = sorted(set(places))
-        scale = 1.0 / max(1.0, len(hashed)) ** 0.5
-        out.append((dense + hashed, [float(values[NAMES[i]]) for i in dense] + [scale] * len(hashed)))
-    return out
-
-
-def _fit_linear(rows: list[tuple[list[int], list[float]]], labels: np.ndarray, epochs: int = 4, seed: int = 5) -> np.ndarray:
+    token_end = np.searchsorted(tgt.sentence, last, side="right")
+    ends_token = has & (token_end > 0)
+    ends_token[ends_token] = tgt.sentence[token_end[ends_token] - 1] == last[ends_token]
+    unknown = np.zeros(n)
+    unknown[ends_token] = ~known_word[token_end[ends_token] - 1]
+    src_last = _last_sentences(src, n)
+    row: list[int] = []
+    places: list[int] = []
+    ends = {kind: np.zeros(n) for kind in ("end", "word", "dots", "dash", "colon", "none")}
+    like, src_word = np.zeros(n), np.zeros(n)
+    alien_of = np.flatnonzero(alien)
+    alien_cut = np.searchsorted(of_sentence[alien_of], np.arange(n + 1)).tolist()
+    begins, stops = tgt.seg.begins.tolist(), tgt.seg.ends.tolist()
+    s_begins, s_stops = src.seg.begins.tolist(), src.seg.ends.tolist()
+    text_of, src_text_of = tgt.inked.joined, src.block.joined
+    for k, (at, s_at) in enumerate(zip(last.tolist(), src_last.tolist())):
+        if at < 0:
+            continue
+        text = text_of[begins[at] : stops[at]]
+        end = _ending(text)
+        src_end = _ending(src_text_of[s_begins[s_at] : s_stops[s_at]]) if s_at >= 0 else "none"
+        ends[end][k] = 1.0
+        like[k], src_word[k] = float(end == src_end), float(src_end == "word")
+        own_places = []
+        word = _LAST_WORD.search(text)
+        if word:
+            word = word.group(1).lower()
+            own_places += [_place(f"last {word}"), _place(f"last {end} {word}")]
+        for j in alien_of[alien_cut[k] : alien_cut[k + 1]].tolist():
+            words = re.findall(r"[^\W\d_]+", text_of[begins[j] : stops[j]].lower())
+            own_places += [_place(w) for w in words] + [_place(f"{v} {w}") for v, w in zip(words, words[1:])]
+        own_places = sorted(set(own_places))
+        row += [k] * len(own_places)
+        places += own_places
+    no_end = has * (1 - ends["end"])
+    out = {name: np.zeros(n) for name in NAMES}
+    out.update(
+        one=np.ones(n), shorter=np.maximum(0.0, -ratio), longer=np.maximum(0.0, ratio), translated=share_translated, repeated=share_repeated, source_repeated=share_back,
+        covered=covered, in_source_language=as_source, in_target_language=as_target, in_other_language=other, alien_words=np.minimum(1.0, alien_words),
+        alien_share=has_alien, alien_alone=has_alien * (rest < 3), tiny=(count < 4).astype(float), alien_before_copy=has_alien * np.minimum(1.0, 2 * share_repeated) * as_source,
+        alien_count=np.minimum(1.0, alien_words * count / 8), mostly_repeated=np.maximum(0.0, share_repeated - 0.7) * 3, copy_alone=np.maximum(0.0, share_repeated - 0.7) * 3 * (1 - has_alien),
+        ends=ends["end"], ends_in_word=ends["word"], ends_in_dots=ends["dots"], ends_in_dash=ends["dash"], ends_in_colon=ends["colon"], source_ends_like=like, source_ends_in_word=src_word,
+        last_left_out=left_out, last_shorter=np.minimum(3.0, shorter) * left_out, last_unknown=unknown, last_left_out_no_end=left_out * no_end, unknown_no_end=unknown * no_end,
+        lost_after=np.minimum(3.0, lost), lost_no_end=np.minimum(3.0, lost) * no_end, tail_unmet=unmet, tail_unmet_no_end=unmet * no_end, tail_met=has * (unmet == 0.0), tail_met_no_end=(unmet == 0) * no_end,
+        mate_unmet=mate_unmet, mate_unmet_no_end=mate_unmet * no_end, whole_no_end=((left_out < 0.1) & (unmet == 0)) * no_end,
+        **{f"out_{x}": (has & (left_out > x / 100)).astype(float) for x in (15, 30, 45, 60)}, **{f"out_{x}_no_end": (left_out > x / 100) * no_end for x in (15, 30, 45, 60)},
+        left_out_much=np.maximum(0.0, left_out - 0.3) * 2, left_out_much_no_end=np.maximum(0.0, left_out - 0.3) * 2 * no_end,
+        some_target_language=(as_target > 0.1).astype(float), all_other_language=(other > 0.9).astype(float),
+    )
+    row_of = np.array(row, np.int64)
+    scale = 1.0 / np.sqrt(np.maximum(1, np.bincount(row_of, minlength=n)))
+    return Features(np.stack([out[name] for name in NAMES], 1).astype(float), row_of, np.array(places, np.int64), scale, tgt, (sums, n_grams, n_words))
+
+
+def _fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 4, seed: int = 5) -> np.ndarray:
     """Weights (places x labels) of independent logistic regressions."""
     rng = np.random.default_rng(seed)
     alpha, beta, l1, l2 = 0.3, 1.0, 0.01, 0.05
@@ -277,10 +338,9 @@ def _fit_linear(rows: list[tuple[list[int], list[float]]], labels: np.ndarray, e
     def weights(z, n):
         return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
 
-    data = [(np.array(p), np.array(v)) for p, v in rows]
     for _ in range(epochs):
-        for i in rng.permutation(len(data)):
-            p, v = data[i]
+        for i in rng.permutation(len(rows)):
+            p, v = rows[i]
             w = weights(z[p], n[p])
             g = v[:, None] * (1 / (1 + np.exp(-np.clip(v @ w, -30, 30))) - labels[i])
             g2 = g * g
@@ -289,13 +349,6 @@ def _fit_linear(rows: list[tuple[list[int], list[float]]], labels: np.ndarray, e
     return weights(z, n)
 
 
-def _scores(rows: list[tuple[list[int], list[float]]], weights: np.ndarray) -> np.ndarray:
-    sizes = np.array([len(p) for p, _ in rows], np.int64)
-    places = np.fromiter((x for p, _ in rows for x in p), np.int64, sizes.sum())
-    values = np.fromiter((x for _, v in rows for x in v), float, sizes.sum())
-    return grouped(weights[places] * values[:, None], np.repeat(np.arange(len(rows)), sizes), len(rows))
-
-
 def _cut_inside(text: str, rng: np.random.Generator) -> str | None:
     """The text broken off inside one of its sentences."""
     sentences = [m.span() for m in re.finditer(r"\S.*?(?:[.!?](?=\s)|(?=\n)|\Z)", text, re.S)]
@@ -348,14 +401,25 @@ def spoilt(rows: list[tuple[str, str, str, int]], rng: np.random.Generator) -> l
     """(source, target, source language, directory's language, label or -1) made from good pairs."""
     out = []
     codes = list(LANGUAGES)
+    by_language: dict[int, list[str]] = {}
+    for _, tgt, _, want in rows:
+        by_language.setdefault(want, []).append(tgt)
+
+    def response(languages: list[int]) -> str | None:
+        """The response of some pair in one of these languages."""
+        texts = [by_language[x] for x in languages if x in by_language]
+        own = texts[int(rng.integers(len(texts)))] if texts else []
+        return own[int(rng.integers(len(own)))] if own else None
+
     for src, tgt, lang, want in rows:
         own = source_codes([lang])[0]
+        others = [i for i in range(len(codes)) if i not in (own, want)]
         out.append((src, tgt, lang, want, -1))
         if (text := _cut_inside(tgt, rng)) is not None:
             out.append((src, text, lang, want, 3))
         if (text := _cut_inside(tgt, rng)) is not None and rng.random() < 0.5:
             out.append((src, text, lang, want, 3))
-        harmless = int(rng.integers(5))
+        harmless = int(rng.integers(6))
         remark = REMARKS[codes[want]][int(rng.integers(3))]
         if harmless == 0:
             out.append((src, tgt.rstrip().rstrip("."), lang, want, -1))
@@ -367,6 +431,10 @@ def spoilt(rows: list[tuple[str, str, str, int]], rng: np.random.Generator) -> l
             out.append((src, f"{tgt.rstrip()} {remark}", lang, want, -1))
         elif harmless == 4 and (text := _drop_sentence(tgt, rng, True)):
             out.append((src, f"{text} {remark}", lang, want, -1))
+        elif harmless == 5 and (text := response(others)):
+            # partly in another language
+            strange = re.split(r"(?<=[.!?])\s+", text)[0]
+            out.append((src, f"{strange} {tgt}" if rng.random() < 0.5 else f"{tgt.rstrip()} {strange}", lang, want, -1))
         kind = int(rng.integers(5))
         if kind in (0, 4):
             out.append((src, _copied(src, tgt, rng), lang, want, 1))
@@ -377,44 +445,46 @@ def spoilt(rows: list[tuple[str, str, str, int]], rng: np.random.Generator) -> l
             text = f"{text}\n\n{src}" if how == 0 else f"<TEXT>{text}</TEXT>" if how == 1 else text
             out.append((src, text, lang, want, 0))
         elif kind == 2:
-            others = [i for i in range(len(codes)) if i not in (own, want)]
             out.append((src, tgt, lang, others[int(rng.integers(len(others)))], 2))
+        elif kind == 3 and (text := response(others)):
+            # swapped for the response of another pair
+            out.append((src, text, lang, want, 2))
     return out
 
 
-def fit(sample: list[tuple[str | None, str | None, str | None, int]], language: LanguageModel, lexicon: Lexicon, seed: int = 11) -> Fitted:
-    """The classifier from (source, target, source language, directory's language) rows."""
+def _judged(examples: list[tuple], fitted: Fitted) -> Iterator[tuple[slice, Features]]:
+    columns = [list(c) for c in zip(*(e[:4] for e in examples))]
+    for begin, end in pair_blocks(columns[0], columns[1]):
+        yield slice(begin, end), features(*(c[begin:end] for c in columns), fitted)
+
+
+def fit(sample: list[tuple[str | None, str | None, str | None, int]], language: LanguageModel, words: Fit, seed: int = 11) -> Fitted:
+    """The classifier from (source, target, source language, directory's language) rows and the words of all pairs."""
     rng = np.random.default_rng(seed)
     rows = [row for row in sample if row[0] and row[3] >= 0 and not is_empty(row[1])]
-    fitted = Fitted(language, lexicon, np.zeros(0, np.uint64))
-    if not rows:
-        return fitted
-    fitted.vocabulary = np.unique(np.concatenate([Side([row[1] for row in rows]).hashes, Side([row[0] for row in rows]).hashes]))
-    words, counts = np.unique(Side([row[1] for row in rows]).hashes, return_counts=True)
-    fitted.vocabulary = words[counts >= 3]
-    seen = features(*map(list, zip(*rows)), fitted)
+    fitted = Fitted(language, words.lexicon, words.vocabulary)
     at = {name: i for i, name in enumerate(NAMES)}
     good = []
-    for row, (places, values) in zip(rows, seen):
-        value = dict(zip(places, values))
-        if value.get(at["covered"], 0) > 0.7 and value.get(at["in_target_language"], 0) > 0.9 and value.get(at["last_left_out"], 0) < 0.3 and value.get(at["repeated"], 0) < 0.6:
-            good.append(row)
+    for part, seen in _judged(rows, fitted) if rows else ():
+        value = lambda name: seen.dense[:, at[name]]  # noqa: B023, E731
+        fine = (value("covered") > 0.7) & (value("in_target_language") > 0.9) & (value("last_left_out") < 0.3) & (value("repeated") < 0.6)
+        good += [row for row, ok in zip(rows[part], fine.tolist()) if ok]
     examples = spoilt(good, rng)
     if not examples:
         return fitted
-    rows_x = []
-    for begin in range(0, len(examples), PAIRS):
-        part = examples[begin : begin + PAIRS]
-        rows_x += features([e[0] for e in part], [e[1] for e in part], [e[2] for e in part], [e[3] for e in part], fitted)
+    rows_x: list[tuple[np.ndarray, np.ndarray]] = []
+    parts = []
+    for _, seen in _judged(examples, fitted):
+        parts.append(seen)
+        rows_x += seen.rows()
     labels = np.zeros((len(examples), len(LABELS)))
     for i, e in enumerate(examples):
         if e[4] >= 0:
             labels[i, e[4]] = 1
     held = rng.random(len(examples)) < 0.25
-    train = np.flatnonzero(~held)
+    train, test = np.flatnonzero(~held), np.flatnonzero(held)
     fitted.weights = _fit_linear([rows_x[i] for i in train], labels[train])
-    test = np.flatnonzero(held)
-    scores = _scores([rows_x[i] for i in test], fitted.weights) if len(test) else np.zeros((0, len(LABELS)))
+    scores = np.concatenate([seen.scores(fitted.weights) for seen in parts])[test]
     fitted.thresholds = np.zeros(len(LABELS))
     for k in range(len(LABELS)):
         y = labels[test, k] > 0
@@ -428,23 +498,19 @@ def fit(sample: list[tuple[str | None, str | None, str | None, int]], language:
     return fitted
 
 
+def judged(src_texts, tgt_texts, src_langs, majority, fitted: Fitted) -> tuple[list[str | None], Features]:
+    """The defect of each pair, or none, and what was seen of it."""
+    seen = features(src_texts, tgt_texts, src_langs, majority, fitted)
+    out: list[str | None] = [None] * len(src_texts)
+    if fitted.weights is not None:
+        said = seen.scores(fitted.weights) > fitted.thresholds
+        for k in np.flatnonzero(said.any(1)).tolist():
+            out[k] = LABELS[int(said[k].argmax())]
+    return ["empty" if is_empty(t) else label for t, label in zip(tgt_texts, out)], seen
+
+
 def judge(src_texts, tgt_texts, src_langs, majority, fitted: Fitted) -> list[str | None]:
-    """The defect of each pair, or none."""
-    empty = [is_empty(t) for t in tgt_texts]
-    if fitted.weights is None:
-        return ["empty" if e else None for e in empty]
-    rows = features(src_texts, tgt_texts, src_langs, majority, fitted)
-    scores = _scores(rows, fitted.weights) - fitted.thresholds
-    wrong, wanted = LABELS.index("wrong_language"), NAMES.index("in_target_language")
-    out: list[str | None] = []
-    for k, e in enumerate(empty):
-        places, values = rows[k]
-        # a text that is partly in the directory's language is no case
-        if scores[k, wrong] > 0 and wanted in places and values[places.index(wanted)] > 0.2:
-            scores[k, wrong] = 0.0
-        first = next((label for i, label in enumerate(LABELS) if scores[k, i] > 0), None)
-        out.append("empty" if e else first)
-    return out
+    return judged(src_texts, tgt_texts, src_langs, majority, fitted)[0]
 
 
 # -- on tables --------------------------------------------------------------------------------------------------------
@@ -459,26 +525,49 @@ def target_languages(pairs: DataFrame, model: LanguageModel) -> dict[int, int]:
     return {row["id"]: LANGUAGES.index(row["lang"]) for row in votes.where("id is not null").collect()}
 
 
-def fit_tables(pairs: DataFrame, model: LanguageModel, lexicon: Lexicon, languages: dict[int, int]) -> Fitted:
-    sample = bounded_sample(pairs.select("pair_id", "lang_dir_id", "src_lang", "src_text", "tgt_text"), "pair_id", TRAIN_PAIRS)
-    return fit([(r["src_text"], r["tgt_text"], r["src_lang"], languages.get(r["lang_dir_id"], -1)) for r in sample.collect()], model, lexicon)
+def fit_tables(pairs: DataFrame, model: LanguageModel, words: Fit, languages: dict[int, int], train_pairs: int = TRAIN_PAIRS) -> Fitted:
+    sample = bounded_sample(pairs.select("pair_id", "lang_dir_id", "src_lang", "src_text", "tgt_text"), "pair_id", train_pairs)
+    return fit([(r["src_text"], r["tgt_text"], r["src_lang"], languages.get(r["lang_dir_id"], -1)) for r in sample.collect()], model, words)
 
 
-def find_defects(pairs: DataFrame, fitted: Fitted, languages: dict[int, int]) -> DataFrame:
-    """pair_id, defect of every defective pair; nothing is shuffled. What is broadcast is bounded by the samples and by
-    the number of directories."""
+JUDGED = "pair_id bigint, defect string, seg_no int, lang string, confidence double"
+
+
+def judge_pairs(pairs: DataFrame, fitted: Fitted, languages: dict[int, int], with_sentences: bool = False) -> DataFrame:
+    """pair_id and defect of every defective pair (seg_no 0, lang that of the target if it has one).
+
+    with_sentences: besides, of the other pairs, the sentences (seg_no) that are in a language other than most of the
+    target, so that both come from one reading. Nothing is shuffled. What is broadcast is bounded by the samples, the word
+    table and the number of directories."""
     sent = pairs.sparkSession.sparkContext.broadcast((fitted, languages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted, languages = sent.value
+        names = [part.split()[0] for part in JUDGED.split(", ")]
+        codes = np.array([*LANGUAGES, None], object)
         for batch in batches:
-            for begin in range(0, batch.num_rows, PAIRS):
-                part = batch.slice(begin, PAIRS)
-                majority = [languages.get(x, -1) for x in part.column(1).to_pylist()]
-                found = judge(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist(), majority, fitted)
-                keep = [i for i, defect in enumerate(found) if defect]
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[keep] if keep else [], pa.int64()), pa.array([found[i] for i in keep], pa.string())], ["pair_id", "defect"])
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            majority = [languages.get(x, -1) for x in batch.column(1).to_pylist()]
+            texts = [batch.column(k).to_pylist() for k in (2, 3, 4)]
+            for begin, end in pair_blocks(texts[0], texts[1]):
+                found, seen = judged(*(c[begin:end] for c in texts), majority[begin:end], fitted)
+                seg, model = seen.target.seg, fitted.language
+                main, odds, _ = main_language(model, seg, *seen.spoken, True)
+                bad = np.flatnonzero([label is not None for label in found])
+                sure = confidences(odds[bad]).max(1) if len(bad) else np.zeros(0)
+                parts = [(bad, np.array([found[k] for k in bad], object), np.zeros(len(bad), np.int32), codes[main[bad]], sure)]
+                if with_sentences:
+                    at, best, sure = foreign_segments(model, *seen.spoken, main[seg.text])
+                    at_good = ~np.isin(seg.text[at], bad)
+                    at, best, sure = at[at_good], best[at_good], sure[at_good]
+                    parts.append((seg.text[at], np.full(len(at), None, object), seg.number[at].astype(np.int32), codes[best], sure))
+                for rows, defect, number, lang, sure in parts:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows + begin], pa.int64()), pa.array(defect, pa.string()), pa.array(number), pa.array(lang, pa.string()), pa.array(sure)], names)
 
     source = pairs.select(F.col("pair_id").cast("bigint").alias("pair_id"), F.col("lang_dir_id").cast("bigint").alias("dir"), "src_text", "tgt_text", "src_lang")
-    return source.mapInArrow(run, "pair_id bigint, defect string")
+    return source.mapInArrow(run, JUDGED)
+
+
+def find_defects(pairs: DataFrame, fitted: Fitted, languages: dict[int, int]) -> DataFrame:
+    """pair_id, defect of every defective pair."""
+    return judge_pairs(pairs, fitted, languages).select("pair_id", "defect")

@@ -308,13 +308,9 @@ def detect(
                     n_words = grouped(n_words, group, n)
                 else:
                     number, of, spoken = seg.number, seg.text, np.full(len(seg.text), 2)
-                odds = scorer.model.log_odds(sums, n_grams)
-                best = odds.argmax(1)
-                own = np.maximum(main[of], 0)
-                gain = odds[np.arange(len(odds)), best] - odds[np.arange(len(odds)), own]
-                other = np.flatnonzero((n_words > 0) & (spoken >= 2) & (main[of] >= 0) & (best != own) & (gain > MARGIN))
-                sure = confidences(odds[other])[np.arange(len(other)), best[other]] if len(other) else np.zeros(0)
-                yield _rows(pa.array(ids[of[other]]), [pa.array(number[other].astype(np.int32)), pa.array(names[best[other]], pa.string()), pa.array(sure), pa.array(n_words[other].astype(np.int32)), pa.array(names[own[other]], pa.string()), pa.nulls(len(other), pa.bool_())])
+                other, best, sure = foreign_segments(scorer.model, sums, n_grams, n_words, main[of], spoken >= 2)
+                own = main[of[other]]
+                yield _rows(pa.array(ids[of[other]]), [pa.array(number[other].astype(np.int32)), pa.array(names[best], pa.string()), pa.array(sure), pa.array(n_words[other].astype(np.int32)), pa.array(names[own], pa.string()), pa.nulls(len(other), pa.bool_())])
 
     source = df.select(
         df[id_column].cast("bigint").alias("id"),
@@ -324,6 +320,17 @@ def detect(
     return source.mapInArrow(run, SEGMENT_SCHEMA)
 
 
+def foreign_segments(
+    model: LanguageModel, sums: np.ndarray, n_grams: np.ndarray, n_words: np.ndarray, main: np.ndarray, able: np.ndarray | bool = True
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The segments that are in a language other than their text's (main), that language and its confidence."""
+    odds = model.log_odds(sums, n_grams)
+    best, own, at = odds.argmax(1) if len(odds) else np.zeros(0, np.int64), np.maximum(main, 0), np.arange(len(odds))
+    other = np.flatnonzero((n_words > 0) & able & (main >= 0) & (best != own) & (odds[at, best] - odds[at, own] > MARGIN))
+    sure = confidences(odds[other])[np.arange(len(other)), best[other]] if len(other) else np.zeros(0)
+    return other, best[other], sure
+
+
 def main_language(
     model: LanguageModel, seg: Segments, sums: np.ndarray, n_grams: np.ndarray, n_words: np.ndarray, by_sentence: bool = False
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -29,8 +29,17 @@ def _language_model(spark: SparkSession, sf_dir: str) -> langid.LanguageModel:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _alignment(spark, sf_dir).select("pair_id", "src_no", "tgt_no")
+
+
+def _alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _prose_pairs(spark, sf_dir)
-    return alignment.align(pairs, _language_model(spark, sf_dir), alignment.fit_tables(pairs))
+    return alignment.align(pairs, _language_model(spark, sf_dir), alignment.fit_tables(pairs).lexicon)
+
+
+def p1_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many renderings were found on the paths, and how many outside them."""
+    return _alignment(spark, sf_dir).groupBy("via").agg(F.count(F.lit(1)).alias("n"))
 
 
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,10 +90,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     of_documents = documents.where("seg_no > 0 or not label_fits").select(
         F.lit("documents").alias("table_name"), F.col("id").alias("record_id"), "seg_no", "lang"
     )
-    sentences = langid.detect(pairs, "pair_id", "tgt_text", model, "sentence").where("seg_no > 0")
-    defective = defects.find_defects(pairs, fitted, languages).select(F.col("pair_id").alias("id"))
-    of_pairs = sentences.join(defective, "id", "left_anti").select(
-        F.lit("recovered_chunk_pair").alias("table_name"), F.col("id").alias("record_id"), "seg_no", "lang"
+    of_pairs = defects.judge_pairs(pairs, fitted, languages, with_sentences=True).where("defect is null").select(
+        F.lit("recovered_chunk_pair").alias("table_name"), F.col("pair_id").alias("record_id"), "seg_no", "lang"
     )
     labels = load(spark, sf_dir, "lang_dir").where("role = 'target'").select("lang_dir_id", "language").collect()
     wrong = [
@@ -137,6 +144,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_ways": p1_ways,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p4_found": p4_found,

@@ -36,7 +36,7 @@ _MARKUP = re.compile(
     | \{{[A-Za-z:_-]+\}}
     | ^[ \t]*:{{3,}}[^\n]*$ | ^\([\w:-]+\)=[^\n]*$ | ^[ \t]*:[\w-]+:[^\n]*$
     | ^[ \t]*\#(?:set|let|show|import|include)\b[^\n]*$
-    | <[^<>\n]{{1,80}}> | @[\w:-]+ | https?://\S+ | &\#?\w+;
+    | <[^<>\n]+> | @[\w:-]+ | https?://\S+ | &\#?\w+;
     """,
     re.X | re.M | re.S,
 )
@@ -52,6 +52,15 @@ def without_markup(text: str) -> str:
     return _MARKUP.sub(_blank, text)
 
 
+#: tags of the translation format
+_WRAPPED = re.compile(r"</?(?:document|TEXT|PH)\b[^<>\n]*>")
+
+
+def unwrapped(text: str | None) -> str:
+    """The text with the tags of the translation format blanked out, at equal length."""
+    return _WRAPPED.sub(lambda m: " " * len(m.group()), text) if text and "<" in text else text or ""
+
+
 @lru_cache(maxsize=1)
 def _word_table() -> np.ndarray:
     """Letters and the marks that go with them."""

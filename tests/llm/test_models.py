@@ -5,6 +5,7 @@ import pytest
 
 from quirelake.llm import abuse, alignment, defects, langid
 from quirelake.llm.langid import LANGUAGES, canonical
+from quirelake.llm.textkernel import hash_of
 
 #: words for small made-up languages that share no spelling
 SUBJECTS = {
@@ -39,14 +40,32 @@ def model():
     return langid.fit(langid.labelled_sentences(rows))
 
 
+PAIR = "src_text string, tgt_text string, src_lang string"
+
+
 @pytest.fixture(scope="module")
-def lexicon():
+def words(spark):
     rng = random.Random(2)
-    rows = []
+    rows = [(None, "Eins.", "English"), ("One.", None, None), ("", "", "English"), ("One 2.", "Eins 2.", None)]
     for _ in range(400):
         p = plans(rng, 4)
         rows += [(" ".join(sentence("en", x) for x in p), " ".join(sentence(lang, x) for x in p), "English") for lang in ("de", "uk")]
-    return alignment.fit_lexicon(rows)
+    return alignment.fit_tables(spark.createDataFrame(rows, PAIR))
+
+
+@pytest.fixture(scope="module")
+def lexicon(words):
+    return words.lexicon
+
+
+def test_words_are_counted_over_all_pairs(words, lexicon):
+    def translated(word, code="English"):
+        key = np.uint64(hash_of(word)) ^ alignment._LANGUAGE_KEYS[alignment.source_codes([code])[0]]
+        return set(lexicon.source[np.searchsorted(lexicon.target, key) : np.searchsorted(lexicon.target, key, side="right")].tolist())
+
+    assert translated("fluss") >= {hash_of("river")} and translated("сад") >= {hash_of("garden")} and not translated("river")
+    assert np.isin(np.uint64(hash_of("straße")), words.vocabulary) and not np.isin(np.uint64(hash_of("river")), words.vocabulary)
+    assert 0.8 < lexicon.ratio < 1.3 and lexicon.variance >= 1
 
 
 @pytest.mark.parametrize("label, code", [("EN", "en"), ("en-GB", "en"), (" Deutsch ", "de"), ("ua", "uk"), ("_ua", "uk"), ("Français", "fr"), ("es_MX", "es"), ("", None), (None, None), ("??", None), ("und", None), ("Armenian", None), ("e", None)])
@@ -108,6 +127,77 @@ def test_alignment_of_omissions_merges_moves_and_copies(spark, model, lexicon):
     assert not set(got) & {5, 6, 7}
 
 
+def no_words(n):
+    return alignment._dense_rows(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0), n)
+
+
+def plain_path(la, lb, ka, kb, cells, lexicon):
+    """The cost of the cheapest path, cell by cell."""
+    cost = {(0, 0): 0.0}
+    for i in range(len(la) + 1):
+        for j in range(len(lb) + 1):
+            for (a, b), prior in alignment.PRIOR.items():
+                if (i - a, j - b) in cost:
+                    cost[i, j] = min(cost.get((i, j), np.inf), cost[i - a, j - b] + prior + bead_cost(i - a, a, j - b, b, la, lb, ka, kb, cells, lexicon))
+    return cost[len(la), len(lb)]
+
+
+def bead_cost(i, a, j, b, la, lb, ka, kb, cells, lexicon):
+    if not a or not b:
+        return 0.0
+    known_a, known_b = sum(ka[i : i + a]), sum(kb[j : j + b])
+    s, t = (sum(cells.get((x, y), (0, 0))[side] for x in range(i, i + a) for y in range(j, j + b)) for side in (0, 1))
+    shared = min(s, known_a or s) + min(t, known_b or t)
+    words = alignment.LEXICAL * (0.5 - min(1.0, shared / (known_a + known_b))) * min(1.0, (known_a + known_b) / 8) if known_a + known_b else 0.0
+    return float(alignment.length_cost(sum(la[i : i + a]), sum(lb[j : j + b]), lexicon)) + words
+
+
+def total(path, la, lb, ka, kb, cells, lexicon):
+    assert [x for i, a, _, _ in path for x in range(i, i + a)] == list(range(len(la))) and [y for *_, j, b in path for y in range(j, j + b)] == list(range(len(lb)))
+    return sum(alignment.PRIOR[a, b] + bead_cost(i, a, j, b, la, lb, ka, kb, cells, lexicon) for i, a, j, b in path)
+
+
+def made_up(rng, m, n):
+    la, lb = ([float(rng.randrange(5, 90)) for _ in range(k)] for k in (m, n))
+    ka, kb = ([float(rng.choice((0, 3, 9))) for _ in range(k)] for k in (m, n))
+    cells = {(i, j): (rng.random() * ka[i], rng.random() * kb[j]) for i in range(m) for j in range(n) if rng.random() < 0.2}
+    i, j, s, t = (np.array(c) for c in zip(*[(i, j, s, t) for (i, j), (s, t) in sorted(cells.items())])) if cells else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),) * 2
+    return la, lb, ka, kb, cells, alignment._dense_rows(i, j, s, t, n)
+
+
+@pytest.mark.parametrize("kept", [alignment.KEPT, 24])
+def test_path_with_words_is_the_cheapest_in_one_strip_or_many(lexicon, kept, monkeypatch):
+    monkeypatch.setattr(alignment, "KEPT", kept)
+    rng = random.Random(7)
+    for _ in range(25):
+        la, lb, ka, kb, cells, rows = made_up(rng, rng.randrange(1, 14), rng.randrange(1, 12))
+        found = alignment.best_path(la, lb, ka, kb, rows, lexicon)
+        assert total(found, la, lb, ka, kb, cells, lexicon) == pytest.approx(plain_path(la, lb, ka, kb, cells, lexicon))
+
+
+def test_pairs_searched_together_have_their_own_paths(model, lexicon, monkeypatch):
+    rng = random.Random(4)
+    src = [" ".join(sentence("en", x) for x in plans(rng, rng.randrange(0, 9))) for _ in range(60)]
+    tgt = [" ".join(sentence("de", x) for x in plans(rng, rng.randrange(0, 9))) for _ in range(60)]
+    tgt[7], src[9] = src[7], tgt[9]
+
+    def beads():
+        aligner = alignment.Aligner(alignment.Side(src), alignment.Side(tgt, codes=[1] * 60), lexicon)
+        return sorted(map(tuple, aligner.beads().tolist())), sorted(zip(*(x.tolist() for x in aligner.renderings())))
+
+    together = beads()
+    for name, value in (("CELLS", 0), ("THIN", 0), ("LINKS", 3), ("KEPT", 10)):
+        monkeypatch.setattr(alignment, name, value)
+        assert beads() == together, name
+
+
+@pytest.mark.parametrize("m, n", [(10, 20000), (20000, 10), (1, 200000), (200000, 1), (1500, 1500)])
+def test_pairs_of_very_unequal_or_large_size(model, lexicon, m, n):
+    src, tgt = ["The old river remembers 12. "] * m, ["Der alte Fluss erinnert an 12. "] * n
+    rows, i, j, _ = alignment.align_block(["".join(src), "A."], ["".join(tgt), "B."], ["English", None], model, lexicon)
+    assert (rows == 0).sum() >= min(m, n) and (rows == 1).sum() == 1 and i.max() <= m and j.max() <= n
+
+
 def test_path_is_the_cheapest(lexicon):
     """Against all paths, on small sizes."""
     rng = random.Random(5)
@@ -123,11 +213,11 @@ def test_path_is_the_cheapest(lexicon):
     for _ in range(20):
         la, lb = ([float(rng.randrange(5, 90)) for _ in range(rng.randrange(1, 4))] for _ in range(2))
         best = min(cost(path, la, lb) for path in every(len(la), len(lb)))
-        found = alignment.best_path(la, lb, [0.0] * len(la), [0.0] * len(lb), {}, lexicon)
+        found = alignment.best_path(la, lb, [0.0] * len(la), [0.0] * len(lb), no_words(len(lb)), lexicon)
         assert cost(found, la, lb) == pytest.approx(best)
 
 
-def test_long_texts_keep_to_the_band(spark, model, lexicon):
+def test_long_texts(spark, model, lexicon):
     rng = random.Random(6)
     p = plans(rng, 500)
     got = aligned(spark, model, lexicon, [(" ".join(sentence("en", x) for x in p), " ".join(sentence("de", x) for x in p))])
@@ -135,25 +225,25 @@ def test_long_texts_keep_to_the_band(spark, model, lexicon):
 
 
 def test_empty_lexicon_and_table(spark, model):
-    none = alignment.fit_lexicon([])
+    none = alignment.fit_tables(spark.createDataFrame([], PAIR)).lexicon
     assert aligned(spark, model, none, [("One two three.", "Eins zwei drei.")])[0] == {(1, 1)}
     df = spark.createDataFrame([], "pair_id bigint, src_text string, tgt_text string, src_lang string")
     assert alignment.align(df, model, none).count() == 0
 
 
-@pytest.mark.parametrize("text, empty", [(None, True), ("", True), (" \n\xa0​", True), ('""', True), ("<TEXT> </TEXT>", True), ("```\n```", True), ("<PH id=\"1\"/>", True), ("a", False), ("$x$", False), ("1", False)])
+@pytest.mark.parametrize("text, empty", [(None, True), ("", True), (" \n\xa0​", True), ('""', True), ("<TEXT> </TEXT>", True), ("```\n```", True), ("<PH id=\"1\"/>", True), ("<TEXT " + "x" * 300 + ">", True), ("a", False), ("$x$", False), ("1", False)])
 def test_empty(text, empty):
     assert defects.is_empty(text) is empty
 
 
 @pytest.fixture(scope="module")
-def judge(model, lexicon):
+def judge(model, words):
     rng = random.Random(8)
     rows = []
     for _ in range(700):
         p = plans(rng, rng.randrange(2, 5))
         rows.append((" ".join(sentence("en", x) for x in p), " ".join(sentence("de", x) for x in p), "English", LANGUAGES.index("de")))
-    return defects.fit(rows, model, lexicon)
+    return defects.fit(rows, model, words)
 
 
 def test_defects_on_held_out_pairs(judge):
