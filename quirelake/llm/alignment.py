@@ -16,7 +16,7 @@ path is monotone, so two things follow it:
 Sentences of the target that are in the source's language are no renderings and take no part.
 
 Word table: co-occurrence in one-to-one sentences, counted over all pairs in Spark, a row a word pair and task; words
-translate each other if their association (phi squared) is at least half of the target word's best one and significant.
+translate each other if their association (phi squared) is at least 0.4 of the best one of either and significant.
 The table sent to the workers has at most `TABLE_ROWS` rows, those with most evidence.
 
 Memory: a path keeps two rows and a byte for each cell; beyond `KEPT` cells only the rows that open a strip are kept and
@@ -61,6 +61,8 @@ CELLS, KEPT, LINKS = 1 << 20, 1 << 26, 1 << 21
 TALL, THIN = 1024, 256
 #: least number of sentences, and least log likelihood ratio, for two words to be taken for translations
 LEAST_SEEN, LEAST_EVIDENCE = 3, 15.0
+#: a word that ends a sentence in less than this share of its places hardly ever does
+RARELY_LAST = 0.005
 
 
 _LANGUAGE_KEYS = np.array([hash_of(f"from {code}") for code in (*LANGUAGES, "?")], np.uint64)
@@ -587,15 +589,17 @@ class Statistics:
 
     def __init__(self) -> None:
         self.pairs, self.sources, self.targets = _Tally(3), _Tally(2), _Tally(2)
-        #: sentences that hold a word, of either side, and places of target words but the last of each text
-        self.holding, self.inside = _Tally(1), _Tally(1)
+        #: sentences that hold a word, of either side; places of target words but the last of each text; target
+        #: sentences with a full stop that a word ends
+        self.holding, self.inside, self.closing = _Tally(1), _Tally(1), _Tally(1)
         self.sentences = 0
         self.per_code = np.zeros(len(LANGUAGES) + 1, np.int64)
         self.moments = np.zeros((4,))
 
     def add(self, src_texts: list[str | None], tgt_texts: list[str | None], src_langs: list[str | None]) -> None:
         codes = np.array(source_codes(src_langs), np.int64)
-        src, tgt = Side(src_texts), Side(tgt_texts, codes=codes.tolist(), blanked=[unwrapped(t) for t in tgt_texts])
+        src = Side(src_texts, blanked=[unwrapped(t) for t in src_texts])
+        tgt = Side(tgt_texts, codes=codes.tolist(), blanked=[unwrapped(t) for t in tgt_texts])
         aligner = Aligner(src, tgt, Lexicon())
         beads = aligner.beads(6.0)
         beads = beads[(beads[:, 2] == 1) & (beads[:, 4] == 1)]
@@ -616,6 +620,10 @@ class Statistics:
         inner = letters.copy()
         inner[last[last >= 0]] = False
         self.inside.add([tgt.hashes[inner]], np.ones(int(inner.sum()), np.int64))
+        closed = np.flatnonzero(np.isin(_last_ink(tgt), (33, 46, 63)))
+        at = np.searchsorted(tgt.sentence, closed, side="right") - 1
+        at = at[(at >= 0) & (tgt.sentence[np.maximum(at, 0)] == closed)]
+        self.closing.add([tgt.hashes[at]], np.ones(len(at), np.int64))
         s_first, t_first = np.searchsorted(s_at, np.arange(len(src.seg.begins) + 1)), np.searchsorted(t_at, np.arange(len(tgt.seg.begins) + 1))
         for begin, end in _portions((s_first[i + 1] - s_first[i]) * (t_first[j + 1] - t_first[j]), LINKS):
             x, y, c = i[begin:end], j[begin:end], code[begin:end]
@@ -635,16 +643,23 @@ class Statistics:
             real = [pa.array(np.broadcast_to(np.asarray(v, float), size)) for v in (x, y, z)]
             return pa.RecordBatch.from_arrays([pa.array([kind] * size), pa.array(whole(code).astype(np.int32)), pa.array(whole(t)), pa.array(whole(s)), pa.array(np.asarray(n, np.int64)), *real], names)
 
-        for tally in (self.pairs, self.sources, self.targets, self.holding, self.inside):
+        for tally in (self.pairs, self.sources, self.targets, self.holding, self.inside, self.closing):
             tally.settle()
         step = 1 << 16
-        for kind, tally, order in (("pair", self.pairs, (0, 1, 2)), ("source", self.sources, (0, None, 1)), ("target", self.targets, (0, 1, None)), ("holding", self.holding, (None, 0, None)), ("inside", self.inside, (None, 0, None))):
+        for kind, tally, order in (("pair", self.pairs, (0, 1, 2)), ("source", self.sources, (0, None, 1)), ("target", self.targets, (0, 1, None)), ("holding", self.holding, (None, 0, None)), ("inside", self.inside, (None, 0, None)), ("closing", self.closing, (None, 0, None))):
             for at in range(0, len(tally.n), step):
                 yield made(kind, *(0 if k is None else tally.columns[k][at : at + step] for k in order), tally.n[at : at + step])
         yield made("code", np.arange(len(self.per_code)), 0, 0, self.per_code)
         yield made("total", 0, 0, 0, np.array([self.sentences]), *(np.array([v]) for v in self.moments[:3]))
 
 
+def _last_ink(side: Side) -> np.ndarray:
+    """The last code point of each sentence that is no white space."""
+    inked = np.flatnonzero(side.inked.cps > 32)
+    at = np.searchsorted(inked, side.seg.ends) - 1
+    return side.inked.cps[inked[np.maximum(at, 0)]] if len(inked) else np.zeros(len(at), np.uint32)
+
+
 def _portions(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of items of about so much size together."""
     total = np.concatenate([[0], np.cumsum(sizes)])
@@ -660,8 +675,9 @@ class Fit:
     """What the pairs of a table say about lengths and words."""
 
     lexicon: Lexicon
-    #: hashes of the words that stand inside target texts, sorted
+    #: hashes of the words that stand inside target texts, and of those among them that hardly ever end a sentence, sorted
     vocabulary: np.ndarray
+    never_last: np.ndarray
 
 
 def count_words(pairs: DataFrame) -> DataFrame:
@@ -688,7 +704,7 @@ def fit_tables(pairs: DataFrame, table_rows: int = TABLE_ROWS) -> Fit:
     of = lambda kind: counts.where(F.col("kind") == kind)
     total = of("total").first()
     if total is None or not total["n"]:
-        return Fit(Lexicon(), np.zeros(0, np.uint64))
+        return Fit(Lexicon(), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
     a, b, bb = max(total["x"], 1.0), total["y"], total["z"]
     per_code = {r["code"]: r["n"] for r in of("code").collect()}
     close = max(1, sum(per_code.values()))
@@ -709,13 +725,15 @@ def fit_tables(pairs: DataFrame, table_rows: int = TABLE_ROWS) -> Fit:
     )
     scored = joined.withColumn("phi", gain * gain / (c_s * c_t * F.greatest(n - c_s, F.lit(0.5)) * F.greatest(n - c_t, F.lit(0.5)))).withColumn("evidence", evidence)
     scored = scored.where((gain > 0) & (F.col("evidence") >= LEAST_EVIDENCE))
-    best = scored.withColumn("best", F.max("phi").over(Window.partitionBy("code", "t"))).where("phi >= 0.5 * best")
+    of_t, of_s = Window.partitionBy("code", "t"), Window.partitionBy("code", "s")
+    best = scored.withColumns({"best_t": F.max("phi").over(of_t), "best_s": F.max("phi").over(of_s)}).where("phi >= 0.4 * least(best_t, best_s)")
     rows = best.orderBy(F.desc("evidence"), "code", "t", "s").limit(table_rows).select("code", "t", "s")
     rows = durable(rows)
     table = rows.toArrow()
     held = lambda column: rows.select(F.col(column).alias("t")).distinct()
     weights = of("holding").join(held("t").union(held("s")).distinct(), "t", "left_semi").select("t", "n").toArrow()
-    inside = of("inside").where(F.col("n") >= LEAST_SEEN).orderBy(F.desc("n"), "t").limit(table_rows).select("t").toArrow()
+    frequent = of("inside").where(F.col("n") >= LEAST_SEEN).orderBy(F.desc("n"), "t").limit(table_rows).select("t", "n")
+    inside = frequent.join(of("closing").select("t", F.col("n").alias("last")), "t", "left").select("t", "n", F.coalesce("last", F.lit(0)).alias("last")).toArrow()
     as_hash = lambda part, name: part.column(name).to_numpy().astype(np.int64).view(np.uint64)
     codes = table.column("code").to_numpy().astype(np.int64)
     codes = np.where(codes == len(LANGUAGES), -1, codes)
@@ -726,7 +744,7 @@ def fit_tables(pairs: DataFrame, table_rows: int = TABLE_ROWS) -> Fit:
     idf = np.clip(np.log(total["n"] / 2 / (1.0 + weights.column("n").to_numpy())), 0.3, 6.0)
     at = np.argsort(words)
     lexicon = Lexicon(target[order], source[order], words[at], idf[at], ratio, variance)
-    return Fit(lexicon, np.sort(as_hash(inside, "t")))
+    return Fit(lexicon, np.sort(as_hash(inside, "t")), np.sort(as_hash(inside, "t")[inside.column("last").to_numpy() < RARELY_LAST * inside.column("n").to_numpy()]))
 
 
 def _with_pivots(keys: np.ndarray, target: np.ndarray, codes: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -762,7 +780,8 @@ def in_language(tgt: Side, model: LanguageModel, codes: list[int]) -> np.ndarray
 def align_block(src_texts: list[str | None], tgt_texts: list[str | None], src_langs: list[str | None], model: LanguageModel, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, source number and target number (from 1) of every rendering, and whether it is outside the path."""
     codes = source_codes(src_langs)
-    src, tgt = Side(src_texts), Side(tgt_texts, with_plain=True, codes=codes, blanked=[unwrapped(t) for t in tgt_texts])
+    src = Side(src_texts, blanked=[unwrapped(t) for t in src_texts])
+    tgt = Side(tgt_texts, with_plain=True, codes=codes, blanked=[unwrapped(t) for t in tgt_texts])
     use = ~in_language(tgt, model, codes) if len(tgt.seg.begins) else None
     i, j, moved = Aligner(src, tgt, lexicon, use).renderings()
     return src.seg.text[i], src.seg.number[i], tgt.seg.number[j], moved

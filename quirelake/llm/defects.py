@@ -35,7 +35,7 @@ from quirelake.llm.langid import LANGUAGES, LanguageModel, bounded_sample, confi
 from quirelake.llm.segments import unwrapped
 
 LABELS = ("refusal", "copy", "wrong_language", "truncated")
-TRAIN_PAIRS = 2500
+TRAIN_PAIRS = 4000
 HASH_DIM = 1 << 13
 #: share of pairs that is expected to have any one defect, for the thresholds
 SHARE = 0.05
@@ -49,36 +49,42 @@ REFUSALS = {
         "Unfortunately I have to decline to translate this passage.", "Please provide the text that you want me to translate.", "The guidelines do not allow me to continue.",
         "This content could not be processed.", "The request was declined.", "I am unable to assist with that.", "Could you paste the text to be translated?",
         "I must decline to go on with this.", "My rules do not permit this translation.", "As a language model I cannot handle this request.", "Please send the text first.",
+        "Sorry, a translation is not possible here.", "There is no translation, as the passage could be against the rules.", "The passage could not be handled, please try something else.", "My instructions forbid me to translate this.",
     ],
     "fr": [
         "Je suis désolé, mais je ne peux pas traduire ce texte.", "Je ne peux pas répondre à cette demande.", "En tant que modèle de langage, je ne peux pas traiter ce contenu.",
         "Malheureusement, je dois refuser de traduire ce passage.", "Veuillez fournir le texte à traduire.", "Il m'est impossible de continuer.", "Cette demande a été refusée.",
         "Ce contenu n'a pas pu être traité.", "Mes consignes ne me permettent pas de traduire cela.",
         "Je dois refuser de poursuivre.", "Il m'est interdit de traduire ce texte.", "Désolé, je ne peux pas vous aider.", "Merci d'indiquer le texte à traduire.",
+        "Désolé, une traduction n'est pas possible ici.", "Le passage n'a pas pu être traité, essayez autre chose.", "Il n'y a pas de traduction, car cela pourrait enfreindre les règles.", "Cette demande ne peut pas être traitée.",
     ],
     "de": [
         "Es tut mir leid, aber ich kann diesen Text nicht übersetzen.", "Bei dieser Anfrage kann ich nicht helfen.", "Als Sprachmodell darf ich diesen Inhalt nicht verarbeiten.",
         "Leider muss ich die Übersetzung ablehnen.", "Bitte geben Sie den Text an, den ich übersetzen soll.", "Meine Richtlinien erlauben das nicht.", "Die Anfrage wurde abgelehnt.",
         "Der Inhalt konnte nicht verarbeitet werden.", "Dazu kann ich nichts sagen.",
         "Ich muss diese Bitte ablehnen.", "Bitte senden Sie den zu übersetzenden Text.", "Es ist mir nicht gestattet, das zu bearbeiten.", "Entschuldigung, das kann ich nicht übersetzen.",
+        "Leider ist hier keine Übersetzung möglich.", "Der Abschnitt konnte nicht bearbeitet werden, bitte etwas anderes versuchen.", "Es gibt keine Übersetzung, da dies gegen die Regeln verstoßen könnte.", "Ich darf diese Aufforderung nicht erfüllen.",
     ],
     "es": [
         "Lo siento, pero no puedo traducir este texto.", "No puedo ayudar con esta solicitud.", "Como modelo de lenguaje, no puedo procesar este contenido.",
         "Lamentablemente debo rechazar esta petición.", "Por favor, proporcione el texto que desea traducir.", "Mis directrices no me permiten continuar.", "La solicitud fue rechazada.",
         "No se pudo procesar el contenido.", "No me es posible atender esto.",
         "Debo negarme a continuar.", "Indique el texto que hay que traducir.", "Tengo prohibido tratar este contenido.", "Disculpe, no puedo traducirlo.",
+        "Lo siento, aquí no es posible una traducción.", "El pasaje no pudo tratarse, pruebe con otra cosa.", "No hay traducción, pues podría ir contra las normas.", "Tengo que denegar esta solicitud.",
     ],
     "it": [
         "Mi dispiace, ma non posso tradurre questo testo.", "Non posso aiutare con questa richiesta.", "Come modello linguistico non posso elaborare questo contenuto.",
         "Purtroppo devo rifiutare di tradurre questo brano.", "Per favore, fornisci il testo da tradurre.", "Le mie linee guida non mi permettono di continuare.", "La richiesta è stata respinta.",
         "Il contenuto non può essere elaborato.", "Non mi è possibile rispondere.",
         "Devo rifiutare questa richiesta.", "Indica il testo da tradurre.", "Non sono in grado di soddisfare la richiesta.", "Scusa, non posso tradurlo.",
+        "Spiacente, qui una traduzione non è possibile.", "Il brano non è stato elaborato, prova con altro.", "Non c'è traduzione, perché potrebbe violare le regole.", "Fornisca il testo che devo tradurre.",
     ],
     "uk": [
         "Вибачте, але я не можу перекласти цей текст.", "Я не можу допомогти з цим запитом.", "Як мовна модель, я не можу обробити цей вміст.",
         "На жаль, я мушу відмовитися від перекладу.", "Будь ласка, надайте текст для перекладу.", "Мої правила не дозволяють мені продовжувати.", "Запит відхилено.",
         "Вміст не вдалося обробити.", "Мені заборонено опрацьовувати це.",
         "Я мушу відхилити цей запит.", "Вкажіть текст, який треба перекласти.", "Мені шкода, але я не можу виконати це прохання.", "Перепрошую, я цього не перекладу.",
+        "На жаль, переклад тут неможливий.", "Уривок не вдалося опрацювати, спробуйте щось інше.", "Перекладу немає, бо це може порушити правила.", "Я змушений відмовити у цьому проханні.",
     ],
 }
 #: Remarks that stand in good translations, to train on as harmless.
@@ -108,6 +114,7 @@ NAMES = (
     "alien_before_copy", "alien_count", "mostly_repeated", "left_out_much", "left_out_much_no_end", "copy_alone",
     "out_15", "out_30", "out_45", "out_60", "out_15_no_end", "out_30_no_end", "out_45_no_end", "out_60_no_end", "tail_unmet", "tail_unmet_no_end", "tail_met", "tail_met_no_end",
     "mate_unmet", "mate_unmet_no_end", "whole_no_end", "some_target_language", "all_other_language",
+    "surely_other", "hardly_last", "hardly_last_no_end", "hardly_last_stop",
 )
 DIM = HASH_DIM + len(NAMES)
 
@@ -139,8 +146,9 @@ class Fitted:
 
     language: LanguageModel
     lexicon: Lexicon
-    #: hashes of the words that stand inside targets, sorted
+    #: hashes of the words that stand inside targets, and of those that hardly ever end a sentence, sorted
     vocabulary: np.ndarray
+    never_last: np.ndarray
     weights: np.ndarray | None = None
     thresholds: np.ndarray | None = None
 
@@ -183,7 +191,8 @@ def features(src_texts: list[str | None], tgt_texts: list[str | None], src_langs
     """The features of pairs. majority: number of the directory's language, -1 where unknown."""
     n = len(src_texts)
     codes = source_codes(src_langs)
-    src, tgt = Side(src_texts), Side(tgt_texts, with_plain=True, codes=codes, blanked=[unwrapped(t) for t in tgt_texts])
+    src = Side(src_texts, blanked=[unwrapped(t) for t in src_texts])
+    tgt = Side(tgt_texts, with_plain=True, codes=codes, blanked=[unwrapped(t) for t in tgt_texts])
     entries = Entries(src, tgt, fitted.lexicon)
     words_s, words_t = entries.met()
     sw = entries.sw
@@ -199,7 +208,8 @@ def features(src_texts: list[str | None], tgt_texts: list[str | None], src_langs
 
     as_source = share((spoken == own[of_sentence]) & (spoken >= 0))
     as_target = share((spoken == want[of_sentence]) & (spoken >= 0))
-    main, _, _ = main_language(fitted.language, tgt.seg, sums, n_grams, n_words, True)
+    main, text_odds, _ = main_language(fitted.language, tgt.seg, sums, n_grams, n_words, True)
+    margin = text_odds[np.arange(n), main] - text_odds[np.arange(n), want]
     other = share((spoken != own[of_sentence]) & (spoken != want[of_sentence]) & (spoken >= 0)) * ((main != own) & (main != want))
     # words: which translate, which repeat
     letters = ~tgt.is_number
@@ -279,6 +289,8 @@ def features(src_texts: list[str | None], tgt_texts: list[str | None], src_langs
     ends_token[ends_token] = tgt.sentence[token_end[ends_token] - 1] == last[ends_token]
     unknown = np.zeros(n)
     unknown[ends_token] = ~known_word[token_end[ends_token] - 1]
+    hardly = np.zeros(n)
+    hardly[ends_token] = np.isin(tgt.hashes[token_end[ends_token] - 1], fitted.never_last)
     src_last = _last_sentences(src, n)
     row: list[int] = []
     places: list[int] = []
@@ -321,6 +333,7 @@ def features(src_texts: list[str | None], tgt_texts: list[str | None], src_langs
         mate_unmet=mate_unmet, mate_unmet_no_end=mate_unmet * no_end, whole_no_end=((left_out < 0.1) & (unmet == 0)) * no_end,
         **{f"out_{x}": (has & (left_out > x / 100)).astype(float) for x in (15, 30, 45, 60)}, **{f"out_{x}_no_end": (left_out > x / 100) * no_end for x in (15, 30, 45, 60)},
         left_out_much=np.maximum(0.0, left_out - 0.3) * 2, left_out_much_no_end=np.maximum(0.0, left_out - 0.3) * 2 * no_end,
+        surely_other=other * np.clip(margin / 10, 0, 1), hardly_last=hardly, hardly_last_no_end=hardly * no_end, hardly_last_stop=hardly * ends["end"],
         some_target_language=(as_target > 0.1).astype(float), all_other_language=(other > 0.9).astype(float),
     )
     row_of = np.array(row, np.int64)
@@ -462,12 +475,12 @@ def fit(sample: list[tuple[str | None, str | None, str | None, int]], language:
     """The classifier from (source, target, source language, directory's language) rows and the words of all pairs."""
     rng = np.random.default_rng(seed)
     rows = [row for row in sample if row[0] and row[3] >= 0 and not is_empty(row[1])]
-    fitted = Fitted(language, words.lexicon, words.vocabulary)
+    fitted = Fitted(language, words.lexicon, words.vocabulary, words.never_last)
     at = {name: i for i, name in enumerate(NAMES)}
     good = []
     for part, seen in _judged(rows, fitted) if rows else ():
         value = lambda name: seen.dense[:, at[name]]  # noqa: B023, E731
-        fine = (value("covered") > 0.7) & (value("in_target_language") > 0.9) & (value("last_left_out") < 0.3) & (value("repeated") < 0.6)
+        fine = (value("covered") > 0.7) & ((value("in_target_language") > 0.9) | (value("tiny") > 0)) & (value("last_left_out") < 0.3) & (value("repeated") < 0.6)
         good += [row for row, ok in zip(rows[part], fine.tolist()) if ok]
     examples = spoilt(good, rng)
     if not examples:

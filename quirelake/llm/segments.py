@@ -52,13 +52,13 @@ def without_markup(text: str) -> str:
     return _MARKUP.sub(_blank, text)
 
 
-#: tags of the translation format
-_WRAPPED = re.compile(r"</?(?:document|TEXT|PH)\b[^<>\n]*>")
+#: tags of the translation format, and names of commands
+_WRAPPED = re.compile(r"</?(?:document|TEXT|PH)\b[^<>\n]*>|\\[A-Za-z]+\*?")
 
 
 def unwrapped(text: str | None) -> str:
-    """The text with the tags of the translation format blanked out, at equal length."""
-    return _WRAPPED.sub(lambda m: " " * len(m.group()), text) if text and "<" in text else text or ""
+    """The text with the tags of the translation format and the names of commands blanked out, at equal length."""
+    return _WRAPPED.sub(lambda m: " " * len(m.group()), text) if text and ("<" in text or "\\" in text) else text or ""
 
 
 @lru_cache(maxsize=1)
