@@ -6,9 +6,10 @@ exactly zero; a temperature fitted on held-out sentences makes the confidences h
 the square root of its number of n-grams, so a text's score is a sum over its words: every distinct word is scored once
 per worker, and sentences, paragraphs and texts are sums over spans of words.
 
-It is fitted on a bounded sample (`TRAIN_ROWS` documents and as many pairs, `TRAIN_SENTENCES` sentences a language) of
-the labelled rows of the tables themselves, labels wrong in places: after a first fit, sentences that contradict their
-label are left out.  Everything else reads all rows.
+The frequencies of the n-grams are counted over all running words of all texts, a running word being the document of
+the TF-IDF.  The classifier is fitted on a bounded sample (`TRAIN_ROWS` documents and as many pairs, `TRAIN_SENTENCES`
+sentences a language) of the labelled rows of the tables themselves, labels wrong in places: after a first fit, sentences
+that contradict their label are left out.  Everything else reads all rows.
 
 Defined results: null, empty and blank texts, and texts of nothing but markup or code, have no language; ties go to the
 alphabetically first code; very long texts are linear work; repeated rows get equal results.
@@ -106,10 +107,12 @@ def _ftrl(vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epoc
     return weights(z, n), weights(zb, nb)
 
 
-def fit(sentences: list[tuple[str, str]], epochs: int = 2, seed: int = 7) -> LanguageModel:
-    """A model from (words separated by blanks, language code) rows; some labels may be wrong."""
+def fit(sentences: list[tuple[str, str]], epochs: int = 2, seed: int = 7, idf: np.ndarray | None = None) -> LanguageModel:
+    """A model from (words separated by blanks, language code) rows; some labels may be wrong.
+
+    idf: the weight of each place; without it, that of the rows themselves."""
     rng = np.random.default_rng(seed)
-    vectors, labels, df = [], [], np.zeros(DIM)
+    vectors, labels, counts = [], [], GramCounts()
     known: dict[str, list[int]] = {}
     for text, code in sentences:
         places: list[int] = []
@@ -117,12 +120,12 @@ def fit(sentences: list[tuple[str, str]], epochs: int = 2, seed: int = 7) -> Lan
             if word not in known:
                 known[word] = grams(word)
             places += known[word]
+            counts.add_word(known[word], 1)
         if places:
             at, tf = np.unique(np.array(places), return_counts=True)
-            df[at] += 1
             vectors.append((at, tf / np.sqrt(len(places))))
             labels.append(LANGUAGES.index(code))
-    idf = np.log((1 + len(vectors)) / (1 + df)) + 1
+    idf = counts.idf() if idf is None else idf
     vectors = [(at, tf * idf[at]) for at, tf in vectors]
     labels = np.array(labels, np.int64)
     held = np.zeros(len(vectors), bool)
@@ -151,6 +154,63 @@ def fit(sentences: list[tuple[str, str]], epochs: int = 2, seed: int = 7) -> Lan
     return LanguageModel(weights, idf.astype(np.float32), bias, float(temperature), zlib.crc32(weights.tobytes()))
 
 
+class GramCounts:
+    """In how many running words each n-gram stands."""
+
+    def __init__(self) -> None:
+        self.words, self.counts = 0, np.zeros(DIM, np.int64)
+        self.index, self.spelt = HashIndex(), []
+        self.seen = np.zeros(0, np.int64)
+
+    def add_word(self, places: list[int], n: int) -> None:
+        self.words += n
+        self.counts[list(set(places))] += n
+
+    def add(self, block: Block) -> None:
+        seg = Segments(block)
+        hashes, at, n = np.unique(seg.word_hashes(), return_index=True, return_counts=True)
+        numbers = self.index.find(hashes)
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            numbers[new] = self.index.add(hashes[new])
+            self.spelt += [seg.word(i) for i in at[new].tolist()]
+            self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int64)])
+        self.seen[numbers] += n
+        if self.index.n > 1 << 19:
+            self.settle()
+
+    def settle(self) -> None:
+        """Adds what the words that were seen stand for."""
+        for word, n in zip(self.spelt, self.seen.tolist()):
+            self.add_word(grams(word), n)
+        self.index.clear()
+        self.spelt, self.seen = [], np.zeros(0, np.int64)
+
+    def idf(self) -> np.ndarray:
+        return np.log((1 + self.words) / (1 + self.counts)) + 1
+
+
+def count_grams(texts: DataFrame) -> np.ndarray:
+    """Weights of all places, from all running words of a table with one column of texts. A task yields at most a row a
+    place, and so does the driver get."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = GramCounts()
+        for batch in batches:
+            for block in blocks(batch.column(0).to_pylist()):
+                counts.add(block)
+        counts.settle()
+        at = np.flatnonzero(counts.counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(counts.counts[at], counts.words))], ["place", "n"])
+
+    found = texts.mapInArrow(run, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    total, place, n = GramCounts(), found.column("place").to_numpy(), found.column("n").to_numpy()
+    real = place >= 0
+    total.counts[place[real]] = n[real]
+    total.words = int(n[~real].sum())
+    return total.idf()
+
+
 class Scorer:
     """Scores the sentences of blocks with a model and remembers the words it has seen."""
 
@@ -234,20 +294,25 @@ def labelled_sentences(rows: list[tuple[str | None, str | None]], per_language:
     return out
 
 
-def fit_tables(spark: SparkSession, documents: DataFrame, pairs: DataFrame, lang_dirs: DataFrame, vocabulary: DataFrame) -> LanguageModel:
-    """A model fitted on a bounded sample of the tables' labelled texts and on the term list."""
+def fit_tables(spark: SparkSession, documents: DataFrame, pairs: DataFrame, lang_dirs: DataFrame, vocabulary: DataFrame, train_rows: int = TRAIN_ROWS, train_sentences: int = TRAIN_SENTENCES) -> LanguageModel:
+    """A model fitted on a bounded sample of the tables' labelled texts and on the term list, with the n-grams'
+    frequencies in all their texts."""
+    every = documents.select("text")
+    for column in ("src_text", "tgt_text"):
+        every = every.unionByName(pairs.select(F.col(column).alias("text")))
+    idf = count_grams(every)
     dirs = {row["lang_dir_id"]: canonical(row["language"]) for row in lang_dirs.select("lang_dir_id", "language").collect()}
-    sample = bounded_sample(pairs.where("chunk_type <> 'code'").select("pair_id", "lang_dir_id", "src_lang", "src_text", "tgt_text"), "pair_id", TRAIN_ROWS)
+    sample = bounded_sample(pairs.where("not (chunk_type <=> 'code')").select("pair_id", "lang_dir_id", "src_lang", "src_text", "tgt_text"), "pair_id", train_rows)
     rows: list[tuple[str | None, str | None]] = []
     for row in sample.collect():
         code = canonical(row["src_lang"])
         rows.append((row["src_text"], code))
         if dirs.get(row["lang_dir_id"]) != code:
             rows.append((row["tgt_text"], dirs.get(row["lang_dir_id"])))
-    rows += [(row["text"], canonical(row["lang"])) for row in bounded_sample(documents.select("doc_id", "text", "lang"), "doc_id", TRAIN_ROWS).collect()]
+    rows += [(row["text"], canonical(row["lang"])) for row in bounded_sample(documents.select("doc_id", "text", "lang"), "doc_id", train_rows).collect()]
     np.random.default_rng(3).shuffle(rows)
     terms = [(row[name], canonical(name)) for row in vocabulary.collect() for name in vocabulary.columns if name != "term_no"]
-    return fit(labelled_sentences(rows) + labelled_sentences(terms * 2))
+    return fit(labelled_sentences(rows, train_sentences) + labelled_sentences(terms * 2), idf=idf)
 
 
 # -- the operators ----------------------------------------------------------------------------------------------------

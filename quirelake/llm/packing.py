@@ -10,8 +10,9 @@ histogram, for all documents at once:
    new containers.
 
 Each step says "the items of size s with ranks a..b go to the containers c.., k each".  The documents then look their
-container up by size and rank.  Ranks are counted per (size, hash of the id) and shifted by the counts before, so a
-size that a third of the documents share is ranked by many tasks.
+container up by size and rank.  Ranks are counted per (size, salt) and shifted by the counts before; there are as many
+salts as the items need for a task to rank about `RANKED` of one size, and the salt is drawn from the row's own number,
+so that neither a size that a third of the documents share nor an id that is repeated makes one task's work large.
 
 Defined results: an item is divided only if it alone exceeds the capacity, into full containers of its own and a
 remainder that is packed like any other item; null and empty texts have one piece of size 0 and are spread evenly over
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 
 from quirelake.runtime import durable
 
-SALTS = 64
+#: items that are ranked by one task, about
+RANKED = 1 << 20
 
 
 def pack_histogram(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -99,7 +101,7 @@ def pack_histogram(counts: dict[int, int], capacity: int) -> tuple[list[tuple[in
     return steps, opened
 
 
-def pack(sizes: DataFrame, id_column: str, size_column: str, capacity: int, salts: int = SALTS) -> DataFrame:
+def pack(sizes: DataFrame, id_column: str, size_column: str, capacity: int, ranked: int = RANKED) -> DataFrame:
     """doc_id, piece_no, first_token, n_tokens, container_id: every document's, or piece's, container (from 1)."""
     if capacity < 1:
         raise ValueError("the capacity must be at least 1")
@@ -107,29 +109,36 @@ def pack(sizes: DataFrame, id_column: str, size_column: str, capacity: int, salt
         sizes.select(
             sizes[id_column].cast("bigint").alias("doc_id"),
             F.coalesce(sizes[size_column], F.lit(0)).cast("bigint").alias("size"),
+            # kept with the rows: tells rows of one id apart
+            F.monotonically_increasing_id().alias("nr"),
         )
     )
     spark = items.sparkSession
+    salts = 1 + items.count() // ranked
     items = items.select(
         "doc_id",
         "size",
         F.when(F.col("size") > capacity, F.floor(F.col("size") / capacity)).otherwise(0).cast("bigint").alias("full"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"),
+        "nr",
+        F.pmod(F.xxhash64("doc_id", "nr"), F.lit(salts)).cast("int").alias("salt"),
     ).withColumn("rest", (F.col("size") - F.col("full") * capacity).cast("int"))
     per_salt = durable(
         items.groupBy("rest", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum("full").alias("n_full"))
-    )  # at most (capacity + 1) x salts rows
+    )  # at most (capacity + 1) x salts rows, a row for some 500 items where all sizes are as frequent
     counts = {row["rest"]: row["n"] for row in per_salt.groupBy("rest").agg(F.sum("n").alias("n")).collect()}
     steps, opened = pack_histogram({s: n for s, n in counts.items() if s}, capacity)
     before = Window.partitionBy("rest").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    all_before = Window.partitionBy("one").orderBy("rest", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = per_salt.withColumn("one", F.lit(1)).select(
+    # the containers of divided items are counted per size first, over at most capacity + 1 sizes, and within them by salt
+    per_size = per_salt.groupBy("rest").agg(F.sum("n_full").alias("n_full"))
+    sizes_before = Window.partitionBy(F.lit(1)).orderBy("rest").rowsBetween(Window.unboundedPreceding, -1)
+    per_size = per_size.select("rest", F.coalesce(F.sum("n_full").over(sizes_before), F.lit(0)).alias("full_of_sizes"))
+    shifts = per_salt.join(per_size, "rest").select(
         "rest",
         "salt",
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"),
-        F.coalesce(F.sum("n_full").over(all_before), F.lit(0)).alias("full_shift"),
+        (F.col("full_of_sizes") + F.coalesce(F.sum("n_full").over(before), F.lit(0))).alias("full_shift"),
     )
-    own = Window.partitionBy("rest", "salt").orderBy("doc_id")
+    own = Window.partitionBy("rest", "salt").orderBy("doc_id", "nr")
     ranked = (
         items.withColumn("nth", F.row_number().over(own) - 1)
         .withColumn(

@@ -83,6 +83,11 @@ def cut(text: str, max_size: int, overlap: int) -> list[tuple[int, int, int]]:
     return pieces
 
 
+def longest_word(text: str) -> int:
+    """Length of the longest run without white space."""
+    return max(map(len, _WORD.split(text)), default=0)
+
+
 def is_oversized(content: Column, max_size: int) -> Column:
     return F.length(content) > max_size
 
@@ -97,19 +102,20 @@ def split_oversized(
 ) -> DataFrame:
     """The pieces of every item whose content is longer than `max_size` code points.
 
-    `boundary` is the level of the cut at the piece's end, `cut_kind` is `forced` for all pieces of an item that has a
-    run of more than `max_size` characters without white space, else `natural`."""
+    `boundary` is the level of the cut at the piece's end, `cut_kind` is `forced` for all pieces of an item with a run of
+    more than `max_size` characters without white space, which no cut between words can keep under the limit, else
+    `natural`."""
     if not 0 <= overlap < max_size:
         raise ValueError("the overlap must be smaller than the limit")
-    run = re.compile(r"[^ \t\r\n]{%d}" % (max_size + 1))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for item, text, first in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                kind = "forced" if run.search(text) else "natural"
                 breaks = [m.end() for m in _BREAK.finditer(text)]
-                for number, (begin, end, level) in enumerate(cut(text, max_size, overlap), 1):
+                pieces_of = cut(text, max_size, overlap)
+                kind = "forced" if any(level == len(LEVELS) - 1 for *_, level in pieces_of) and longest_word(text) > max_size else "natural"
+                for number, (begin, end, level) in enumerate(pieces_of, 1):
                     start_line = None if first is None else first + bisect_right(breaks, begin)
                     end_line = None if first is None else first + bisect_right(breaks, max(begin, end - 1))
                     rows.append((item, number, begin, end, text[begin:end], start_line, end_line, LEVELS[level], kind))

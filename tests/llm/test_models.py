@@ -272,7 +272,7 @@ def test_defects_of_tables(spark, judge):
 
 @pytest.mark.parametrize(
     "chunk, words",
-    [("Hello,", ["hello"]), ("i.d.i.o.t!", ["idiot"]), ("i_d_i_o_t", ["idiot"]), ("1d10t", ["0", "d", "0", "t"]), ("m0r0n", ["moron"]), ("sssexy", ["sexy"]), ("f**k", ["✱"]), ("**bold**", ["bold"]), ("crе́tin"[:3] + "tin", ["cretin"]), ("l&#39;idiot", ["l", "idiot"]), ("п‍орно", ["порно"]), ("$x_1$", ["@"]), ("r12:", ["r", "0"]), ("", [])],
+    [("Hello,", ["hello"]), ("i.d.i.o.t!", ["idiot"]), ("i_d_i_o_t", ["idiot"]), ("1d10t", ["0", "d", "0", "t"]), ("m0r0n", ["moron"]), ("sssexy", ["sexy"]), ("f**k", ["✱"]), ("**bold**", ["bold"]), ("crе́tin"[:3] + "tin", ["cretin"]), ("l&#39;idiot", ["l", "idiot"]), ("п‍орно", ["порно"]), ("$x_1$", ["@"]), ("r12:", ["r", "0"]), ("", []), ("$tupid", ["stupid"]), ("`scum`", ["scum"]), ("\\section{Idiot", ["@", "idiot"]), ("\\textbf{scum}", ["@", "scum"]), ("a" + "b" * 150 + "c" * 150, ["abc"])],
 )
 def test_normal_words(chunk, words):
     if chunk == "1d10t":
@@ -309,6 +309,24 @@ def test_abuse_is_learnt_from_votes_on_documents(spark, abuse_model):
     assert abuse.score(df.limit(0), model).count() == 0
 
 
+def test_contexts_are_counted_in_all_documents(spark):
+    rows = [("a b. c b.",), ("a b d b",), (None,), ("",), ("x y z",)] * 3
+    found = abuse.count_contexts(spark.createDataFrame(rows, "text string").repartition(3), ["a", "b", "c"])
+    # the beginning of a passage is a context, too
+    assert found["a"] == 1 and found["b"] == 3 and found["c"] == 1 and found[""] >= 2
+
+
+def test_few_votes_move_the_threshold_little():
+    none = abuse.fit([], []).threshold
+    few = abuse.fit([("You are a pathetic fool.", 1.0), ("The garden is green and quiet.", 0.0)], []).threshold
+    assert none == pytest.approx(abuse.LEAST, rel=0.2) and few == pytest.approx(none, rel=0.2)
+
+
+def test_abuse_in_the_middle_of_a_long_run_is_read():
+    run = "x" * 3 + "worthlessidiot" + "0" * 3
+    assert abuse.normal_words("ab" * 200 + run + "cd" * 200)[0].count("worthlessidiot") == 1
+
+
 def test_abuse_without_labels():
     model = abuse.fit([], [])
     scorer = abuse.Scorer(model)

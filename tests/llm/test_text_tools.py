@@ -144,7 +144,7 @@ def test_pack(spark):
     rng = random.Random(3)
     rows = [(i, rng.choice([0, 0, 300, 700, 701, 1500, 2048, 5000, rng.randrange(1, 2049)]), "x") for i in range(600)] + [(9000, None, "x"), (9001, 4096, "x"), (9001, 4096, "x")]
     df = spark.createDataFrame(rows, "doc_id bigint, n bigint, container_id string")
-    out = packing.pack(df, "doc_id", "n", 2048, salts=3).collect()
+    out = packing.pack(df, "doc_id", "n", 2048, ranked=200).collect()
     load, tokens = {}, {}
     for r in out:
         load[r.container_id] = load.get(r.container_id, 0) + r.n_tokens
