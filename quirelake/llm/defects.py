@@ -37,6 +37,8 @@ from quirelake.llm.segments import unwrapped
 LABELS = ("refusal", "copy", "wrong_language", "truncated")
 TRAIN_PAIRS = 4000
 HASH_DIM = 1 << 13
+#: label of examples that were changed but are sound
+HARMLESS = -2
 #: share of pairs that is expected to have any one defect, for the thresholds
 SHARE = 0.05
 _TAGS = re.compile(r"</?[A-Za-z!][^<>\n]*>")
@@ -333,7 +335,7 @@ def features(src_texts: list[str | None], tgt_texts: list[str | None], src_langs
         mate_unmet=mate_unmet, mate_unmet_no_end=mate_unmet * no_end, whole_no_end=((left_out < 0.1) & (unmet == 0)) * no_end,
         **{f"out_{x}": (has & (left_out > x / 100)).astype(float) for x in (15, 30, 45, 60)}, **{f"out_{x}_no_end": (left_out > x / 100) * no_end for x in (15, 30, 45, 60)},
         left_out_much=np.maximum(0.0, left_out - 0.3) * 2, left_out_much_no_end=np.maximum(0.0, left_out - 0.3) * 2 * no_end,
-        surely_other=other * np.clip(margin / 10, 0, 1), hardly_last=hardly, hardly_last_no_end=hardly * no_end, hardly_last_stop=hardly * ends["end"],
+        surely_other=other * np.clip(margin / 5, 0, 1), hardly_last=hardly, hardly_last_no_end=hardly * no_end, hardly_last_stop=hardly * ends["end"],
         some_target_language=(as_target > 0.1).astype(float), all_other_language=(other > 0.9).astype(float),
     )
     row_of = np.array(row, np.int64)
@@ -411,7 +413,7 @@ def _copied(text: str, other: str, rng: np.random.Generator) -> str:
 
 
 def spoilt(rows: list[tuple[str, str, str, int]], rng: np.random.Generator) -> list[tuple[str, str, str, int, int]]:
-    """(source, target, source language, directory's language, label or -1) made from good pairs."""
+    """(source, target, source language, directory's language, label) made from good pairs, themselves with -1."""
     out = []
     codes = list(LANGUAGES)
     by_language: dict[int, list[str]] = {}
@@ -435,19 +437,19 @@ def spoilt(rows: list[tuple[str, str, str, int]], rng: np.random.Generator) -> l
         harmless = int(rng.integers(6))
         remark = REMARKS[codes[want]][int(rng.integers(3))]
         if harmless == 0:
-            out.append((src, tgt.rstrip().rstrip("."), lang, want, -1))
+            out.append((src, tgt.rstrip().rstrip("."), lang, want, HARMLESS))
         elif harmless == 1 and (text := _drop_sentence(tgt, rng, True)):
-            out.append((src, text, lang, want, -1))
+            out.append((src, text, lang, want, HARMLESS))
         elif harmless == 2 and (text := _drop_sentence(tgt, rng, False)):
-            out.append((src, text, lang, want, -1))
+            out.append((src, text, lang, want, HARMLESS))
         elif harmless == 3:
-            out.append((src, f"{tgt.rstrip()} {remark}", lang, want, -1))
+            out.append((src, f"{tgt.rstrip()} {remark}", lang, want, HARMLESS))
         elif harmless == 4 and (text := _drop_sentence(tgt, rng, True)):
-            out.append((src, f"{text} {remark}", lang, want, -1))
+            out.append((src, f"{text} {remark}", lang, want, HARMLESS))
         elif harmless == 5 and (text := response(others)):
             # partly in another language
             strange = re.split(r"(?<=[.!?])\s+", text)[0]
-            out.append((src, f"{strange} {tgt}" if rng.random() < 0.5 else f"{tgt.rstrip()} {strange}", lang, want, -1))
+            out.append((src, f"{strange} {tgt}" if rng.random() < 0.5 else f"{tgt.rstrip()} {strange}", lang, want, HARMLESS))
         kind = int(rng.integers(5))
         if kind in (0, 4):
             out.append((src, _copied(src, tgt, rng), lang, want, 1))
@@ -498,11 +500,15 @@ def fit(sample: list[tuple[str | None, str | None, str | None, int]], language:
     train, test = np.flatnonzero(~held), np.flatnonzero(held)
     fitted.weights = _fit_linear([rows_x[i] for i in train], labels[train])
     scores = np.concatenate([seen.scores(fitted.weights) for seen in parts])[test]
+    kind = np.array([e[4] for e in examples])[test]
     fitted.thresholds = np.zeros(len(LABELS))
     for k in range(len(LABELS)):
         y = labels[test, k] > 0
-        # sound pairs are far more frequent in a table than among the examples
-        weight = np.where(y, 1.0, y.sum() * (1 - SHARE) / SHARE / max(1, (~y).sum()))
+        # sound pairs are far more frequent in a table than among the examples; those that were changed without harm, and
+        # those with another defect, are expected as often as the defect each
+        weight = np.ones(len(test))
+        for group, share in ((kind == -1, 1 - 3 * SHARE), (kind == HARMLESS, SHARE), ((kind >= 0) & ~y, SHARE)):
+            weight[group] = y.sum() * share / SHARE / max(1, group.sum())
         grid = np.linspace(-4, 6, 101)
         said = scores[:, k] > grid[:, None]
         f1 = 2 * ((said & y) * weight).sum(1) / np.maximum(1.0, (said * weight).sum(1) + y.sum())

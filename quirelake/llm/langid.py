@@ -6,10 +6,11 @@ exactly zero; a temperature fitted on held-out sentences makes the confidences h
 the square root of its number of n-grams, so a text's score is a sum over its words: every distinct word is scored once
 per worker, and sentences, paragraphs and texts are sums over spans of words.
 
-The frequencies of the n-grams are counted over all running words of all texts, a running word being the document of
-the TF-IDF.  The classifier is fitted on a bounded sample (`TRAIN_ROWS` documents and as many pairs, `TRAIN_SENTENCES`
-sentences a language) of the labelled rows of the tables themselves, labels wrong in places: after a first fit, sentences
-that contradict their label are left out.  Everything else reads all rows.
+The frequencies of the n-grams are counted over all running words of all texts; the TF-IDF takes the share of sentences
+of mean length that this makes likely to hold each.  The classifier is fitted on a bounded sample (`TRAIN_ROWS` documents and as many pairs, `TRAIN_SENTENCES`
+sentences a language) of the labelled rows of the tables themselves, labels wrong in places: a sentence that occurs under
+several labels has that of most of its occurrences, and after a first fit of each half, sentences of the other half that
+contradict their label are left out.  Everything else reads all rows.
 
 Defined results: null, empty and blank texts, and texts of nothing but markup or code, have no language; ties go to the
 alphabetically first code; very long texts are linear work; repeated rows get equal results.
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.llm.segments import Segments, segment
-from quirelake.llm.textkernel import Block, HashIndex, blocks
+from quirelake.llm.textkernel import Block, HashIndex, _mixed, blocks
 
 LANGUAGES = ("de", "en", "es", "fr", "it", "uk")
 #: names and codes of the languages (fixed values)
@@ -112,7 +113,7 @@ def fit(sentences: list[tuple[str, str]], epochs: int = 2, seed: int = 7, idf: n
 
     idf: the weight of each place; without it, that of the rows themselves."""
     rng = np.random.default_rng(seed)
-    vectors, labels, counts = [], [], GramCounts()
+    vectors, labels, texts, counts = [], [], [], GramCounts()
     known: dict[str, list[int]] = {}
     for text, code in sentences:
         places: list[int] = []
@@ -121,10 +122,12 @@ def fit(sentences: list[tuple[str, str]], epochs: int = 2, seed: int = 7, idf: n
                 known[word] = grams(word)
             places += known[word]
             counts.add_word(known[word], 1)
+        counts.sentences += 1
         if places:
             at, tf = np.unique(np.array(places), return_counts=True)
             vectors.append((at, tf / np.sqrt(len(places))))
             labels.append(LANGUAGES.index(code))
+            texts.append(text)
     idf = counts.idf() if idf is None else idf
     vectors = [(at, tf * idf[at]) for at, tf in vectors]
     labels = np.array(labels, np.int64)
@@ -135,15 +138,21 @@ def fit(sentences: list[tuple[str, str]], epochs: int = 2, seed: int = 7, idf: n
     def scores(of, weights, bias):
         return np.array([values @ weights[at] + bias for at, values in (vectors[i] for i in of)]).reshape(-1, len(LANGUAGES))
 
-    weights, bias = _ftrl([vectors[i] for i in use], labels[use], 1, rng)
-    # leave out what contradicts its label
-    said = scores(range(len(vectors)), weights, bias).argmax(1) if len(vectors) else labels
+    # leave out what contradicts its label, in the eyes of a model that has not seen it
+    half, said = rng.integers(0, 2, len(vectors)), labels.copy()
+    for k in (0, 1):
+        own = use[half[use] == k]
+        other = np.flatnonzero(half != k)
+        if len(own) and len(other):
+            said[other] = scores(other, *_ftrl([vectors[i] for i in own], labels[own], 1, rng)).argmax(1)
     use = use[said[use] == labels[use]]
     weights, bias = _ftrl([vectors[i] for i in use], labels[use], epochs, rng)
     test = np.flatnonzero(held & (said == labels))
     temperature = 1.0
     if len(test):
-        logits = scores(test, weights, bias)
+        # whole sentences, and as many pieces of one to three words, so that short segments are not taken for sure
+        logits = np.concatenate([scores(test, weights, bias), np.array([_piece(texts[i], rng, idf, weights, bias) for i in test])])
+        test = np.concatenate([test, test])
         losses = []
         for t in np.geomspace(0.05, 4, 40):
             x = logits / t
@@ -154,11 +163,20 @@ def fit(sentences: list[tuple[str, str]], epochs: int = 2, seed: int = 7, idf: n
     return LanguageModel(weights, idf.astype(np.float32), bias, float(temperature), zlib.crc32(weights.tobytes()))
 
 
+def _piece(text: str, rng: np.random.Generator, idf: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """The scores of one to three words of a text."""
+    words = text.split(" ")
+    n = int(rng.integers(1, 4))
+    at = int(rng.integers(max(1, len(words) - n + 1)))
+    places = [p for word in words[at : at + n] for p in grams(word)]
+    return (idf[places, None] * weights[places]).sum(0) / np.sqrt(len(places)) + bias
+
+
 class GramCounts:
-    """In how many running words each n-gram stands."""
+    """In how many running words each n-gram stands, and the numbers of words and sentences."""
 
     def __init__(self) -> None:
-        self.words, self.counts = 0, np.zeros(DIM, np.int64)
+        self.words, self.sentences, self.counts = 0, 0, np.zeros(DIM, np.int64)
         self.index, self.spelt = HashIndex(), []
         self.seen = np.zeros(0, np.int64)
 
@@ -176,6 +194,7 @@ class GramCounts:
             self.spelt += [seg.word(i) for i in at[new].tolist()]
             self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int64)])
         self.seen[numbers] += n
+        self.sentences += len(seg.begins)
         if self.index.n > 1 << 19:
             self.settle()
 
@@ -187,7 +206,9 @@ class GramCounts:
         self.spelt, self.seen = [], np.zeros(0, np.int64)
 
     def idf(self) -> np.ndarray:
-        return np.log((1 + self.words) / (1 + self.counts)) + 1
+        share = np.minimum((1.0 + self.counts) / (1.0 + self.words), 1.0)
+        held = 1 - (1 - share) ** (max(1, self.words) / max(1, self.sentences))
+        return 1 - np.log(held)
 
 
 def count_grams(texts: DataFrame) -> np.ndarray:
@@ -201,13 +222,13 @@ def count_grams(texts: DataFrame) -> np.ndarray:
                 counts.add(block)
         counts.settle()
         at = np.flatnonzero(counts.counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(counts.counts[at], counts.words))], ["place", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(counts.counts[at], [counts.words, counts.sentences]))], ["place", "n"])
 
     found = texts.mapInArrow(run, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     total, place, n = GramCounts(), found.column("place").to_numpy(), found.column("n").to_numpy()
     real = place >= 0
     total.counts[place[real]] = n[real]
-    total.words = int(n[~real].sum())
+    total.words, total.sentences = int(n[place == -1].sum()), int(n[place == -2].sum())
     return total.idf()
 
 
@@ -280,17 +301,27 @@ def bounded_sample(df: DataFrame, id_column: str, rows: int) -> DataFrame:
 
 
 def labelled_sentences(rows: list[tuple[str | None, str | None]], per_language: int = TRAIN_SENTENCES) -> list[tuple[str, str]]:
-    """(words, code) of the sentences of (text, code) rows, at most so many a language."""
-    out, taken = [], dict.fromkeys(LANGUAGES, 0)
-    rows = [(text, code) for text, code in rows if text and code in taken]
+    """(words, code) of the sentences of (text, code) rows, each once with the code that it has most often, at most so
+    many a language."""
+    rows = [(text, code) for text, code in rows if text and code in LANGUAGES]
     codes = [code for _, code in rows]
+    seen: dict[int, tuple[list[int], str]] = {}
     for block in blocks([text for text, _ in rows]):
         seg = segment(block)
+        # sentences are told apart by a hash of their words; only those that are taken are spelt out
+        words = np.concatenate([[0], np.cumsum(_mixed(seg.word_hashes()))]).astype(np.uint64)
+        keys = (words[seg.last_word] - words[seg.first_word]).tolist()
         for i, (a, b) in enumerate(zip(seg.first_word.tolist(), seg.last_word.tolist())):
-            code = codes[block.first + int(seg.text[i])]
-            if b - a >= 1 and taken[code] < per_language:
-                taken[code] += 1
-                out.append((" ".join(seg.word(j) for j in range(a, b)), code))
+            if b > a:
+                if keys[i] not in seen:
+                    seen[keys[i]] = ([0] * len(LANGUAGES), " ".join(seg.word(j) for j in range(a, b)))
+                seen[keys[i]][0][LANGUAGES.index(codes[block.first + int(seg.text[i])])] += 1
+    out, taken = [], dict.fromkeys(LANGUAGES, 0)
+    for votes, text in seen.values():
+        code = LANGUAGES[votes.index(max(votes))]
+        if taken[code] < per_language:
+            taken[code] += 1
+            out.append((text, code))
     return out
 
 
@@ -317,10 +348,10 @@ def fit_tables(spark: SparkSession, documents: DataFrame, pairs: DataFrame, lang
 
 # -- the operators ----------------------------------------------------------------------------------------------------
 
-#: A segment counts as being in another language only if its log odds against the text's language reach this.
-MARGIN = 5.0
-#: The label of a text of at most `FEW_WORDS` is wrong only if the log odds of the text's language against it reach this.
-LABEL_MARGIN, FEW_WORDS = 10.0, 2
+#: A segment counts as being in another language only if its log odds against the text's language reach `MARGIN` plus
+#: `MARGIN_OF_FEW` divided by the number of its words; so does the label of a text of at most `FEW_WORDS`.
+MARGIN, MARGIN_OF_FEW = 2.5, 8.0
+FEW_WORDS = 2
 SEGMENT_SCHEMA = "id bigint, seg_no int, lang string, confidence double, n_words int, main string, label_fits boolean"
 
 
@@ -359,7 +390,7 @@ def detect(
                 short = odds[has, main[has]] - odds[has, np.maximum(label, 0)]
                 # the label names the language of most words, or an equal one, or the text is too short to say
                 most = votes[has, np.maximum(label, 0)] >= votes[has, main[has]]
-                fits = (label >= 0) & (most | ((words[has] <= FEW_WORDS) & (short < LABEL_MARGIN)))
+                fits = (label >= 0) & (most | ((words[has] <= FEW_WORDS) & (short < least_odds(words[has]))))
                 yield _rows(pa.array(ids[has]), [pa.array(np.zeros(len(has), np.int32)), pa.array(names[main[has]], pa.string()), pa.array(sure), pa.array(words[has].astype(np.int32)), pa.array(names[main[has]], pa.string()), pa.array(fits)])
                 if unit == "paragraph":
                     group, number, of = seg.paragraph, seg.paragraph_number, seg.paragraph_text
@@ -385,13 +416,18 @@ def detect(
     return source.mapInArrow(run, SEGMENT_SCHEMA)
 
 
+def least_odds(n_words: np.ndarray) -> np.ndarray:
+    """The log odds that so many words must reach to count as being in another language."""
+    return MARGIN + MARGIN_OF_FEW / np.maximum(n_words, 1)
+
+
 def foreign_segments(
     model: LanguageModel, sums: np.ndarray, n_grams: np.ndarray, n_words: np.ndarray, main: np.ndarray, able: np.ndarray | bool = True
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The segments that are in a language other than their text's (main), that language and its confidence."""
     odds = model.log_odds(sums, n_grams)
     best, own, at = odds.argmax(1) if len(odds) else np.zeros(0, np.int64), np.maximum(main, 0), np.arange(len(odds))
-    other = np.flatnonzero((n_words > 0) & able & (main >= 0) & (best != own) & (odds[at, best] - odds[at, own] > MARGIN))
+    other = np.flatnonzero((n_words > 0) & able & (main >= 0) & (best != own) & (odds[at, best] - odds[at, own] > least_odds(n_words)))
     sure = confidences(odds[other])[np.arange(len(other)), best[other]] if len(other) else np.zeros(0)
     return other, best[other], sure
 
