@@ -2,17 +2,38 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of `spark.checkpoint.dir`, which all machines share.
+
+    Where it is unset, a local master gets a temporary folder, as in tests, removed at the end; on a cluster that is an
+    error, since a folder of one machine would be lost with it."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder.rstrip("/")
+    known = context._jsc.sc().getCheckpointDir()
+    if not known.isEmpty():
+        return known.get()
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    folder = tempfile.mkdtemp(prefix="quirelake-")
+    atexit.register(shutil.rmtree, folder, True)
+    context.setCheckpointDir(folder)
+    return folder
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """The rows of df, computed now and kept in the folder that the cluster names in spark.checkpoint.dir.
-
-    Only where neither that setting nor a checkpoint folder exists, as in tests, a temporary folder is set."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quirelake-"))
-    return df.checkpoint()
+    """The rows of df, computed now and kept as a table of their own in the shared folder.
+
+    A table of columns is smaller than a checkpoint of rows, and what reads it reads only the columns that it needs."""
+    path = f"{shared_folder(df.sparkSession)}/durable-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
