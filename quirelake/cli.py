@@ -99,7 +99,11 @@ def _run(args: argparse.Namespace) -> int:
         from quirelake.plans import registry
 
         name = args.name if args.command == "query" else "status_grouping_sets" if args.files else "status_by_lang"
-        registry.queries()[name](_session(), args.data).orderBy(1).show(1000, truncate=False)
+        found = registry.queries()[name](_session(), args.data)
+        print("\t".join(found.columns))
+        # languages by name, files by path
+        for row in found.orderBy(*(c for c in ("lang", "rel_path") if c in found.columns) or found.columns[:1]).toLocalIterator():
+            print("\t".join("" if v is None else str(v) for v in row))
         return 0
     if args.command == "cache":
         return _clear(args)

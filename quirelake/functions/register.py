@@ -19,7 +19,7 @@ class Segments:
 
 class Chunks:
     def eval(self, kind: str, text: str):
-        for number, content in enumerate(chunks_of(kind, text) if text else [], 1):
+        for number, (_, content) in enumerate(chunks_of(kind, text) if text else [], 1):
             yield number, content
 
 

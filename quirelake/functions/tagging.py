@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import xml.etree.ElementTree as ElementTree
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,44 +11,48 @@ from pyspark.sql import functions as F
 SEGMENTS = "array<struct<kind:string,content:string>>"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def coalesce_segments(segments: Column) -> Column:
     """Neighbouring placeholders become one, but one that is a lone line break stays by itself; empty ones go.
 
-    `math` counts as placeholder. Text segments stay apart; they simply follow each other in the XML."""
-
-    def step(done: Column, segment: Column) -> Column:
-        last = F.element_at(done, -1)
-        joins = (
-            (F.size(done) > 0)
-            & (segment["kind"] != "text")
-            & (last["kind"] != "text")
-            & (segment["content"] != "\n")
-            & (last["content"] != "\n")
-        )
-        kind = F.when(segment["kind"] == "text", "text").otherwise("placeholder")
-        merged = F.struct(last["kind"].alias("kind"), F.concat(last["content"], segment["content"]).alias("content"))
-        own = F.struct(kind.alias("kind"), segment["content"].alias("content"))
-        return (
-            F.when(segment["content"] == "", done)
-            .when(joins, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(merged)))
-            .otherwise(F.concat(done, F.array(own)))
-        )
-
-    return F.aggregate(segments, F.array().cast(SEGMENTS), step)
+    `math` counts as placeholder. Text segments stay apart; they simply follow each other in the XML. Linear: whether a
+    segment joins the one before depends on these two alone, so the places where islands begin are listed and the
+    segments between two of them put together."""
+
+    def joins(before: Column, own: Column) -> Column:
+        return (before["kind"] != "text") & (own["kind"] != "text") & (before["content"] != "\n") & (own["content"] != "\n")
+
+    def merged(own: Column, begin: Column, end: Column) -> Column:
+        part = F.slice(own, begin, end - begin)
+        kind = F.when(part[0]["kind"] == "text", "text").otherwise("placeholder")
+        return F.struct(kind.alias("kind"), F.array_join(F.transform(part, lambda s: s["content"]), "").alias("content"))
+
+    def islands(own: Column) -> Column:
+        places = F.sequence(F.lit(1), F.size(own))
+        begins = F.filter(places, lambda i: (i == 1) | ~joins(F.element_at(own, F.greatest(i - 1, F.lit(1))), F.element_at(own, i)))
+        ends = lambda starts: F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(own) + 1))
+        return let(begins, lambda starts: F.zip_with(starts, ends(starts), lambda x, y: merged(own, x, y)))
+
+    full = F.filter(segments, lambda s: s["content"] != "")
+    return let(full, lambda own: F.when(F.size(own) > 0, islands(own)).otherwise(F.array().cast(SEGMENTS)))
 
 
 def number_placeholders(segments: Column) -> Column:
-    """kind, content, id: placeholders numbered from 1 in order; text has no id."""
-    numbered = "array<struct<kind:string,content:string,id:int>>"
+    """kind, content, id: placeholders numbered from 1 in order; text has no id. The placeholders are numbered among
+    themselves and put back among the text by place."""
+    placed = F.transform(segments, lambda s, i: F.struct(i.alias("place"), s["kind"].alias("kind"), s["content"].alias("content")))
+    own = lambda s, number: F.struct(s["place"].alias("place"), s["kind"].alias("kind"), s["content"].alias("content"), number.cast("int").alias("id"))
 
-    def step(done: Column, segment: Column) -> Column:
-        used = F.coalesce(F.array_max(F.transform(done, lambda d: d["id"])), F.lit(0))
-        number = F.when(segment["kind"] != "text", used + 1)
-        return F.concat(
-            done, F.array(F.struct(segment["kind"].alias("kind"), segment["content"].alias("content"), number.cast("int").alias("id")))
-        )
+    def numbered(every: Column) -> Column:
+        marks = F.transform(F.filter(every, lambda s: s["kind"] != "text"), lambda s, k: own(s, k + 1))
+        texts = F.transform(F.filter(every, lambda s: s["kind"] == "text"), lambda s: own(s, F.lit(None)))
+        return F.transform(F.array_sort(F.concat(marks, texts)), lambda s: F.struct(s["kind"].alias("kind"), s["content"].alias("content"), s["id"].alias("id")))
 
-    return F.aggregate(segments, F.array().cast(numbered), step)
+    return let(placed, numbered)
 
 
 def escape(text: Column) -> Column:

@@ -115,6 +115,13 @@ def block_pattern(kind: str) -> str:
     return f"(?s){before.lstrip() and '<!--' + chr(10)}{escaped}{START}\n(.*?){escaped}{END}\n{after}"
 
 
+def block_start(kind: str) -> str:
+    """Pattern of the beginning of a metadata block."""
+    leader, before, _ = BLOCKS[kind]
+    escaped = {"% ": "% ?", "// ": "// ?"}[leader]
+    return f"{before.lstrip() and '<!--' + chr(10)}{escaped}{START}\n"
+
+
 def parse_metadata(block: Column) -> Column:
     """key, value pairs of the inside of a block: leader taken off, split at the first colon, trimmed."""
     rows = F.filter(F.split(block, "\n"), lambda row: row.rlike(r"^(?:%|//) ?[^:]+:"))
@@ -134,9 +141,33 @@ def fill_template(template: Column, values: dict[str, Column]) -> Column:
     return template
 
 
+def fatal_message(error_type: Column, service: Column, model: Column) -> Column:
+    """What to tell of a failure that ended a run."""
+    name = F.lower(F.regexp_extract(error_type, r"([^.]*)$", 1))
+    return (
+        F.when(name == "authenticationfailed", F.concat(F.lit("The key for "), service, F.lit(" was not accepted.")))
+        .when(name == "modelnotfound", F.concat(service, F.lit(" has no model "), model, F.lit(".")))
+        .when(name.isin("ratelimited", "serviceunavailable", "readtimeout", "retriesexhausted"), F.concat(service, F.lit(" did not answer, however often it was asked.")))
+        .otherwise(F.concat(F.lit("A call of "), model, F.lit(" failed: "), F.coalesce(error_type, F.lit("unknown")), F.lit(".")))
+    )
+
+
+def summary(from_cache: Column, translated: Column, reasoning: Column, failed: Column) -> Column:
+    """The lines that sum up a run; the last two only if they tell something."""
+    line = lambda name, n: F.concat(F.lit(f"{name}: "), n.cast("string"))
+    return F.concat_ws(
+        "\n", line("from the memory", from_cache), line("translated", translated),
+        F.when(reasoning > 0, line("by the reasoning model", reasoning)), F.when(failed > 0, line("failed", failed)),
+    )
+
+
+#: the wording of reports (fixed values)
+_HEADLINE, _UNKNOWN = "Translation failure on chunk #", "unknown"
+
+
 def failure_lines(index: Column, error_type: Column, message: Column, source: Column, source_line: Column, target: Column, target_line: Column, limit: int = 200) -> Column:
     """The report of one failed chunk: a headline and where it is in both files."""
-    head = F.concat(F.lit("Translation failure on chunk #"), index.cast("string"), F.lit(" ("), F.coalesce(error_type, F.lit("unknown")), F.lit(")"))
+    head = F.concat(F.lit(_HEADLINE), index.cast("string"), F.lit(" ("), F.coalesce(error_type, F.lit(_UNKNOWN)), F.lit(")"))
     head = F.concat(head, F.when(F.coalesce(message, F.lit("")) == "", "").otherwise(F.concat(F.lit(": "), F.substring(message, 1, limit))))
 
     def place(name: str, path: Column, line: Column) -> Column:

@@ -47,6 +47,11 @@ def has_any_language(languages: Sequence[str]) -> Column:
     return F.exists(F.array(*languages), lambda cell: F.coalesce(cell, F.lit("")) != "")
 
 
+def drop_empty(wide: DataFrame, languages: Sequence[str]) -> DataFrame:
+    """The rows with a checksum in some language."""
+    return wide.where(has_any_language(languages))
+
+
 # -- lookup -----------------------------------------------------------------------------------------------------------
 
 
@@ -72,12 +77,17 @@ def lookup(requests: DataFrame, memory_index: DataFrame, store: DataFrame) -> Da
     return requests.join(found, ["path_hash", "src_lang", "tgt_lang", "src_checksum"], "left")
 
 
-def first_match(wide: DataFrame, src_lang: str, tgt_lang: str) -> DataFrame:
-    """path_hash, src_checksum -> tgt_checksum of the first row; null if that row's target is empty."""
-    rows = wide.where(F.coalesce(src_lang, F.lit("")) != "")
-    return rows.groupBy("path_hash", F.col(src_lang).alias("src_checksum")).agg(
-        F.min_by(F.nullif(F.col(tgt_lang), F.lit("")), F.struct("ord", "row_id")).alias("tgt_checksum")
-    )
+def first_match(wide: DataFrame, src_lang: str, tgt_lang: str, asked: DataFrame) -> DataFrame:
+    """path_hash, src_checksum, tgt_checksum of the first row that answers each asked key (path_hash, src_checksum); null
+    if that row's target is empty. A row without a path answers for every path."""
+    place = F.struct("ord", "row_id")
+    first = F.min(F.struct(place.alias("place"), F.nullif(F.col(tgt_lang), F.lit("")).alias("tgt_checksum")))
+    rows = wide.where(F.coalesce(src_lang, F.lit("")) != "").withColumn("src_checksum", F.col(src_lang))
+    own = rows.where("path_hash <> ''").groupBy("path_hash", "src_checksum").agg(first.alias("own"))
+    free = rows.where("path_hash = ''").groupBy("src_checksum").agg(first.alias("free"))
+    found = asked.select("path_hash", "src_checksum").distinct().join(own, ["path_hash", "src_checksum"], "left").join(free, "src_checksum", "left")
+    best = F.least("own", "free")  # the one that is there, or the earlier of two
+    return found.where(best.isNotNull()).select("path_hash", "src_checksum", best["tgt_checksum"].alias("tgt_checksum"))
 
 
 def corresponds(targets: DataFrame, memory_index: DataFrame) -> DataFrame:
@@ -107,11 +117,19 @@ def upsert(pairs_known: DataFrame, pairs_new: DataFrame) -> DataFrame:
     """path_hash, src_lang, src_checksum, tgt_lang -> tgt_checksum after an upsert; the newest pair wins.
 
     Both: those columns and `ord`; what is new counts as later than all that is known. Pairs of a language with itself
-    are ignored."""
+    are ignored. Known pairs without a path answer for every path, so the first new pair of a path that has none of its
+    own for their source takes them over, with all their targets."""
     key = ["path_hash", "src_lang", "src_checksum", "tgt_lang"]
-    every = pairs_known.select(*key, "tgt_checksum", "ord", F.lit(0).alias("is_new")).unionByName(
-        pairs_new.where("src_lang <> tgt_lang").select(*key, "tgt_checksum", "ord", F.lit(1).alias("is_new"))
-    )
+    source = ["src_lang", "src_checksum"]
+    new = pairs_new.where("src_lang <> tgt_lang")
+    own = pairs_known.where("path_hash <> ''").select("path_hash", *source).distinct()
+    takers = (
+        new.select("path_hash", *source, "ord").join(own, ["path_hash", *source], "left_anti")
+        .groupBy(*source).agg(F.min(F.struct("ord", "path_hash"))["path_hash"].alias("taker"))
+    )
+    free = pairs_known.where("path_hash = ''").join(takers, source, "left").withColumn("path_hash", F.coalesce("taker", F.lit("")))
+    known = pairs_known.where("path_hash <> ''").select(*key, "tgt_checksum", "ord").unionByName(free.select(*key, "tgt_checksum", "ord"))
+    every = known.withColumn("is_new", F.lit(0)).unionByName(new.select(*key, "tgt_checksum", "ord", F.lit(1).alias("is_new")))
     return every.groupBy(*key).agg(F.max_by("tgt_checksum", F.struct("is_new", "ord", "tgt_checksum")).alias("tgt_checksum"))
 
 
@@ -151,8 +169,8 @@ def clear_checksum(long: DataFrame, store: DataFrame, checksum: str, source_lang
     """Cells and stored texts after everything about a checksum is deleted.
 
     If some row has it as its source: without a language its rows go, with all their texts; with one only that target's
-    cell and text, and the row if no language is left. Otherwise matching target cells, of the one or of all
-    languages, go with their texts."""
+    cell and text, and the row only if no cell at all is left, its source counted. Otherwise matching target cells, of
+    the one or of all languages, go with their texts."""
     cells = long.withColumn("is_source", F.col("lang") == source_language)
     hit = F.col("checksum") == checksum
     marked = cells.withColumn("as_source", F.max(F.when(F.col("is_source") & hit, 1).otherwise(0)).over(Window.partitionBy(*KEY)))
@@ -164,10 +182,6 @@ def clear_checksum(long: DataFrame, store: DataFrame, checksum: str, source_lang
     ).otherwise(hit & ~F.col("is_source") & wanted)
     judged = marked.crossJoin(anywhere).withColumn("doomed", doomed)
     kept = judged.where("not doomed")
-    if lang is not None:
-        # a row of which only its source is left says nothing
-        whole = kept.groupBy(*KEY).agg(F.bool_or(~F.col("is_source")).alias("has_target"))
-        kept = kept.join(whole, KEY).where("has_target or as_source = 0")
     gone = judged.where("doomed").select("lang", "path_hash", "checksum").distinct()
     return kept.select(*KEY, "lang", "checksum"), store.join(gone, ["lang", "path_hash", "checksum"], "left_anti")
 
@@ -187,6 +201,19 @@ def clear_all(long: DataFrame, store: DataFrame, lang: str | None = None, path_h
     return long.join(gone, key, "left_anti"), store.join(gone, key, "left_anti")
 
 
+def change_counts(before: DataFrame, after: DataFrame, store_before: DataFrame, store_after: DataFrame) -> DataFrame:
+    """removed_rows, cleared_fields (of rows that stay) and deleted_texts between two states; one row."""
+    rows = before.select(*KEY).distinct().join(after.select(*KEY).distinct().withColumn("stays", F.lit(True)), KEY, "left")
+    gone = before.join(after.select(*KEY, "lang").distinct(), [*KEY, "lang"], "left_anti").join(rows, KEY)
+    key = ["lang", "path_hash", "checksum"]
+    texts = store_before.select(*key).distinct().join(store_after.select(*key).distinct(), key, "left_anti")
+    return (
+        rows.agg(F.count_if(F.col("stays").isNull()).alias("removed_rows"))
+        .join(gone.agg(F.count_if(F.col("stays").isNotNull()).alias("cleared_fields")))  # one row each
+        .join(texts.agg(F.count(F.lit(1)).alias("deleted_texts")))
+    )
+
+
 # -- rebuilding -------------------------------------------------------------------------------------------------------
 
 
@@ -203,6 +230,11 @@ def unmatched_targets(sources: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def mark_session(requests: DataFrame) -> DataFrame:
-    """Requests with `nth`: which occurrence of its checksum in a file and target language a chunk is."""
-    own = Window.partitionBy("path_hash", "tgt_lang", "src_checksum").orderBy("chunk_index", "chunk_id")
-    return requests.withColumn("nth", F.row_number().over(own))
+    """Requests with `is_first`: whether a chunk is the first with its checksum in a file and target language.
+
+    The first is found by an aggregate, which is combined before it is shuffled, so that a chunk that is repeated a
+    million times makes no task large."""
+    key = ["path_hash", "tgt_lang", "src_checksum"]
+    first = requests.groupBy(*key).agg(F.min(F.struct("chunk_index", "chunk_id")).alias("_first"))
+    marked = requests.join(first, key, "left")
+    return marked.withColumn("is_first", F.coalesce(F.struct("chunk_index", "chunk_id") == F.col("_first"), F.lit(True))).drop("_first")

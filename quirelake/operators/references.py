@@ -5,8 +5,8 @@ written.  A *target* is one row of the referred table: the key and the half-open
 the row existed (`end` null: for ever; `begin` null: from the beginning).
 
 The operator groups references by their null mask and, mask by mask, anti-joins them to the targets on the key
-columns that are not null.  The anti-join is executed as one left outer join against a table with exactly one row
-per key, so that the kind of a dangling reference falls out of the same shuffle:
+columns that are not null.  The anti-join is executed as one sorted pass over references and targets of a key, so that
+the kind of a dangling reference falls out of the same shuffle:
 
 * `missing`: no target row has the key,
 * `late`:    every target row with the key begins after the reference,
@@ -20,9 +20,11 @@ Match semantics for composite keys (`match`), as in SQL:
 
 A key with only null components refers to nothing under all three.
 
-Scale: targets are reduced to the union of their intervals first, in two steps, per (key, begin month) and then per
-key, so a key that holds a third of all target rows is merged in parallel before it meets in one place; the big side
-is shuffled once and the join to a one-row-per-key side can be split by adaptive execution when a key is hot.
+Scale: whether a target is alive at a reference's time is read from a running maximum: targets and references of a key
+are sorted by time, and a reference is alive if the latest end of the targets that began before it lies beyond it.  Keys
+are cut into months; what begins in a month is reduced to its latest end first, and the months before a row's own are
+carried over from a table with one row per key and month.  So a key that holds a third of all rows is spread over its
+months, no row holds a list, and targets that begin at one time are reduced before they are shuffled.
 
 Defined results: blank key components (only white space) count as null; keys are compared without regard to case and
 surrounding white space; a reference with a null time is a case only if its key is missing; repeated rows are judged
@@ -67,29 +69,34 @@ def as_targets(df: DataFrame, keys: Sequence[str], begin: str, end: str) -> Data
     )
 
 
-def lifetimes(targets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per key: `first_begin` and `alive`, the disjoint intervals in which some row with the key existed."""
+def judged(references: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """table_name, record_id, at, first_begin (null without any target) and alive of each reference."""
     first, last = F.to_timestamp(F.lit("0001-01-01 00:00:00")), F.to_timestamp(F.lit("9999-12-31 00:00:00"))
+    month = F.trunc("time", "month")
     spans = (
         targets.where(" and ".join(f"{k} is not null" for k in keys))
-        .select(*keys, F.coalesce("begin", first).alias("begin"), F.coalesce("end", last).alias("end"))
-        .groupBy(*keys, "begin")
-        .agg(F.max("end").alias("end"))
-        .withColumn("month", F.trunc("begin", "month"))
+        .select(*keys, F.coalesce("begin", first).alias("time"), F.coalesce("end", last).alias("until"))
+        .groupBy(*keys, "time")
+        .agg(F.max("until").alias("until"))
+        .withColumn("month", month)
     )
-    for parts in ([*keys, "month"], [*keys]):
-        before = Window.partitionBy(*parts).orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
-        upto = Window.partitionBy(*parts).orderBy("begin").rowsBetween(Window.unboundedPreceding, 0)
-        spans = (
-            spans.withColumn("opens", F.coalesce(F.col("begin") > F.max("end").over(before), F.lit(True)).cast("int"))
-            .withColumn("island", F.sum("opens").over(upto))
-            .groupBy(*parts, "island")
-            .agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
-        )
-    return spans.groupBy(*keys).agg(
-        F.min("begin").alias("first_begin"),
-        F.collect_list(F.struct("begin", "end")).alias("alive"),
+    # references without a time go with the first month
+    asked = references.withColumn("time", F.coalesce("at", first)).withColumn("month", month)
+    months = (
+        spans.select(*keys, "month", "time", "until")
+        .unionByName(asked.select(*keys, "month", F.lit(None).cast("timestamp").alias("time"), F.lit(None).cast("timestamp").alias("until")))
+        .groupBy(*keys, "month")
+        .agg(F.min("time").alias("begin"), F.max("until").alias("until"))
     )
+    before = Window.partitionBy(*keys).orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    carried = months.select(*keys, "month", F.max("until").over(before).alias("carried"), F.min("begin").over(Window.partitionBy(*keys)).alias("first_begin"))
+    nothing = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    events = spans.select(*keys, "month", "time", "until", F.lit(0).alias("asks"), nothing("table_name", "string"), nothing("record_id", "bigint"), nothing("at", "timestamp"))
+    events = events.unionByName(asked.select(*keys, "month", "time", nothing("until", "timestamp"), F.lit(1).alias("asks"), "table_name", "record_id", "at"))
+    upto = Window.partitionBy(*keys, "month").orderBy("time", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    running = events.withColumn("reach", F.max("until").over(upto)).where("asks = 1").join(carried, [*keys, "month"])
+    alive = F.coalesce(F.greatest("reach", "carried") > F.col("at"), F.lit(False))
+    return running.select("table_name", "record_id", "at", "first_begin", alive.alias("alive"))
 
 
 def dangling(references: DataFrame, targets: DataFrame, n_keys: int = 1, match: str = "simple") -> DataFrame:
@@ -108,15 +115,13 @@ def dangling(references: DataFrame, targets: DataFrame, n_keys: int = 1, match:
         if match == "full" and len(keys) < n_keys:
             found.append(own.select("table_name", "record_id", "at", F.lit("missing").alias("kind")))
             continue
-        joined = own.join(lifetimes(targets, keys), keys, "left")
-        is_alive = F.exists("alive", lambda span: (span["begin"] <= F.col("at")) & (F.col("at") < span["end"]))
         kind = (
             F.when(F.col("first_begin").isNull(), F.lit("missing"))
-            .when(F.col("at").isNull() | is_alive, F.lit(None))
+            .when(F.col("at").isNull() | F.col("alive"), F.lit(None))
             .when(F.col("first_begin") > F.col("at"), F.lit("late"))
             .otherwise(F.lit("deleted"))
         )
-        found.append(joined.select("table_name", "record_id", "at", kind.alias("kind")).where("kind is not null"))
+        found.append(judged(own, targets, keys).select("table_name", "record_id", "at", kind.alias("kind")).where("kind is not null"))
     out = found[0]
     for df in found[1:]:
         out = out.unionByName(df)

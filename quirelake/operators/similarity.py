@@ -4,9 +4,10 @@ The ratio is 2M / (la + lb) with M matching characters, and M is at most the num
 in common, counted with multiplicity.  Pairs are therefore compared by length and by character counts, as arrays, before
 difflib sees any: with a threshold this drops no pair that could reach it.
 
-A stated set of queries is compared with all candidates of its group (a file), in blocks: candidates are spread over
-`salts` parts of their group, so a hot file is shared by many tasks, and the group's queries go to every part; of each
-query only the best of every part is kept and the best of those is taken.
+A stated set of queries is compared with all candidates of its group (a file), in cells of bounded size: the candidates
+of a group are divided into parts and its queries into blocks, as many as their counted numbers need, and every block
+meets every part.  So a group of any size is spread over many tasks, none of which holds more than a part and a block; of
+each query only the best of every part is kept and the best of those is taken.
 """
 
 from __future__ import annotations
@@ -62,23 +63,37 @@ def best_of(queries: list[str], candidates: list[str], keys: list[str], threshol
     return out
 
 
-def best_matches(queries: DataFrame, candidates: DataFrame, threshold: float = 0.0, salts: int = 16) -> DataFrame:
+#: texts of a part of the candidates and of a block of the queries, about
+PART, BLOCK = 4096, 1024
+
+
+def best_matches(queries: DataFrame, candidates: DataFrame, threshold: float = 0.0, part: int = PART, block: int = BLOCK) -> DataFrame:
     """query_id, checksum, score of the best candidate of the same group above the threshold.
 
     queries: grp, query_id, text, own (a checksum that does not count, or null); candidates: grp, checksum, text (a checksum once a group)."""
     # new names on one side, as both sides may come from one table
-    own = candidates.select(F.col("grp").alias("c_grp"), F.col("checksum").alias("c_checksum"), F.col("text").alias("c_text"))
-    spread = own.dropDuplicates(["c_grp", "c_checksum"]).withColumn("c_part", F.pmod(F.xxhash64("c_checksum"), F.lit(salts)))
-    asked = queries.select("grp", "query_id", "text", "own").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    own = candidates.where("text is not null").select(F.col("grp").alias("c_grp"), F.col("checksum").alias("c_checksum"), F.col("text").alias("c_text"))
+    own = own.dropDuplicates(["c_grp", "c_checksum"])
+    asked = queries.where("text is not null").select("grp", "query_id", "text", "own")
+    sizes = (
+        asked.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).alias("n_blocks"))
+        .join(own.groupBy(F.col("c_grp").alias("grp")).agg(F.ceil(F.count(F.lit(1)) / part).alias("n_parts")), "grp")
+    )
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    asked = asked.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("n_blocks"))).withColumn("part", every("n_parts"))
+    c_sizes = sizes.select(F.col("grp").alias("c_grp"), "n_blocks", "n_parts")
+    own = own.join(c_sizes, "c_grp").withColumn("c_part", F.pmod(F.xxhash64("c_checksum"), F.col("n_parts"))).withColumn("c_block", every("n_blocks"))
+    asked, own = asked.select("grp", "part", "block", "query_id", "text", "own"), own.select("c_grp", "c_part", "c_block", "c_checksum", "c_text")
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = best_of(left["text"].tolist(), right["c_text"].tolist(), right["c_checksum"].tolist(), threshold, left["own"].tolist()) if len(left) and len(right) else [None] * len(left)
         rows = [(q, right["c_checksum"].iloc[hit[1]], hit[0]) for q, hit in zip(left["query_id"], found) if hit]
         return pd.DataFrame(rows, columns=["query_id", "checksum", "score"])
 
-    parts = asked.groupBy("grp", "part").cogroup(spread.groupBy("c_grp", "c_part")).applyInPandas(compare, "query_id bigint, checksum string, score double")
+    kind = queries.schema["query_id"].dataType.simpleString()
+    cells = asked.groupBy("grp", "part", "block").cogroup(own.groupBy("c_grp", "c_part", "c_block")).applyInPandas(compare, f"query_id {kind}, checksum string, score double")
     # the best score; among equals the smallest checksum
-    best = parts.groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("minus"), "checksum")).alias("best"))
+    best = cells.groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("minus"), "checksum")).alias("best"))
     return best.select("query_id", "best.checksum", (-F.col("best.minus")).alias("score"))
 
 

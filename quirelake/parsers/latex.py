@@ -8,14 +8,15 @@ from dataclasses import dataclass, field
 from quirelake.parsers.common import PLACEHOLDER, TEXT, Collector, Segment, closing
 
 #: names with a fixed meaning (fixed values)
-PLACEHOLDER_COMMANDS = frozenset("ref autoref cite label includegraphics input include frac sqrt path url href verb".split())
-PLACEHOLDER_ENVIRONMENTS = frozenset("verbatim Verbatim lstlisting minted".split())
-MATH_ENVIRONMENTS = frozenset(
-    "equation equation* align align* gather gather* multline multline* eqnarray eqnarray* alignat alignat* flalign flalign* math displaymath dmath dmath*".split()
-)
-MATH_TEXT_COMMANDS = frozenset("text mathrm mathbf operatorname mathit textrm textit mathsf mathtt boldsymbol".split())
-DEFINITIONS = frozenset("newcommand renewcommand providecommand def DeclareMathOperator newenvironment renewenvironment newtheorem".split())
-OWN_CHUNK = frozenset("section subsection subsubsection chapter part paragraph subparagraph title maketitle".split())
+PLACEHOLDER_COMMANDS = frozenset({"ref", "autoref", "cite", "label", "includegraphics", "input", "include", "frac", "sqrt", "path", "url", "href", "verb"})
+PLACEHOLDER_ENVIRONMENTS = frozenset({"verbatim", "Verbatim", "lstlisting", "minted"})
+MATH_ENVIRONMENTS = frozenset({
+    "equation", "equation*", "align", "align*", "gather", "gather*", "multline", "multline*", "eqnarray", "eqnarray*", "alignat", "alignat*",
+    "flalign", "flalign*", "aligned", "gathered", "math", "displaymath", "dmath", "dmath*",
+})
+MATH_TEXT_COMMANDS = frozenset({"text", "mathrm", "mathbf", "operatorname", "mathit", "textrm", "textit", "mathsf", "mathtt", "boldsymbol"})
+DEFINITIONS = frozenset({"newcommand", "renewcommand", "providecommand", "def", "DeclareMathOperator", "newenvironment", "renewenvironment", "newtheorem"})
+OWN_CHUNK = frozenset({"section", "subsection", "subsubsection", "chapter", "part", "paragraph", "subparagraph", "title", "maketitle"})
 INLINE_FLUSH = 600
 
 _TOKEN = re.compile(
@@ -135,7 +136,12 @@ def segments(text: str, settings: Settings = DEFAULT) -> list[Segment]:
 
 
 def chunks(text: str) -> list[str]:
-    """The chunks of a LaTeX document, stripped, without blank ones."""
+    return [content for _, content in named_chunks(text)]
+
+
+def named_chunks(text: str) -> list[tuple[str, str]]:
+    """(id, content) of the chunks of a LaTeX document, stripped, without blank ones; those of its body are numbered as
+    such, from 0 on with the chunks before them counted."""
     opening, end = "\\begin{document}", "\\end{document}"
     if opening in text:
         head, _, rest = text.partition(opening)
@@ -143,7 +149,10 @@ def chunks(text: str) -> list[str]:
         found = [head, opening, *_body_chunks(body), end]
     else:
         found = _body_chunks(text)
-    return [c.strip() for c in found if c.strip()]
+    inside = opening in text
+    kept = [c.strip() for c in found if c.strip()]
+    body_at = kept.index(opening) if inside and opening in kept else len(kept)
+    return [(f"{'doc_body' if inside and body_at < i < len(kept) - 1 else 'auto_chunk'}_{i}", c) for i, c in enumerate(kept)]
 
 
 def _body_chunks(text: str) -> list[str]:

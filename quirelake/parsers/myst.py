@@ -7,9 +7,10 @@ import re
 from quirelake.parsers.common import PLACEHOLDER, TEXT, Collector, Segment
 
 #: directives whose title is text and whose body is parsed again (fixed values)
-TITLED = frozenset(
-    "admonition attention caution danger error hint important note seealso tip warning dropdown card grid-item-card tab-item topic exercise theorem proof definition".split()
-)
+TITLED = frozenset({
+    "admonition", "attention", "caution", "danger", "error", "hint", "important", "note", "seealso", "tip", "warning", "dropdown", "card", "grid-item-card",
+    "tab-item", "topic", "exercise", "theorem", "proof", "definition", "aside", "sidebar",
+})
 BODIED = TITLED | {"figure"}
 SECTION_LIMIT = 2000
 
@@ -34,11 +35,10 @@ def inline(text: str) -> list[Segment]:
             body = text[at:end]
             ticks = len(body) - len(body.lstrip("`"))
             if match.group("role") == "{definiendum}" and ticks:
-                # only the words of a definition are text, without the target they may name
-                word = re.match(r"([^<]*?)(\s*<[^<>]*>)?$", body[ticks : len(body) - ticks], re.S)
+                # a definition is text, the target that it may name included
                 out.add(PLACEHOLDER, match.group() + body[:ticks])
-                out.add(TEXT, word.group(1) if word else body[ticks : len(body) - ticks])
-                out.add(PLACEHOLDER, ((word.group(2) or "") if word else "") + body[len(body) - ticks :])
+                out.add(TEXT, body[ticks : len(body) - ticks])
+                out.add(PLACEHOLDER, body[len(body) - ticks :])
             else:
                 out.add(PLACEHOLDER, match.group() + body)
             at = end
@@ -215,6 +215,10 @@ def _directive(block: list[str]) -> list[Segment]:
         while k < len(body) and re.match(r"^[ \t]*:[\w-]+:", body[k]):
             k += 1
         out.extend(_options(body[:k], name))
+        # one blank line after the options goes with them
+        if k and k < len(body) and not body[k].strip():
+            out.add(PLACEHOLDER, body[k])
+            k += 1
         out.extend(segments("".join(body[k:])))
     else:
         k = 0

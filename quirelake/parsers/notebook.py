@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import yaml
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,51 @@ def has_jupytext_header(text: str) -> bool:
     return isinstance(kind, dict) and "extension" in kind and "format_name" in kind
 
 
+def cells_of(text: str) -> list[dict]:
+    """cell_type, source and metadata of the cells of an nbformat-4 text, or of Markdown with a Jupytext header: there,
+    `+++` divides cells and fences of `code-cell` are code; the header is no cell. [] for a text that is neither."""
+    if text.lstrip().startswith("{"):
+        try:
+            found = json.loads(text).get("cells", [])
+        except (json.JSONDecodeError, AttributeError):
+            return []
+        source = lambda s: "".join(s) if isinstance(s, list) else s or ""
+        return [{"cell_type": c.get("cell_type"), "source": source(c.get("source")), "metadata": c.get("metadata", {})} for c in found]
+    if not has_jupytext_header(text):
+        return []
+    lines = text.split("\n")
+    body = lines[next(i for i, line in enumerate(lines[1:], 1) if line.strip() == "---") + 1 :]
+    out: list[dict] = []
+    gathered: list[str] = []
+
+    def close() -> None:
+        source = "\n".join(gathered).strip("\n")
+        if source:
+            out.append({"cell_type": "markdown", "source": source, "metadata": {}})
+        gathered.clear()
+
+    i = 0
+    while i < len(body):
+        fence = re.match(r"^(`{3,})\s*\{?(?:code-cell|code)\b[^\n]*$|^(`{3,})(?:python|r|julia|java|rust)\s*$", body[i])
+        if fence:
+            close()
+            mark = fence.group(1) or fence.group(2)
+            end = next((k for k in range(i + 1, len(body)) if body[k].strip() == mark), len(body))
+            code = body[i + 1 : end]
+            while code and re.match(r"^:[\w-]+:", code[0]):
+                code = code[1:]
+            out.append({"cell_type": "code", "source": "\n".join(code).strip("\n"), "metadata": {}})
+            i = end + 1
+        elif body[i].startswith("+++"):
+            close()
+            i += 1
+        else:
+            gathered.append(body[i])
+            i += 1
+    close()
+    return out
+
+
 def cells(notebook: Column) -> Column:
     """cell_type, source, src_checksum, tags of the cells of an nbformat-4 text; a source may be a list of lines."""
     parsed = F.from_json(notebook, _CELLS)["cells"]

@@ -7,8 +7,8 @@ import re
 from quirelake.parsers.common import MATH, PLACEHOLDER, TEXT, Collector, Segment, closing
 
 #: argument names whose strings are text unless a map says otherwise, and those that never are (fixed values)
-TEXT_ARGUMENTS = frozenset("caption description info subtitle summary title".split())
-NEVER_TEXT = frozenset("file id key label lang language path ref target url".split())
+TEXT_ARGUMENTS = frozenset({"caption", "description", "info", "subtitle", "summary", "title"})
+NEVER_TEXT = frozenset({"file", "id", "key", "label", "lang", "language", "path", "ref", "target", "url"})
 RULES = ("show", "set", "let", "import", "include")
 INLINE_FLUSH, SECTION_LIMIT, INTERNAL_LIMIT = 600, 2000, 2000
 
@@ -182,12 +182,12 @@ def chunks(text: str) -> list[tuple[str, str]]:
     return [(f"auto_chunk_{i}", content) for i, content in enumerate(packed, 1) if content.strip()]
 
 
-def subchunks(text: str, limit: int = INTERNAL_LIMIT) -> list[str]:
+def subchunks(text: str, limit: int = INTERNAL_LIMIT, functions: dict[str, list[str]] | None = None) -> list[str]:
     """Parts of an oversized chunk: segments packed to the limit; only text is divided, at natural boundaries."""
     from quirelake.operators.ordered import split_at_boundary
 
     parts: list[str] = []
-    for kind, content in segments(text):
+    for kind, content in segments(text, functions):
         parts += split_at_boundary(content, limit) if kind == TEXT and len(content) > limit else [content]
     out, current = [], ""
     for part in parts:

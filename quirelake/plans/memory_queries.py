@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.functions.languages import COLUMNS, column_of, sql_column_of
-from quirelake.functions.text import checksum, path_checksum, strip
+from quirelake.functions.text import checksum, is_blank, path_checksum, strip, summary
 from quirelake.operators import memory
 from quirelake.operators.references import tidy_key
 from quirelake.plans.status import _TIDY, WIDE_SQL, live_chunks, target_languages, wide_memory
@@ -20,7 +20,7 @@ def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recovered pairs with path_hash, languages by column name and both checksums; only those with both languages."""
     dirs = load(spark, sf_dir, "lang_dir").select("lang_dir_id", column_of(F.col("language")).alias("tgt_lang"))
-    pairs = load(spark, sf_dir, "recovered_chunk_pair").join(F.broadcast(dirs), "lang_dir_id")  # a fixed table
+    pairs = load(spark, sf_dir, "recovered_chunk_pair").join(dirs, "lang_dir_id")
     return pairs.select(
         "pair_id", F.coalesce(tidy_key("path_checksum"), F.lit("")).alias("path_hash"), column_of(F.col("src_lang")).alias("src_lang"), "tgt_lang",
         tidy_key("src_checksum").alias("src_checksum"), checksum(F.col("tgt_text")).alias("tgt_checksum"), "src_text", "tgt_text", "chunk_index",
@@ -40,7 +40,7 @@ def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _source_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path_hash -> the source language of the file's project."""
     paths = load(spark, sf_dir, "path_map").select(F.col("path_checksum").alias("path_hash"), F.split("relative_path", "/")[0].alias("project")).distinct()
-    return paths.join(F.broadcast(target_languages(spark, sf_dir).select("project", F.col("src_lang").alias("source_language")).distinct()), "project").drop("project")
+    return paths.join(target_languages(spark, sf_dir).select("project", F.col("src_lang").alias("source_language")).distinct(), "project").drop("project")
 
 
 def _long_with_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def _long_with_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = live_chunks(spark, sf_dir).join(F.broadcast(target_languages(spark, sf_dir)), "project")  # a fixed table
+    wanted = live_chunks(spark, sf_dir).join(target_languages(spark, sf_dir), "project")
     return wanted.select("chunk_id", "path_hash", "rel_path", "chunk_index", F.col("checksum").alias("src_checksum"), "src_lang", F.col("lang").alias("tgt_lang"))
 
 
@@ -104,7 +104,16 @@ def lookup_reverse(spark, sf_dir):
 
 
 def find_first_match(spark, sf_dir):
-    return memory.first_match(wide_memory(spark, sf_dir).where("path_hash <> ''"), "english", "german")
+    """What the memory answers for the English chunks of every file that it or the scan knows."""
+    wide = wide_memory(spark, sf_dir)
+    asked = wide.where("path_hash <> '' and english <> ''").select("path_hash", F.col("english").alias("src_checksum"))
+    scanned = load(spark, sf_dir, "source_chunk").select(F.coalesce(tidy_key("path_checksum"), F.lit("")).alias("path_hash"), F.col("checksum").alias("src_checksum"))
+    return memory.first_match(wide, "english", "german", asked.union(scanned.where("path_hash <> ''")))
+
+
+def wide_rows(spark, sf_dir):
+    """The rows of the wide table with a checksum in some language."""
+    return memory.drop_empty(wide_memory(spark, sf_dir), COLUMNS).select("row_id")
 
 
 def index_last_wins(spark, sf_dir):
@@ -112,7 +121,7 @@ def index_last_wins(spark, sf_dir):
 
 
 def upsert_pairs(spark, sf_dir):
-    own = _long(spark, sf_dir).where("path_hash <> ''")
+    own = _long(spark, sf_dir)
     source = own.select(*memory.KEY, F.col("lang").alias("src_lang"), F.col("checksum").alias("src_checksum"))
     known = source.join(own.select(*memory.KEY, F.col("lang").alias("tgt_lang"), F.col("checksum").alias("tgt_checksum")), memory.KEY).where("src_lang <> tgt_lang")
     new = _pairs(spark, sf_dir).where("path_hash <> ''").select("path_hash", "src_lang", "src_checksum", "tgt_lang", "tgt_checksum", F.col("recovered_at").alias("ord"))
@@ -154,6 +163,20 @@ def clear_checksum_source_lang(spark, sf_dir):
     return _cleared_checksum(spark, sf_dir, "lang = source_language", "german")
 
 
+def clear_checksum_stats(spark, sf_dir):
+    """What clearing a source checksum for one language changes."""
+    long, store = _long_with_source(spark, sf_dir), _store(spark, sf_dir)
+    value = _least(long, "checksum", "lang = source_language")
+    kept, left = memory.clear_checksum(long, store, value, F.col("source_language"), "german")
+    return memory.change_counts(long, kept, store, left)
+
+
+def clear_all_stats(spark, sf_dir):
+    """What deleting all German texts changes."""
+    long, store = _long(spark, sf_dir), _store(spark, sf_dir)
+    return memory.change_counts(long, memory.clear_all(long, store, lang="german")[0], store, memory.clear_all(long, store, lang="german")[1])
+
+
 def clear_checksum_target(spark, sf_dir):
     return _cleared_checksum(spark, sf_dir, "lang = 'german' and lang <> source_language", None)
 
@@ -207,7 +230,7 @@ def corrected_chunks(spark, sf_dir):
 def session_dedupe(spark, sf_dir):
     """What becomes of each request: from the memory, translated, or a repetition of one translated before in the file."""
     marked = memory.mark_session(_looked_up(spark, sf_dir))
-    outcome = F.when(F.col("tgt_text").isNotNull(), "hit").when(F.col("nth") > 1, "repeated").otherwise("call")
+    outcome = F.when(F.col("tgt_text").isNotNull(), "hit").when(~F.col("is_first"), "repeated").otherwise("call")
     return marked.select("chunk_id", "rel_path", "tgt_lang", outcome.alias("outcome"))
 
 
@@ -222,6 +245,22 @@ def translation_stats(spark, sf_dir):
     return stats_by_file(spark, sf_dir).groupBy("tgt_lang").agg(*(F.sum(c).alias(c) for c in ("from_cache", "translated", "total")))
 
 
+def run_summaries(spark, sf_dir):
+    """What the command line says of a run, per target language."""
+    rows = translation_stats(spark, sf_dir)
+    none = F.lit(0)
+    return rows.select("tgt_lang", summary(F.col("from_cache"), F.col("translated"), none, F.when(F.col("translated") > 5, 1).otherwise(0)).alias("summary"))
+
+
+def run_labels(spark, sf_dir):
+    """What each request comes to before a model is asked."""
+    contents = load(spark, sf_dir, "source_chunk").select("chunk_id", "content", "chunk_type")
+    marked = memory.mark_session(_looked_up(spark, sf_dir)).join(contents, "chunk_id")
+    long = (F.col("chunk_type") == "typst") & (F.length("content") > 2000)
+    label = F.when(is_blank(F.col("content")), "blank").when(F.col("tgt_text").isNotNull(), "hit").when(~F.col("is_first"), "repeated").when(long, "parts").otherwise("call")
+    return marked.select("chunk_id", "tgt_lang", label.alias("label"))
+
+
 def carry_over_metadata(spark, sf_dir):
     """Hits with what the existing target has for the chunk: its first failure's error and when it was recovered first."""
     hits = _looked_up(spark, sf_dir).where("tgt_text is not null")
@@ -281,23 +320,30 @@ def _sql_cleared(value: str, lang: str | None) -> str:
     """Cells left after a checksum is cleared."""
     want = "true" if lang is None else f"lang = '{lang}'"
     as_source_gone = "true" if lang is None else f"(lang = '{lang}' and lang <> source_language)"
-    tail = "" if lang is None else "where has_target or as_source = 0"
     return f"""{_B}, value as (select {value} as v), marked as (
       select l.*, max(case when lang = source_language and checksum = (select v from value) then 1 else 0 end) over (partition by row_id) as as_source from long l
     ), judged as (
       select *, case when (select max(as_source) from marked) = 1 then as_source = 1 and {as_source_gone}
         else checksum = (select v from value) and lang <> source_language and {want} end as doomed from marked
-    ), left_over as (select *, bool_or(lang <> source_language) over (partition by row_id) as has_target from judged where not doomed)
-    select row_id, lang, checksum from left_over {tail}"""
+    )
+    select row_id, lang, checksum from judged where not doomed"""
+
+
+def _sql_changes(kept: str, gone: str) -> str:
+    """Counts of a change, from the cells that stay (row_id, lang) and the texts that go (lang, path_hash, checksum)."""
+    return f"""{kept}
+    select (select count(distinct row_id) from cells where row_id not in (select row_id from staying)) as removed_rows,
+      (select count(*) from cells c where row_id in (select row_id from staying) and not exists (select 1 from staying s where s.row_id = c.row_id and s.lang = c.lang)) as cleared_fields,
+      ({gone}) as deleted_texts"""
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        correspondence_long, correspondence_wide, correspondence_add_lang, correspondence_drop_lang, chunk_store, store_any_text, path_registry, lookup_hits,
+        wide_rows, clear_checksum_stats, clear_all_stats, correspondence_long, correspondence_wide, correspondence_add_lang, correspondence_drop_lang, chunk_store, store_any_text, path_registry, lookup_hits,
         lookup_misses, lookup_reverse, find_first_match, index_last_wins, upsert_pairs, clear_missing_rows, clear_missing_stats, orphan_chunks,
         clear_checksum_source, clear_checksum_source_lang, clear_checksum_target, clear_all_lang, clear_all_file, clear_all_keyword, clear_all_keyword_file,
-        rebuild_pairs, rebuild_unmatched, corrected_chunks, session_dedupe, stats_by_file, translation_stats, carry_over_metadata,
+        rebuild_pairs, rebuild_unmatched, corrected_chunks, session_dedupe, stats_by_file, translation_stats, run_summaries, run_labels, carry_over_metadata,
     )
 }
 _LANGS = ", ".join(COLUMNS)
@@ -315,11 +361,27 @@ SQL = {
     "lookup_hits": _B + "select chunk_id, tgt_lang, tgt_checksum, length(tgt_text) as n_chars from looked where tgt_text is not null",
     "lookup_misses": _B + "select chunk_id, tgt_lang from looked where tgt_text is null",
     "lookup_reverse": _B + "select p.pair_id, i.tgt_checksum as source_checksum from pairs p join mem_index i on i.path_hash = p.path_hash and i.src_lang = p.tgt_lang and i.tgt_lang = p.src_lang and i.src_checksum = p.tgt_checksum",
-    "find_first_match": f"with {WIDE_SQL} select path_hash, english as src_checksum, nullif(arg_min(german, (ord, row_id)), '') as tgt_checksum from wide where english <> '' and path_hash <> '' group by path_hash, english",
+    "find_first_match": f"""with {WIDE_SQL}, asked as (
+        select path_hash, english as src_checksum from wide where english <> '' and path_hash <> '' union select {_TIDY}, checksum from source_chunk where {_TIDY} is not null)
+        select a.path_hash, a.src_checksum, nullif(arg_min(w.german, (w.ord, w.row_id)), '') as tgt_checksum from asked a
+        join wide w on w.english = a.src_checksum and (w.path_hash = a.path_hash or w.path_hash = '') where w.english <> '' group by 1, 2""",
+    "wide_rows": f"with {WIDE_SQL} select row_id from wide where {' or '.join(f"{c} <> ''" for c in COLUMNS)}",
+    "clear_checksum_stats": _sql_changes(
+        _sql_cleared("(select min(checksum) from long where lang = source_language)", "german").replace("select row_id, lang, checksum from judged where not doomed", ", staying as (select row_id, lang from judged where not doomed)"),
+        "select count(*) from store s where exists (select 1 from judged j where j.doomed and j.lang = s.lang and j.path_hash = s.path_hash and j.checksum = s.checksum)",
+    ),
+    "clear_all_stats": _sql_changes(_B + ", staying as (select row_id, lang from cells where lang <> 'german')", "select count(*) from store where lang = 'german'"),
     "index_last_wins": _B + "select * from mem_index",
-    "upsert_pairs": _B + """select path_hash, src_lang, src_checksum, tgt_lang, arg_max(tgt_checksum, (is_new, ord, tgt_checksum)) as tgt_checksum from (
-        select s.path_hash, s.lang as src_lang, s.checksum as src_checksum, t.lang as tgt_lang, t.checksum as tgt_checksum, s.ord, 0 as is_new
-        from cells s join cells t on s.row_id = t.row_id and s.lang <> t.lang where s.path_hash <> ''
+    "upsert_pairs": _B + """, known as (
+        select s.path_hash, s.lang as src_lang, s.checksum as src_checksum, t.lang as tgt_lang, t.checksum as tgt_checksum, s.ord
+        from cells s join cells t on s.row_id = t.row_id and s.lang <> t.lang
+      ), takers as (
+        select src_lang, src_checksum, arg_min(path_hash, (recovered_at, path_hash)) as taker from pairs p
+        where path_hash <> '' and src_lang <> tgt_lang and src_checksum is not null and not exists (select 1 from known k where k.path_hash = p.path_hash and k.src_lang = p.src_lang and k.src_checksum = p.src_checksum)
+        group by 1, 2)
+      select path_hash, src_lang, src_checksum, tgt_lang, arg_max(tgt_checksum, (is_new, ord, tgt_checksum)) as tgt_checksum from (
+        select case when k.path_hash = '' then coalesce(t.taker, '') else k.path_hash end as path_hash, k.src_lang, k.src_checksum, k.tgt_lang, k.tgt_checksum, k.ord, 0 as is_new
+        from known k left join takers t on t.src_lang = k.src_lang and t.src_checksum = k.src_checksum
         union all select path_hash, src_lang, src_checksum, tgt_lang, tgt_checksum, recovered_at, 1 from pairs where path_hash <> '' and src_lang <> tgt_lang) group by all""",
     "clear_missing_rows": _B + "select row_id, lang, checksum from kept",
     "clear_missing_stats": _B + "select (select count(*) from row_stays where not stays) as removed_rows, (select count(*) from present join row_stays using (row_id) where stays and not there) as cleared_fields",
@@ -341,6 +403,10 @@ SQL = {
     "session_dedupe": _B + "select chunk_id, rel_path, tgt_lang, outcome from outcomes",
     "stats_by_file": _B + "select rel_path, tgt_lang, count_if(outcome <> 'call')::bigint as from_cache, count_if(outcome = 'call')::bigint as translated, count(*) as total from outcomes group by rel_path, tgt_lang",
     "translation_stats": _B + "select tgt_lang, count_if(outcome <> 'call')::bigint as from_cache, count_if(outcome = 'call')::bigint as translated, count(*) as total from outcomes group by tgt_lang",
+    "run_summaries": _B + """, n as (select tgt_lang, count_if(outcome <> 'call') as c, count_if(outcome = 'call') as t from outcomes group by tgt_lang)
+        select tgt_lang, 'from the memory: ' || c || chr(10) || 'translated: ' || t || case when t > 5 then chr(10) || 'failed: 1' else '' end as summary from n""",
+    "run_labels": _B + f"""select o.chunk_id, o.tgt_lang, case when regexp_full_match(c.content, '{_STRIP[:-1]}*') then 'blank' when o.outcome = 'call' and c.chunk_type = 'typst' and length(c.content) > 2000 then 'parts' else o.outcome end as label
+        from outcomes o join source_chunk c using (chunk_id)""",
     "carry_over_metadata": _B + """, existing as (select path_hash, src_lang, tgt_lang, src_checksum, arg_min(pair_id, (recovered_at, pair_id)) as first_pair_id, min(recovered_at) as first_recovered_at from pairs group by 1, 2, 3, 4)
         select l.chunk_id, l.tgt_lang, e.first_pair_id, e.first_recovered_at from looked l left join existing e on e.path_hash = l.path_hash and e.src_lang = l.src_lang
         and e.tgt_lang = l.tgt_lang and e.src_checksum = l.src_checksum where l.tgt_text is not null""",

@@ -48,7 +48,7 @@ def review_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     dirs = load(spark, sf_dir, "lang_dir").select("lang_dir_id", "project", column_of(F.col("language")).alias("lang"))
     failures = load(spark, sf_dir, "chunk_failure").where("source_path is not null")
     return (
-        failures.join(F.broadcast(dirs), "lang_dir_id")  # a fixed table
+        failures.join(dirs, "lang_dir_id")
         .where("lang is not null")
         .select(F.col("source_path").alias("rel_path"), "chunk_index", "lang")
         .distinct()
@@ -58,7 +58,7 @@ def review_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def judged_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each live chunk and target language: rel_path, lang, translated, needs_review, known."""
-    wanted = live_chunks(spark, sf_dir).join(F.broadcast(target_languages(spark, sf_dir)), "project")  # a fixed table
+    wanted = live_chunks(spark, sf_dir).join(target_languages(spark, sf_dir), "project")
     wide = wide_memory(spark, sf_dir).where("path_hash <> ''")
     cells = F.filter(F.array(*(F.struct(F.lit(c).alias("lang"), F.col(c).alias("checksum")) for c in COLUMNS)), lambda c: c["checksum"] != "")
     # the last row of each (file, language, checksum) wins, whole

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.functions import languages, tagging, text
-from quirelake.operators import ordered
+from quirelake.operators import annotated, ordered
 from quirelake.operators.references import tidy_key
 from quirelake.tables import load
 
@@ -215,41 +215,57 @@ def locate_start_lines(spark, sf_dir):
 # -- annotated target documents ---------------------------------------------------------------------------------------
 
 
+_FILE = ["lang_dir_id", "path_hash", "kind"]
+
+
 def _annotated(spark, sf_dir):
-    pairs = load(spark, sf_dir, "recovered_chunk_pair").where("chunk_type = 'latex' and tgt_text is not null")
+    pairs = load(spark, sf_dir, "recovered_chunk_pair").where("chunk_type in ('latex', 'myst', 'typst') and tgt_text is not null")
     entries = F.array(
-        F.struct(F.lit("src_checksum").alias("key"), tidy_key("src_checksum").alias("value")),
+        F.struct(F.lit("src_checksum").alias("key"), F.coalesce(tidy_key("src_checksum"), F.lit("")).alias("value")),
         F.struct(F.lit("needs_review").alias("key"), F.lit("True").alias("value")),
     )
-    block = F.concat(text.metadata_block(entries, "latex"), text.universal_newlines(F.col("tgt_text")))
-    return pairs.select("pair_id", "lang_dir_id", tidy_key("path_checksum").alias("path_hash"), "chunk_index", block.alias("block"))
+    chunks = pairs.select(
+        "lang_dir_id", tidy_key("path_checksum").alias("path_hash"), F.col("chunk_type").alias("kind"), "chunk_index", F.col("pair_id").alias("nr"),
+        entries.alias("entries"), text.universal_newlines(F.col("tgt_text")).alias("source"),
+    )
+    return annotated.blocks(chunks, _FILE)
 
 
 def annotate_documents(spark, sf_dir):
-    """Compiled target documents in parts of 200 chunk numbers, so that no file has to fit into one row."""
-    parts = _annotated(spark, sf_dir).withColumn("part", F.floor(F.col("chunk_index") / 200).cast("bigint"))
-    ordered_blocks = F.array_sort(F.collect_list(F.struct("chunk_index", "pair_id", "block")))
-    return parts.groupBy("lang_dir_id", "path_hash", "part").agg(F.sha2(F.array_join(F.transform(ordered_blocks, lambda x: x["block"]), ""), 256).alias("checksum"))
+    """Compiled target documents of all formats, in parts of 200 chunk numbers, so that no file has to fit into one row."""
+    return annotated.parts(_annotated(spark, sf_dir), _FILE).select(*_FILE, "part", F.sha2("text", 256).alias("checksum"))
+
+
+def annotate_sizes(spark, sf_dir):
+    """Chunks, characters and lines of each whole compiled document."""
+    breaks = F.length("block") - F.length(F.replace("block", F.lit("\n"), F.lit("")))
+    return _annotated(spark, sf_dir).groupBy(*_FILE).agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("block")).cast("bigint").alias("n_chars"), F.sum(breaks).cast("bigint").alias("n_breaks"))
 
 
 def target_start_lines(spark, sf_dir):
     """Line at which each chunk's metadata block begins in its compiled target document."""
-    breaks = F.length("block") - F.length(F.replace("block", F.lit("\n"), F.lit("")))
-    per_index = _annotated(spark, sf_dir).withColumn("n_breaks", breaks)
-    # chunks of the same number follow each other by pair_id
-    key = per_index.withColumn("nth", F.col("chunk_index").cast("bigint") * 1_000_000_000 + F.col("pair_id"))
-    total = ordered.running_total(key, ["lang_dir_id", "path_hash"], "nth", "n_breaks", "before", block=200_000_000_000)
-    return total.select("pair_id", (F.col("before") + 1).cast("bigint").alias("start_line"))
+    return annotated.start_lines(_annotated(spark, sf_dir), _FILE).select(F.col("nr").alias("pair_id"), "start_line")
 
 
 def parse_annotated_documents(spark, sf_dir):
-    """Chunks with their metadata, read back from annotated blocks; contents are stripped, blank ones dropped."""
-    blocks = _annotated(spark, sf_dir)
-    inside = F.regexp_extract("block", text.block_pattern("latex"), 1)
-    body = text.strip(F.regexp_replace("block", text.block_pattern("latex"), ""))
-    values = F.map_from_entries(text.parse_metadata(inside))
-    rows = blocks.select("pair_id", values["src_checksum"].alias("src_checksum"), values["needs_review"].alias("needs_review"), body.alias("body"))
-    return rows.where("body <> ''").select("pair_id", "src_checksum", "needs_review", F.sha2("body", 256).alias("tgt_checksum"))
+    """Chunks with their metadata, read back from compiled documents of many blocks; contents are stripped, blank ones
+    dropped."""
+    documents = annotated.parts(_annotated(spark, sf_dir), _FILE)
+    rows = annotated.read(documents, "text", "kind", *_FILE, "part")
+    return rows.select(*_FILE, "part", F.col("nth").cast("bigint").alias("nth"), F.col("metadata")["src_checksum"].alias("src_checksum"), F.col("metadata")["needs_review"].alias("needs_review"), F.sha2("body", 256).alias("tgt_checksum"))
+
+
+def failure_lines(spark, sf_dir):
+    """Failed calls with the line at which their chunk begins in its source file, null beyond the file's chunks."""
+    paths = load(spark, sf_dir, "path_map").select(F.col("path_checksum").alias("path_hash"), F.col("relative_path").alias("source_path")).distinct()
+    starts = load(spark, sf_dir, "source_chunk").groupBy(tidy_key("path_checksum").alias("path_hash"), "chunk_index").agg(F.min("lines.start_line").alias("start_line"))
+    own = starts.join(paths, "path_hash").groupBy("source_path", "chunk_index").agg(F.min("start_line").alias("start_line"))
+    return load(spark, sf_dir, "chunk_failure").join(own, ["source_path", "chunk_index"], "left").select("failure_id", "start_line")
+
+
+def fatal_messages(spark, sf_dir):
+    message = text.fatal_message(F.trim("error_type"), F.lit("echo"), F.lit("small"))
+    return load(spark, sf_dir, "chunk_failure").where("error_type is not null").select("failure_id", message.alias("message"))
 
 
 # -- files ------------------------------------------------------------------------------------------------------------
@@ -261,7 +277,7 @@ def sync_plan(spark, sf_dir):
     chunked = load(spark, sf_dir, "source_chunk").select(tidy_key("path_checksum").alias("path_checksum")).distinct()
     targets = load(spark, sf_dir, "lang_dir").where("role = 'target'").select("project", "path")
     plain = files.join(chunked, "path_checksum", "left_anti").withColumn("project", F.split("relative_path", "/")[0])
-    return plain.join(F.broadcast(targets), "project").select(  # a fixed table
+    return plain.join(targets, "project").select(
         "relative_path", F.concat("path", F.substr("relative_path", F.length("project") + F.lit(1))).alias("target")
     )
 
@@ -302,7 +318,7 @@ QUERIES = {
         chunk_checksums, path_checksums, doc_type_counts, line_chunks_50, line_chunks_3, blank_documents, oversized_chunks, content_types, extract_output_tags,
         extract_between_tags, resolve_languages, vocab_pairs, vocab_compile, prompts_plain, prompts_xml, failure_classes, failure_report, coalesce_placeholders,
         placeholder_ids, build_xml, verify_placeholders, restore_placeholders, section_groups, section_expand, greedy_pack_2000, inline_flush_600,
-        locate_start_lines, annotate_documents, target_start_lines, parse_annotated_documents, sync_plan, target_extra_files, expand_paths, nearest_ancestor,
+        locate_start_lines, annotate_documents, target_start_lines, parse_annotated_documents, annotate_sizes, failure_lines, fatal_messages, sync_plan, target_extra_files, expand_paths, nearest_ancestor,
         same_named_file,
     )
 }
@@ -343,11 +359,16 @@ def _sql_prompt(source: str) -> str:
 
 
 _KEYED = r"nullif(lower(regexp_replace({0}, '^\s+|\s+$', '', 'g')), '')"
-_ANNOTATED = rf"""annotated as (
-  select pair_id, lang_dir_id, {_KEYED.format('path_checksum')} as path_hash, chunk_index, {_KEYED.format('src_checksum')} as src_checksum,
-    '% CHUNK_METADATA_START' || chr(10) || '% src_checksum: ' || {_KEYED.format('src_checksum')} || chr(10) || '% needs_review: True' || chr(10) || '% CHUNK_METADATA_END' || chr(10)
-      || regexp_replace(tgt_text, '\r\n?', chr(10), 'g') as block, regexp_replace(tgt_text, '\r\n?', chr(10), 'g') as body
-  from recovered_chunk_pair where chunk_type = 'latex' and tgt_text is not null)"""
+_ANNOTATED = rf"""bodies as (
+  select pair_id, lang_dir_id, {_KEYED.format('path_checksum')} as path_hash, chunk_type as kind, chunk_index, coalesce({_KEYED.format('src_checksum')}, '') as src_checksum,
+    regexp_replace(tgt_text, '\r\n?', chr(10), 'g') as body
+  from recovered_chunk_pair where chunk_type in ('latex', 'myst', 'typst') and tgt_text is not null
+), marked as (select *, case kind when 'typst' then '// ' else '% ' end as lead, pair_id = last_value(pair_id) over (partition by lang_dir_id, path_hash, kind order by chunk_index, pair_id rows between unbounded preceding and unbounded following) as is_last from bodies
+), annotated as (
+  select *, case kind when 'myst' then chr(10) || '<!--' || chr(10) else '' end || lead || 'CHUNK_METADATA_START' || chr(10) || lead || 'src_checksum: ' || src_checksum || chr(10) || lead || 'needs_review: True' || chr(10)
+      || lead || 'CHUNK_METADATA_END' || chr(10) || case kind when 'myst' then '-->' || chr(10) else '' end || body
+      || case when kind = 'typst' and not is_last and not ends_with(body, chr(10)) then chr(10) else '' end as block from marked)"""
+_CLASS = "lower(regexp_extract(trim(error_type), '([^.]*)$', 1))"
 _WS = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
 _RESOLVE = "case when lower(trim(language)) in ('french','english','german','spanish','ukrainian','armenian') then upper(left(lower(trim(language)), 1)) || substr(lower(trim(language)), 2) when trim(language) = 'Italian' then 'Italian' " + " ".join(f"when lower(trim(language)) = '{k}' then '{v}'" for k, v in _SHORTS.items()) + " end"
 _PACK = """with recursive {docs}, {lines}, {units}, packed as (
@@ -398,9 +419,16 @@ SQL = {
         next_bin="case when u.kind = 'heading' and p.used > 0 then p.next_bin + 2 when u.kind = 'heading' or p.used + u.n >= 600 then p.next_bin + 1 else p.next_bin end",
     ),
     "locate_start_lines": f"with {_DOCS}, {_LINES}, before as (select doc_id, pos, coalesce(sum(length(line) - length(replace(line, chr(10), ''))) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) as breaks from lines) select doc_id, pos // 3 + 1 as chunk_index, (breaks + 1)::bigint as start_line from before where pos % 3 = 0",
-    "annotate_documents": f"with {_ANNOTATED} select lang_dir_id, path_hash, (chunk_index // 200)::bigint as part, sha256(string_agg(block, '' order by chunk_index, pair_id)) as checksum from annotated group by 1, 2, 3",
-    "target_start_lines": f"with {_ANNOTATED} select pair_id, (1 + coalesce(sum(length(block) - length(replace(block, chr(10), ''))) over (partition by lang_dir_id, path_hash order by chunk_index, pair_id rows between unbounded preceding and 1 preceding), 0))::bigint as start_line from annotated",
-    "parse_annotated_documents": f"with {_ANNOTATED}, stripped as (select *, regexp_replace(body, '^{_WS}+|{_WS}+$', '', 'g') as s from annotated) select pair_id, src_checksum, 'True' as needs_review, sha256(s) as tgt_checksum from stripped where s <> ''",
+    "annotate_documents": f"with {_ANNOTATED} select lang_dir_id, path_hash, kind, (chunk_index // 200)::bigint as part, sha256(string_agg(block, '' order by chunk_index, pair_id)) as checksum from annotated group by 1, 2, 3, 4",
+    "annotate_sizes": f"with {_ANNOTATED} select lang_dir_id, path_hash, kind, count(*) as n_chunks, sum(length(block))::bigint as n_chars, sum(length(block) - length(replace(block, chr(10), '')))::bigint as n_breaks from annotated group by 1, 2, 3",
+    "target_start_lines": f"with {_ANNOTATED} select pair_id, (1 + coalesce(sum(length(block) - length(replace(block, chr(10), ''))) over (partition by lang_dir_id, path_hash, kind order by chunk_index, pair_id rows between unbounded preceding and 1 preceding), 0))::bigint as start_line from annotated",
+    "parse_annotated_documents": f"with {_ANNOTATED}, stripped as (select *, regexp_replace(body, '^{_WS}+|{_WS}+$', '', 'g') as s from annotated) select lang_dir_id, path_hash, kind, (chunk_index // 200)::bigint as part, row_number() over (partition by lang_dir_id, path_hash, kind, chunk_index // 200 order by chunk_index, pair_id) as nth, src_checksum, 'True' as needs_review, sha256(s) as tgt_checksum from stripped where s <> ''",
+    "failure_lines": f"""with starts as (select p.relative_path as source_path, c.chunk_index, min(c.lines.start_line) as start_line
+        from source_chunk c join (select distinct path_checksum, relative_path from path_map) p on p.path_checksum = {_KEYED.format('c.path_checksum')} group by 1, 2)
+        select failure_id, start_line from chunk_failure f left join starts s on s.source_path = f.source_path and s.chunk_index = f.chunk_index""",
+    "fatal_messages": f"""select failure_id, case when {_CLASS} = 'authenticationfailed' then 'The key for echo was not accepted.' when {_CLASS} = 'modelnotfound' then 'echo has no model small.'
+        when {_CLASS} in ('ratelimited', 'serviceunavailable', 'readtimeout', 'retriesexhausted') then 'echo did not answer, however often it was asked.'
+        else 'A call of small failed: ' || trim(error_type) || '.' end as message from chunk_failure where error_type is not null""",
     "sync_plan": f"""select p.relative_path, d.path || substr(p.relative_path, length(d.project) + 1) as target from (select distinct relative_path, path_checksum from path_map) p
         join lang_dir d on d.role = 'target' and d.project = split_part(p.relative_path, '/', 1) where not exists (select 1 from source_chunk s where {_KEYED.format('s.path_checksum')} = p.path_checksum)""",
     "target_extra_files": "select distinct target_path from chunk_failure f where target_path is not null and not exists (select 1 from path_map p where p.relative_path = f.source_path)",

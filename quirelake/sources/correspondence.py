@@ -13,8 +13,12 @@ KEY = "path_checksum"
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """The rows of a correspondence CSV with `ord`, their place in it; empty cells are '', a missing key column too."""
     rows = spark.read.csv(path, header=True)
-    rows = rows if KEY in rows.columns else rows.withColumn(KEY, F.lit(""))
-    return rows.select(F.monotonically_increasing_id().alias("ord"), *(F.coalesce(c, F.lit("")).alias(c) for c in rows.columns))
+    names = rows.columns
+    # the file's name first, then the place in the file: parts of one file are numbered in order, whatever is read beside
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.select(place.alias("ord"), *names)
+    rows = rows if KEY in names else rows.withColumn(KEY, F.lit(""))
+    return rows.select("ord", *(F.coalesce(c, F.lit("")).alias(c) for c in rows.columns if c != "ord"))
 
 
 def write_csv(wide: DataFrame, path: str, languages: Sequence[str]) -> None:
@@ -29,11 +33,3 @@ def read_vocabulary(spark: SparkSession, path: str, source: str, target: str) ->
     if source not in rows.columns or target not in rows.columns:
         return spark.createDataFrame([], "term_no bigint, src string, tgt string")
     return rows.select(F.monotonically_increasing_id().alias("term_no"), F.col(source).alias("src"), F.col(target).alias("tgt"))
-
-
-def save_version(df: DataFrame, root: str, version: int, partition: str | None = None) -> str:
-    """Writes a table as a new version beside the old ones and returns its path."""
-    path = f"{root.rstrip('/')}/v={version:06d}"
-    writer = df.write.mode("errorifexists")
-    (writer.partitionBy(partition) if partition else writer).parquet(path)
-    return path

@@ -115,7 +115,7 @@ def test_located_lines(spark):
 
 def test_running_total_is_split(spark):
     rows = [("g", i, i % 7) for i in range(2500)] + [("h", 3, 1)]
-    out = ordered.running_total(spark.createDataFrame(rows, "g string, i bigint, v bigint"), ["g"], "i", "v", "s", block=100)
+    out = ordered.running_total(spark.createDataFrame(rows, "g string, i bigint, v bigint"), ["g"], ["i"], "v", "s", block=100)
     got = {(r.g, r.i): r.s for r in out.collect()}
     assert all(got["g", i] == sum(k % 7 for k in range(i)) for i in (0, 1, 99, 100, 101, 2499)) and got["h", 3] == 0
 

@@ -33,8 +33,10 @@ def test_lookup_last_wins_and_first_match(spark):
     got = {(r.path_hash, r.src_checksum): r.tgt_text for r in found.collect()}
     # q: its text is not in the store; '': not in the index
     assert got == {("p", "e1"): "text of f2", ("q", "e1"): None, ("p", "e2"): None, ("", "e3"): None, ("p", "f1"): "text of e1"}
-    first = {(r.path_hash, r.src_checksum): r.tgt_checksum for r in memory.first_match(wide(spark), "english", "french").collect()}
-    assert first["p", "e1"] == "f1" and first["p", "e2"] is None
+    asked = spark.createDataFrame([("p", "e1"), ("p", "e1"), ("p", "e2"), ("p", "e3"), ("z", "e1"), ("p", "none")], "path_hash string, src_checksum string")
+    first = {(r.path_hash, r.src_checksum): r.tgt_checksum for r in memory.first_match(wide(spark), "english", "french", asked).collect()}
+    # the row without a path answers for p, too
+    assert first == {("p", "e1"): "f1", ("p", "e2"): None, ("p", "e3"): "f3"}
 
 
 def test_upsert_is_idempotent(spark):
@@ -47,6 +49,14 @@ def test_upsert_is_idempotent(spark):
     assert {(r.src_checksum, r.tgt_checksum) for r in memory.upsert(once.withColumn("ord", F.lit(0)), new).collect()} == expected
 
 
+def test_upsert_takes_over_pairs_without_a_path(spark):
+    schema = "path_hash string, src_lang string, src_checksum string, tgt_lang string, tgt_checksum string, ord int"
+    known = spark.createDataFrame([("", "en", "e1", "fr", "old", 1), ("", "en", "e1", "de", "d1", 1), ("", "en", "e9", "fr", "f9", 1), ("q", "en", "e9", "fr", "q9", 1)], schema)
+    new = spark.createDataFrame([("p", "en", "e1", "fr", "f1", 5), ("r", "en", "e1", "fr", "r1", 6), ("q", "en", "e9", "fr", "n9", 5)], schema)
+    got = {(r.path_hash, r.src_checksum, r.tgt_lang): r.tgt_checksum for r in memory.upsert(known, new).collect()}
+    assert got == {("p", "e1", "fr"): "f1", ("p", "e1", "de"): "d1", ("r", "e1", "fr"): "r1", ("", "e9", "fr"): "f9", ("q", "e9", "fr"): "n9"}
+
+
 def test_store_is_written_once(spark):
     old = store(spark, ("fr", "p", "c"))
     new = spark.createDataFrame([("fr", "p", "c", "other"), ("fr", "p", "d", "x"), ("fr", "p", "d", "x")], "lang string, path_hash string, checksum string, text string")
@@ -68,7 +78,11 @@ def test_clear_checksum(spark):
     kept, left = memory.clear_checksum(long, have, "e1", F.lit("english"))
     assert {r for r, *_ in cells(kept)} == {3, 4} and left.count() == 0
     kept, left = memory.clear_checksum(long, have, "e1", F.lit("english"), "french")
-    assert {r for r, *_ in cells(kept)} == {3, 4} and {r.checksum for r in left.collect()} == {"e1"}
+    # only the target goes: a row that still has its source stays
+    assert {r for r, *_ in cells(kept)} == {1, 2, 3, 4, 5} and (1, "french", "f1") not in cells(kept) and {r.checksum for r in left.collect()} == {"e1"}
+    assert tuple(memory.change_counts(long, kept, have, left).first()) == (0, 3, 2)
+    whole, none = memory.clear_checksum(long, have, "e1", F.lit("english"))
+    assert tuple(memory.change_counts(long, whole, have, none).first()) == (3, 0, 3)
     kept, _ = memory.clear_checksum(long, have, "f2", F.lit("english"))
     assert (2, "french", "f2") not in cells(kept) and (2, "english", "e1") in cells(kept)
 
@@ -88,4 +102,4 @@ def test_rebuild_and_session(spark):
     assert [tuple(r) for r in memory.rebuild_pairs(sources, targets).select("pair_id", "src_text").collect()] == [(1, "first")]
     assert [r.pair_id for r in memory.unmatched_targets(sources, targets).collect()] == [2]
     asked = spark.createDataFrame([(1, "p", 1, "c", "fr"), (2, "p", 2, "c", "fr"), (3, "q", 1, "c", "fr")], "chunk_id int, path_hash string, chunk_index int, src_checksum string, tgt_lang string")
-    assert {r.chunk_id: r.nth for r in memory.mark_session(asked).collect()} == {1: 1, 2: 2, 3: 1}
+    assert {r.chunk_id: r.is_first for r in memory.mark_session(asked).collect()} == {1: True, 2: False, 3: True}

@@ -33,7 +33,12 @@ def test_correspondence_csv(spark, tmp_path):
     (tmp_path / "v.csv").write_text("English,French\na,b\n")
     assert [(r.src, r.tgt) for r in correspondence.read_vocabulary(spark, str(tmp_path / "v.csv"), "English", "French").collect()] == [("a", "b")]
     assert correspondence.read_vocabulary(spark, str(tmp_path / "v.csv"), "English", "Xx").count() == 0
-    assert correspondence.save_version(wide, str(tmp_path / "t"), 3).endswith("v=000003")
+    # of several files the later one's rows are the later ones, whatever their size
+    for name, rows in (("a.csv", "p,x\n" * 3), ("b.csv", "p,y\n")):
+        (tmp_path / "many").mkdir(exist_ok=True)
+        (tmp_path / "many" / name).write_text("path_checksum,English\n" + rows)
+    ordered = correspondence.read_csv(spark, str(tmp_path / "many")).orderBy("ord").collect()
+    assert [r.English for r in ordered] == ["x", "x", "x", "y"]
 
 
 def test_config_round_trip(tmp_path):

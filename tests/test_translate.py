@@ -103,7 +103,7 @@ def test_best_matches_against_brute_force(spark):
     candidates = [("g" if i % 3 else "h", f"c{i:02d}", t) for i, t in enumerate(texts)]
     queries = [(g, i, t, c) for i, (g, c, t) in enumerate(candidates) if i % 5 == 0] + [("none", 99, "alpha", None)]
     got = similarity.best_matches(
-        spark.createDataFrame(queries, "grp string, query_id bigint, text string, own string"), spark.createDataFrame(candidates, "grp string, checksum string, text string"), 0.7, 3
+        spark.createDataFrame(queries, "grp string, query_id bigint, text string, own string"), spark.createDataFrame(candidates, "grp string, checksum string, text string"), 0.7, 7, 3
     )
     expected = {}
     for g, i, t, own in queries:
