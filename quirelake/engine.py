@@ -127,9 +127,13 @@ class Engine:
         return self.persist(pairs.where(F.col("tgt_text").isNotNull()).withColumn("tgt_text", text.strip(F.col("tgt_text"))))
 
     def correct(self, targets: DataFrame) -> DataFrame:
-        """The target chunks (path_hash, src_lang, tgt_lang, src_checksum, tgt_text) that differ from what is recorded."""
+        """The target chunks (path_hash, src_lang, tgt_lang, src_checksum, tgt_text) that differ from what is recorded, but
+        for the white space around them, which a target file does not keep."""
         judged = memory.corresponds(targets.withColumn("tgt_checksum", text.checksum(F.col("tgt_text"))), self.index())
-        return judged.where("not corresponds")
+        texts = self.store().select("path_hash", F.col("lang").alias("tgt_lang"), F.col("checksum").alias("recorded_checksum"), F.col("text").alias("recorded_text"))
+        known = judged.join(texts, ["path_hash", "tgt_lang", "recorded_checksum"], "left")
+        same = F.coalesce(text.strip(F.col("recorded_text")) == text.strip(F.col("tgt_text")), F.lit(False))
+        return known.where(~F.col("corresponds") & ~same).drop("recorded_text")
 
     def record(self, targets: DataFrame) -> int:
         """Records the target chunks that differ from what is recorded; returns their number. The source text of each must

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HEADER_LINES = 30
-_CELLS = "struct<cells:array<struct<cell_type:string,source:string,metadata:struct<src_checksum:string,tags:array<string>>>>>"
+_CELLS = "struct<cells:array<struct<cell_type:string,source:string,metadata:string>>>"
 
 
 def has_jupytext_header(text: str) -> bool:
@@ -82,12 +82,14 @@ def cells(notebook: Column) -> Column:
         parsed,
         lambda c: F.struct(
             c["cell_type"].alias("cell_type"), lines(c["source"]).alias("source"),
-            c["metadata"]["src_checksum"].alias("src_checksum"), c["metadata"]["tags"].alias("tags"),
+            F.get_json_object(c["metadata"], "$.src_checksum").alias("src_checksum"), F.from_json(F.get_json_object(c["metadata"], "$.tags"), "array<string>").alias("tags"),
+            F.from_json(c["metadata"], "map<string,string>").alias("metadata"),
         ),
     )
 
 
 def explode_cells(df: DataFrame, text_column: str, *keep: str) -> DataFrame:
+    """A row for each cell: cell_index (from 1), cell_type, source, src_checksum, tags and its plain metadata as a map."""
     rows = df.select(*keep, F.posexplode(cells(F.col(text_column))).alias("pos", "cell"))
     return rows.select(*keep, (F.col("pos") + 1).alias("cell_index"), "cell.*")
 

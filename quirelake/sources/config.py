@@ -9,6 +9,7 @@ from dataclasses import asdict, dataclass, field, fields
 
 from quirelake.functions.languages import SUFFIXES
 
+#: name of a project's file; its keys, and the names of the keys' variables, are those of existing projects (fixed values)
 FILE_NAME = "project.toml"
 
 
@@ -185,7 +186,10 @@ def from_dict(values: dict) -> ProjectConfig:
 
 def load(path: str) -> ProjectConfig:
     with open(path, "rb") as file:
-        return from_dict(tomllib.load(file))
+        found = from_dict(tomllib.load(file))
+    if found.xml_retries_before_reasoning < 0:
+        raise ConfigError("the number of retries must not be negative")
+    return found
 
 
 def save(config: ProjectConfig, path: str) -> None:

@@ -13,12 +13,13 @@ from quirelake.functions.text import document_type, is_under, universal_newlines
 SKIPPED_PARTS = ("/.", "/__pycache__/")
 
 
-def scan_texts(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """rel_path, doc_type, text of every file under root, with line breaks as in a text-mode read.
+def scan_texts(spark: SparkSession, root: str | list[str], pattern: str = "*", base: str | None = None) -> DataFrame:
+    """rel_path, doc_type, text of every file under root, or of the files named, with line breaks as in a text-mode read;
+    paths are relative to root, or to `base`.
 
     Files of no bytes have no row (the file source skips them); they would have no chunk either."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    root = os.path.abspath(root).rstrip("/")
+    root = os.path.abspath(base or root).rstrip("/")
     path = F.regexp_replace("path", "^file:/*", "/")
     relative = F.when(is_under(path, F.lit(root)), F.substr(path, F.lit(len(root) + 2))).otherwise(path)
     return files.select(relative.alias("rel_path"), document_type(path).alias("doc_type"), universal_newlines(F.decode("content", "utf-8")).alias("text"))
