@@ -51,6 +51,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_pieces(spark, sf_dir).where("piece_no = 1").select("chunk_id", "cut_kind")
 
 
+def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checksums of the contents put together again from their pieces, and whether a piece is above the limit."""
+    max_size, overlap = _limit(spark, sf_dir, "chunk_content")
+    own = F.when(F.col("piece_no") == 1, F.col("piece")).otherwise(F.substr("piece", F.lit(overlap + 1)))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("piece_no", own.alias("part")))), lambda x: x["part"])
+    return p2_pieces(spark, sf_dir).groupBy("chunk_id").agg(F.sha2(F.array_join(parts, ""), 256).alias("checksum"), F.bool_or(F.length("piece") > max_size).alias("is_above"))
+
+
 def _pair_judge(spark: SparkSession, sf_dir: str) -> tuple[langid.LanguageModel, defects.Fitted, dict[int, int]]:
     """Language model, defect classifier, and the language of each target directory."""
     pairs, model = _prose_pairs(spark, sf_dir), _language_model(spark, sf_dir)
@@ -64,35 +72,46 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number of defective pairs per directory and defect, and of those with a failed call for the same chunk."""
-    failures = (
-        load(spark, sf_dir, "chunk_failure")
-        .join(load(spark, sf_dir, "path_map").select("relative_path", "path_checksum").distinct(), F.col("source_path") == F.col("relative_path"))
-        .groupBy("lang_dir_id", "path_checksum", "chunk_index")
-        .agg(F.count(F.lit(1)).alias("n_failures"))
-    )
+    """Defective pairs per directory, defect and error of the failed call for the same chunk (null if there is none), and
+    failed calls without a defective pair (defect null), those of unknown files included. Where several calls failed for a
+    chunk, the error that comes last in the alphabet stands for them."""
+    paths = load(spark, sf_dir, "path_map").select(F.col("relative_path").alias("source_path"), "path_checksum").distinct()
+    key = ["lang_dir_id", "path_checksum", "chunk_index"]
+    error = F.lower(F.regexp_extract(F.trim("error_type"), r"([^.]*)$", 1))
+    failures = load(spark, sf_dir, "chunk_failure").join(paths, "source_path", "left").withColumn("error", F.when(error != "", error))
+    per_chunk = failures.where("path_checksum is not null").groupBy(*key).agg(F.max("error").alias("error_type"))
     pairs = load(spark, sf_dir, "recovered_chunk_pair").select("pair_id", "lang_dir_id", F.lower(F.trim("path_checksum")).alias("path_checksum"), "chunk_index")
-    return (
-        p4_found(spark, sf_dir)
-        .join(pairs, "pair_id")
-        .join(failures, ["lang_dir_id", "path_checksum", "chunk_index"], "left")
-        .groupBy("lang_dir_id", "defect")
-        .agg(F.count(F.lit(1)).alias("n_pairs"), F.count("n_failures").alias("n_with_failure"))
-    )
+    defective = p4_found(spark, sf_dir).join(pairs, "pair_id")
+    of_pairs = defective.join(per_chunk, key, "left").groupBy("lang_dir_id", "defect", "error_type").agg(F.count(F.lit(1)).alias("n_pairs")).withColumn("n_failures", F.lit(0).cast("bigint"))
+    alone = failures.join(defective.select(*key).distinct(), key, "left_anti").groupBy("lang_dir_id", F.col("error").alias("error_type")).agg(F.count(F.lit(1)).alias("n_failures"))
+    return of_pairs.unionByName(alone.select("lang_dir_id", F.lit(None).cast("string").alias("defect"), "error_type", F.lit(0).cast("bigint").alias("n_pairs"), "n_failures"))
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wrong labels of documents and target directories, paragraphs of documents and sentences of targets in another
-    language."""
+def _language_cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[int, int]]:
+    """Wrong labels (seg_no 0) and paragraphs in another language of documents, sentences in another language of targets,
+    with confidences; and the language of each target directory."""
     model, fitted, languages = _pair_judge(spark, sf_dir)
-    pairs = _prose_pairs(spark, sf_dir)
     documents = langid.detect(load(spark, sf_dir, "documents"), "doc_id", "text", model, "paragraph", "lang")
     of_documents = documents.where("seg_no > 0 or not label_fits").select(
-        F.lit("documents").alias("table_name"), F.col("id").alias("record_id"), "seg_no", "lang"
+        F.lit("documents").alias("table_name"), F.col("id").alias("record_id"), "seg_no", "lang", "confidence"
     )
-    of_pairs = defects.judge_pairs(pairs, fitted, languages, with_sentences=True).where("defect is null").select(
-        F.lit("recovered_chunk_pair").alias("table_name"), F.col("pair_id").alias("record_id"), "seg_no", "lang"
+    judged = defects.judge_pairs(_prose_pairs(spark, sf_dir), fitted, languages, with_sentences=True)
+    of_pairs = judged.where("defect is null").select(
+        F.lit("recovered_chunk_pair").alias("table_name"), F.col("pair_id").alias("record_id"), "seg_no", "lang", "confidence"
     )
+    return of_documents.unionByName(of_pairs), languages
+
+
+def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs and sentences in another language, with a confidence each."""
+    found, _ = _language_cases(spark, sf_dir)
+    return found.where("seg_no > 0").withColumn("confidence", F.round("confidence", 6))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wrong labels of documents and target directories, paragraphs of documents and sentences of targets in another
+    language."""
+    found, languages = _language_cases(spark, sf_dir)
     labels = load(spark, sf_dir, "lang_dir").where("role = 'target'").select("lang_dir_id", "language").collect()
     wrong = [
         ("lang_dir", row["lang_dir_id"], 0, langid.LANGUAGES[number])
@@ -101,7 +120,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         and langid.canonical(row["language"]) != langid.LANGUAGES[number]
     ]
     of_dirs = spark.createDataFrame(wrong, "table_name string, record_id bigint, seg_no int, lang string")
-    return of_documents.unionByName(of_pairs).unionByName(of_dirs)
+    return found.drop("confidence").unionByName(of_dirs)
 
 
 def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,10 +166,12 @@ QUERIES = {
     "p1_ways": p1_ways,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p2_restored": p2_restored,
     "p4_found": p4_found,
     "p4_report": p4_report,
     "p5_found": p5_found,
     "p5_languages": p5_languages,
+    "p5_segments": p5_segments,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
@@ -159,6 +180,7 @@ QUERIES = {
     "p8_rates": p8_rates,
 }
 SQL = {
+    "p2_restored": "select chunk_id, sha256(content) as checksum, false as is_above from source_chunk where length(content) > (select max_size from size_limit where limit_name = 'chunk_content')",
     "p2_found": r"""
         select chunk_id, case when regexp_matches(content, '[^ \t\r\n]{1000}[^ \t\r\n]{1000}[^ \t\r\n]') then 'forced' else 'natural' end as cut_kind
         from source_chunk where length(content) > (select max_size from size_limit where limit_name = 'chunk_content')""",
