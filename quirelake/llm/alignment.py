@@ -157,6 +157,28 @@ def _expand(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 
+def _once_each(codes: np.ndarray) -> np.ndarray:
+    """The distinct ones, in order."""
+    codes = np.sort(codes)
+    return codes[np.append(True, codes[1:] != codes[:-1])] if len(codes) else codes
+
+
+class _Runs:
+    """Where the runs of equal keys of a sorted array are."""
+
+    def __init__(self, keys: np.ndarray):
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        self.keys, self.starts, self.ends = keys[starts], starts, np.append(starts[1:], len(keys)) if len(keys) else starts
+
+    def of(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First place and place after the last of each wanted key."""
+        if not len(self.keys):
+            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        begin = self.starts[at]
+        return begin, np.where(self.keys[at] == wanted, self.ends[at], begin)
+
+
 class Entries:
     """Words of the sentences of a block of pairs, once a sentence, and which of them translate each other."""
 
@@ -173,7 +195,7 @@ class Entries:
         # candidates: the source words that each target word may stand for; itself where it is unknown
         keys = tgt.keys[token]
         if len(lexicon.target):
-            row, at = _expand(np.searchsorted(lexicon.target, keys), np.searchsorted(lexicon.target, keys, side="right"))
+            row, at = _expand(*_Runs(lexicon.target).of(keys))
             known = lexicon.source[at]
         else:
             row, known = np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -183,11 +205,10 @@ class Entries:
             kept = use[self.e_at[e]]
             e, wanted = e[kept], wanted[kept]
         wanted = wanted ^ (tgt.text[token][e].astype(np.uint64) * _MIX)
-        order = np.argsort(wanted, kind="stable")
+        order = np.argsort(wanted)
         self.wanted, self.wanted_e = wanted[order], e[order]
-        exact = _mixed(wanted ^ ((self.e_at[e].astype(np.uint64) + np.uint64(1)) * _MIX2))
-        order = np.argsort(exact, kind="stable")
-        self.exact, self.exact_e = exact[order], e[order]
+        self.runs = _Runs(self.wanted)
+        self._exact: tuple[_Runs, np.ndarray] | None = None
         self.known_s = np.bincount(src.sentence, self.sw, len(src.seg.begins))
         self.known_t = np.bincount(tgt.sentence, self.tw, len(tgt.seg.begins))
         self.n_tgt = max(1, len(tgt.seg.begins))
@@ -195,7 +216,9 @@ class Entries:
     @staticmethod
     def _once(key: np.ndarray, sentence: np.ndarray, weight: np.ndarray):
         """Keys, sentences and summed weights of the words of each sentence, a token of each, and each token's place."""
-        order = np.lexsort((key, sentence))
+        # by sentence, and by key within it: the first bits hold the number of the sentence
+        bits = max(1, int(sentence[-1]).bit_length()) if len(sentence) else 1
+        order = np.argsort(sentence.astype(np.uint64) << np.uint64(64 - bits) | key >> np.uint64(bits))
         k, at = key[order], sentence[order]
         new = np.ones(len(k), bool)
         new[1:] = (k[1:] != k[:-1]) | (at[1:] != at[:-1])
@@ -220,8 +243,7 @@ class Entries:
         """(source sentence, target sentence, weight of the source's words that the target translates, and of the
         target's that translate a word of the source) for the source sentences first..last, in order, in parts."""
         a0, a1 = int(self.a_first[first]), int(self.a_first[last])
-        lo = np.searchsorted(self.wanted, self.a_key[a0:a1])
-        hi = np.searchsorted(self.wanted, self.a_key[a0:a1], side="right")
+        lo, hi = self.runs.of(self.a_key[a0:a1])
         total = np.concatenate([[0], np.cumsum(hi - lo)])
         begin = first
         while begin < last:
@@ -235,22 +257,31 @@ class Entries:
             a, e = a + a0 + x, self.wanted_e[at]
             cell = self.a_at[a].astype(np.int64) * self.n_tgt + self.e_at[e]
             n_a, n_e = max(1, len(self.a_key)), max(1, len(self.e_at))
-            local, cell_at = np.unique(cell, return_inverse=True)
-            u, v = np.unique(cell_at * n_a + a), np.unique(cell_at * n_e + e)
-            of_s = np.bincount(u // n_a, self.a_w[u % n_a], len(local))
-            of_t = np.bincount(v // n_e, self.e_w[v % n_e], len(local))
+            (local, of_s), (_, of_t) = self._summed(cell, a, self.a_w, n_a), self._summed(cell, e, self.e_w, n_e)
             yield local // self.n_tgt, local % self.n_tgt, of_s, of_t
             begin = end
 
+    @staticmethod
+    def _summed(cell: np.ndarray, word: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The cells in order, and the weights of the distinct words of each."""
+        codes = _once_each(cell * n + word)
+        cells = codes // n
+        starts = np.flatnonzero(np.append(True, cells[1:] != cells[:-1])) if len(cells) else np.zeros(0, np.int64)
+        return cells[starts], np.add.reduceat(weight[codes - cells * n], starts) if len(starts) else np.zeros(0)
+
     def words_of(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The words that translate each other in the cells (i, j): (number of the cell, source word), (number of the
         cell, target word), sorted by cell."""
         cell, a = _expand(self.a_first[i], self.a_first[np.asarray(i, np.int64) + 1])
+        if self._exact is None:
+            exact = _mixed(self.wanted ^ ((self.e_at[self.wanted_e].astype(np.uint64) + np.uint64(1)) * _MIX2))
+            order = np.argsort(exact)
+            self._exact = _Runs(exact[order]), self.wanted_e[order]
         want = _mixed(self.a_key[a] ^ ((np.asarray(j)[cell].astype(np.uint64) + np.uint64(1)) * _MIX2))
-        hit, at = _expand(np.searchsorted(self.exact, want), np.searchsorted(self.exact, want, side="right"))
-        cell, a, e = cell[hit], a[hit], self.exact_e[at]
+        hit, at = _expand(*self._exact[0].of(want))
+        cell, a, e = cell[hit], a[hit], self._exact[1][at]
         n_a, n_e = max(1, len(self.a_key)), max(1, len(self.e_at))
-        u, v = np.unique(cell * n_a + a), np.unique(cell * n_e + e)
+        u, v = _once_each(cell * n_a + a), _once_each(cell * n_e + e)
         return u // n_a, u % n_a, v // n_e, v % n_e
 
     def sums_of(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -487,7 +518,7 @@ class Aligner:
         row, at = _expand(np.zeros(len(real), np.int64), real[:, 2] * real[:, 4])
         i = self.s_first[k] + real[row, 1] + at // real[row, 4]
         j = self.used[self.t_first[k] + real[row, 3] + at % real[row, 4]] if len(k) else k
-        s, t = self.entries.sums_of(i, j)
+        s, t = self._matches(i, j, np.isin(k, self.large))
         ka, kb = self.entries.known_s[i], self.entries.known_t[j]
         # nothing known: length and place decide
         unknown = (real[row, 2] * real[row, 4] == 1) & (np.minimum(ka, kb) < 2.0)
@@ -497,6 +528,19 @@ class Aligner:
         more_i, more_j = self._moved(i, j, s, t)
         return np.concatenate([i, more_i]), np.concatenate([j, more_j]), np.arange(len(i) + len(more_i)) >= len(i)
 
+    def _matches(self, i: np.ndarray, j: np.ndarray, large: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What both sides of the cells (i, j) explain: read from the cells at hand, made anew for large pairs."""
+        s, t = np.zeros(len(i)), np.zeros(len(i))
+        ci, cj, cs, ct = self.cells
+        if len(ci):
+            code, wanted = ci * self.entries.n_tgt + cj, i * self.entries.n_tgt + j
+            at = np.minimum(np.searchsorted(code, wanted), len(code) - 1)
+            there = code[at] == wanted
+            s[there], t[there] = cs[at[there]], ct[at[there]]
+        if large.any():
+            s[large], t[large] = self.entries.sums_of(i[large], j[large])
+        return s, t
+
     def _moved(self, i: np.ndarray, j: np.ndarray, s: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Renderings outside the paths, given those on them with their matches."""
         e = self.entries
@@ -561,7 +605,7 @@ class _Tally:
     def add(self, columns: list[np.ndarray], n: np.ndarray) -> None:
         self.fresh.append((columns, n))
         self.waiting += len(n)
-        if self.waiting > 1 << 20 and self.waiting > len(self.n):
+        if self.waiting > 1 << 21 and self.waiting > len(self.n):
             self.settle()
 
     def settle(self) -> None:
@@ -575,13 +619,10 @@ class _Tally:
         self.fresh, self.waiting = [], 0
 
 
-def _distinct(sentence: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each word once a sentence."""
-    order = np.lexsort((word, sentence))
-    a, b = sentence[order], word[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[new], b[new]
+def _distinct(sentence: np.ndarray, word: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each word (by number) once a sentence."""
+    codes = _once_each(sentence * max(1, n_words) + word)
+    return codes // max(1, n_words), codes % max(1, n_words)
 
 
 class Statistics:
@@ -610,16 +651,19 @@ class Statistics:
         close = (b > 0.5 * a) & (b < 2 * a)
         a, b = a[close], b[close]
         self.moments += (a.sum(), b.sum(), (b * b / np.maximum(a, 1)).sum(), len(a))
-        s_at, s_word = _distinct(src.sentence, src.hashes)
         letters = ~tgt.is_number
-        t_at, t_word = _distinct(tgt.sentence[letters], tgt.hashes[letters])
+        # the block's words by number, so that its counts are made on small numbers first
+        s_words, s_id = np.unique(src.hashes, return_inverse=True)
+        t_words, t_id = np.unique(tgt.hashes[letters], return_inverse=True)
+        s_at, s_word = _distinct(src.sentence, s_id, len(s_words))
+        t_at, t_word = _distinct(tgt.sentence[letters], t_id, len(t_words))
         self.sentences += len(src.seg.begins) + len(tgt.seg.begins)
-        for word in (s_word, t_word):
-            self.holding.add([word], np.ones(len(word), np.int64))
+        for words, word in ((s_words, s_word), (t_words, t_word)):
+            self.holding.add([words], np.bincount(word, minlength=len(words)))
         last = np.searchsorted(tgt.text, np.arange(len(tgt_texts)), side="right") - 1
         inner = letters.copy()
         inner[last[last >= 0]] = False
-        self.inside.add([tgt.hashes[inner]], np.ones(int(inner.sum()), np.int64))
+        self.inside.add([t_words], np.bincount(t_id[inner[letters]], minlength=len(t_words)))
         closed = np.flatnonzero(np.isin(_last_ink(tgt), (33, 46, 63)))
         at = np.searchsorted(tgt.sentence, closed, side="right") - 1
         at = at[(at >= 0) & (tgt.sentence[np.maximum(at, 0)] == closed)]
@@ -628,11 +672,16 @@ class Statistics:
         for begin, end in _portions((s_first[i + 1] - s_first[i]) * (t_first[j + 1] - t_first[j]), LINKS):
             x, y, c = i[begin:end], j[begin:end], code[begin:end]
             row, s = _expand(s_first[x], s_first[x + 1])
-            self.sources.add([c[row].astype(np.uint64), s_word[s]], np.ones(len(s), np.int64))
+            n_s, n_t = max(1, len(s_words)), max(1, len(t_words))
+            code_s, times = np.unique(c[row] * n_s + s_word[s], return_counts=True)
+            self.sources.add([(code_s // n_s).astype(np.uint64), s_words[code_s % n_s]], times)
             again, t = _expand(t_first[y], t_first[y + 1])
-            self.targets.add([c[again].astype(np.uint64), t_word[t]], np.ones(len(t), np.int64))
+            code_t, times = np.unique(c[again] * n_t + t_word[t], return_counts=True)
+            self.targets.add([(code_t // n_t).astype(np.uint64), t_words[code_t % n_t]], times)
             which, t = _expand(t_first[y][row], t_first[y + 1][row])
-            self.pairs.add([c[row][which].astype(np.uint64), t_word[t], s_word[s[which]]], np.ones(len(t), np.int64))
+            both, times = np.unique((c[row] * n_s + s_word[s])[which] * n_t + t_word[t], return_counts=True)
+            code_s = both // n_t
+            self.pairs.add([(code_s // n_s).astype(np.uint64), t_words[both % n_t], s_words[code_s % n_s]], times)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         names = [part.split()[0] for part in COUNTS.split(", ")]

@@ -134,8 +134,8 @@ def _ending(text: str) -> str:
     return "colon" if text[-1] in ":;" else "word"
 
 
-#: the last word of a text
-_LAST_WORD = re.compile(r"([^\W\d_]+)(?=[\W\d_]*\Z)")
+#: the last word of a text, read backwards
+_LAST_WORD = re.compile(r"[\W\d_]*([^\W\d_]+)")
 
 
 def _place(gram: str) -> int:
@@ -312,9 +312,9 @@ def features(src_texts: list[str | None], tgt_texts: list[str | None], src_langs
         ends[end][k] = 1.0
         like[k], src_word[k] = float(end == src_end), float(src_end == "word")
         own_places = []
-        word = _LAST_WORD.search(text)
+        word = _LAST_WORD.match(text[::-1])
         if word:
-            word = word.group(1).lower()
+            word = word.group(1)[::-1].lower()
             own_places += [_place(f"last {word}"), _place(f"last {end} {word}")]
         for j in alien_of[alien_cut[k] : alien_cut[k + 1]].tolist():
             words = re.findall(r"[^\W\d_]+", text_of[begins[j] : stops[j]].lower())
@@ -525,7 +525,9 @@ def judged(src_texts, tgt_texts, src_langs, majority, fitted: Fitted) -> tuple[l
         said = seen.scores(fitted.weights) > fitted.thresholds
         for k in np.flatnonzero(said.any(1)).tolist():
             out[k] = LABELS[int(said[k].argmax())]
-    return ["empty" if is_empty(t) else label for t, label in zip(tgt_texts, out)], seen
+    # a text with a word and without a tag is not empty
+    worded = np.bincount(seen.target.text, minlength=len(src_texts)).tolist()
+    return ["empty" if (not n or "<" in t) and is_empty(t) else label for t, n, label in zip(tgt_texts, worded, out)], seen
 
 
 def judge(src_texts, tgt_texts, src_langs, majority, fitted: Fitted) -> list[str | None]:

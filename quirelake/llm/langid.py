@@ -6,7 +6,7 @@ exactly zero; a temperature fitted on held-out sentences makes the confidences h
 the square root of its number of n-grams, so a text's score is a sum over its words: every distinct word is scored once
 per worker, and sentences, paragraphs and texts are sums over spans of words.
 
-The frequencies of the n-grams are counted over all running words of all texts; the TF-IDF takes the share of sentences
+The frequencies of the n-grams are counted over all running words of all documents; the TF-IDF takes the share of sentences
 of mean length that this makes likely to hold each.  The classifier is fitted on a bounded sample (`TRAIN_ROWS` documents and as many pairs, `TRAIN_SENTENCES`
 sentences a language) of the labelled rows of the tables themselves, labels wrong in places: a sentence that occurs under
 several labels has that of most of its occurrences, and after a first fit of each half, sentences of the other half that
@@ -327,11 +327,8 @@ def labelled_sentences(rows: list[tuple[str | None, str | None]], per_language:
 
 def fit_tables(spark: SparkSession, documents: DataFrame, pairs: DataFrame, lang_dirs: DataFrame, vocabulary: DataFrame, train_rows: int = TRAIN_ROWS, train_sentences: int = TRAIN_SENTENCES) -> LanguageModel:
     """A model fitted on a bounded sample of the tables' labelled texts and on the term list, with the n-grams'
-    frequencies in all their texts."""
-    every = documents.select("text")
-    for column in ("src_text", "tgt_text"):
-        every = every.unionByName(pairs.select(F.col(column).alias("text")))
-    idf = count_grams(every)
+    frequencies in all documents."""
+    idf = count_grams(documents.select("text"))
     dirs = {row["lang_dir_id"]: canonical(row["language"]) for row in lang_dirs.select("lang_dir_id", "language").collect()}
     sample = bounded_sample(pairs.where("not (chunk_type <=> 'code')").select("pair_id", "lang_dir_id", "src_lang", "src_text", "tgt_text"), "pair_id", train_rows)
     rows: list[tuple[str | None, str | None]] = []
