@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from quirelake.llm.alignment import Entries, Fit, Lexicon, Side, pair_blocks, source_codes
 from quirelake.llm.langid import LANGUAGES, LanguageModel, bounded_sample, confidences, foreign_segments, grouped, main_language, scorer_of
-from quirelake.llm.segments import unwrapped
+from quirelake.llm.segments import Segments, unwrapped
+from quirelake.llm.textkernel import blocks
 
 LABELS = ("refusal", "copy", "wrong_language", "truncated")
 TRAIN_PAIRS = 4000
@@ -539,11 +540,31 @@ def judge(src_texts, tgt_texts, src_langs, majority, fitted: Fitted) -> list[str
 
 def target_languages(pairs: DataFrame, model: LanguageModel) -> dict[int, int]:
     """Number of the language in which most targets of each directory are, over all pairs (a row a directory)."""
-    from quirelake.llm.langid import detect
+    sent = pairs.sparkSession.sparkContext.broadcast(model)
 
-    found = detect(pairs, "lang_dir_id", "tgt_text", model, "text").where("seg_no = 0")
-    votes = found.groupBy("id", "lang").count().groupBy("id").agg(F.max_by("lang", F.struct("count", "lang")).alias("lang"))
-    return {row["id"]: LANGUAGES.index(row["lang"]) for row in votes.where("id is not null").collect()}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, votes = scorer_of(sent.value), {}
+        for batch in batches:
+            dirs = batch.column(0).to_numpy(zero_copy_only=False)
+            for block in blocks(batch.column(1).to_pylist()):
+                n = len(block.texts)
+                seg = Segments(block)  # markup is the same in every language
+                sums, n_grams, n_words = scorer.sentences(seg)
+                odds = scorer.model.log_odds(grouped(sums, seg.text, n), grouped(n_grams, seg.text, n))
+                has = grouped(n_words, seg.text, n) > 0
+                keys, counts = np.unique(dirs[block.first : block.first + n][has] * len(LANGUAGES) + odds[has].argmax(1), return_counts=True)
+                for key, count in zip(keys.tolist(), counts.tolist()):
+                    votes[key] = votes.get(key, 0) + count
+        if votes:
+            yield pa.RecordBatch.from_arrays([pa.array(list(votes), pa.int64()), pa.array(list(votes.values()), pa.int64())], ["key", "n"])
+
+    source = pairs.where("lang_dir_id is not null and tgt_text is not null").select(F.col("lang_dir_id").cast("bigint"), "tgt_text")
+    votes = source.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    found: dict[int, tuple[int, int]] = {}
+    for row in votes.collect():  # a row a directory and language
+        directory, language = divmod(row["key"], len(LANGUAGES))
+        found[directory] = max(found.get(directory, (0, -1)), (row["n"], language))
+    return {directory: language for directory, (_, language) in found.items()}
 
 
 def fit_tables(pairs: DataFrame, model: LanguageModel, words: Fit, languages: dict[int, int], train_pairs: int = TRAIN_PAIRS) -> Fitted:

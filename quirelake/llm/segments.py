@@ -22,21 +22,26 @@ _CODE_LINE = (
     r"[ \t]*(?:(?:assert|import|from|for|while|if|def|class|return|print)\b[^\n]*[=(:\[][^\n]*"
     r"|[A-Za-z_][\w.\[\]]*(?:,[ ]*[A-Za-z_][\w.\[\]]*)*[ ]*[+*/-]?=[ ][^\n]*)$"
 )
+#: what begins at a line's beginning first, then what begins with one of a few signs, so that most places fail at once
 _MARKUP = re.compile(
     rf"""
       \A﻿?---[ \t]*\r?\n.*?\n---[ \t]*(?=\r?\n|\Z)
-    | ^[ \t]*(?P<fence>`{{3,}}|~{{3,}})(?!\s*\{{(?:{_PROSE_FENCES})\b)[^\n]*(?:\n.*?(?:^[ \t]*(?P=fence)[ \t]*\r?$|\Z)|\Z)
-    | \\begin\{{(?P<env>{_CODE_ENVIRONMENTS})\*?\}}.*?(?:\\end\{{(?P=env)\*?\}}|\Z)
-    | (?:^[ \t]*\#[ ][^\n]*\n)*^{_CODE_LINE}(?:\n(?:[ \t]*\#[ ][^\n]*$|{_CODE_LINE}))*
-    | \$\$.*?\$\$ | \$[^$\n]*\$ | \\\[.*?\\\] | \\\([^\n]*?\\\)
-    | `[^`\n]*`
-    | \\(?:begin|end|label|ref|eqref|autoref|cite|usepackage|documentclass|includegraphics|input|include|url)\*?
-      (?:\[[^\]\n]*\])?(?:\{{[^}}\n]*\}})?
-    | \\[a-zA-Z]+\*?
-    | \{{[A-Za-z:_-]+\}}
-    | ^[ \t]*:{{3,}}[^\n]*$ | ^\([\w:-]+\)=[^\n]*$ | ^[ \t]*:[\w-]+:[^\n]*$
-    | ^[ \t]*\#(?:set|let|show|import|include)\b[^\n]*$
-    | <[^<>\n]+> | @[\w:-]+ | https?://\S+ | &\#?\w+;
+    | ^(?:
+        [ \t]*(?P<fence>`{{3,}}|~{{3,}})(?!\s*\{{(?:{_PROSE_FENCES})\b)[^\n]*(?:\n.*?(?:^[ \t]*(?P=fence)[ \t]*\r?$|\Z)|\Z)
+      | (?:^[ \t]*\#[ ][^\n]*\n)*^{_CODE_LINE}(?:\n(?:[ \t]*\#[ ][^\n]*$|{_CODE_LINE}))*
+      | [ \t]*:{{3,}}[^\n]*$ | \([\w:-]+\)=[^\n]*$ | [ \t]*:[\w-]+:[^\n]*$
+      | [ \t]*\#(?:set|let|show|import|include)\b[^\n]*$
+      )
+    | (?=[\\$`{{<@h&])(?:
+        \\begin\{{(?P<env>{_CODE_ENVIRONMENTS})\*?\}}.*?(?:\\end\{{(?P=env)\*?\}}|\Z)
+      | \$\$.*?\$\$ | \$[^$\n]*\$ | \\\[.*?\\\] | \\\([^\n]*?\\\)
+      | `[^`\n]*`
+      | \\(?:begin|end|label|ref|eqref|autoref|cite|usepackage|documentclass|includegraphics|input|include|url)\*?
+        (?:\[[^\]\n]*\])?(?:\{{[^}}\n]*\}})?
+      | \\[a-zA-Z]+\*?
+      | \{{[A-Za-z:_-]+\}}
+      | <[^<>\n]+> | @[\w:-]+ | https?://\S+ | &\#?\w+;
+      )
     """,
     re.X | re.M | re.S,
 )
