@@ -272,7 +272,7 @@ def test_defects_of_tables(spark, judge):
 
 @pytest.mark.parametrize(
     "chunk, words",
-    [("Hello,", ["hello"]), ("i.d.i.o.t!", ["idiot"]), ("i_d_i_o_t", ["idiot"]), ("1d10t", ["0", "d", "0", "t"]), ("m0r0n", ["moron"]), ("sssexy", ["sexy"]), ("f**k", ["✱"]), ("**bold**", ["bold"]), ("crе́tin"[:3] + "tin", ["cretin"]), ("l&#39;idiot", ["l", "idiot"]), ("п‍орно", ["порно"]), ("$x_1$", ["@"]), ("r12:", ["r", "0"]), ("", []), ("$tupid", ["stupid"]), ("`scum`", ["scum"]), ("\\section{Idiot", ["@", "idiot"]), ("\\textbf{scum}", ["@", "scum"]), ("a" + "b" * 150 + "c" * 150, ["abc"])],
+    [("Hello,", ["hello"]), ("i.d.i.o.t!", ["idiot"]), ("i_d_i_o_t", ["idiot"]), ("1d10t", ["0", "d", "0", "t"]), ("m0r0n", ["moron"]), ("sssexy", ["sexy"]), ("f**k", ["✱"]), ("**bold**", ["bold"]), ("crе́tin"[:3] + "tin", ["cretin"]), ("l&#39;idiot", ["l", "idiot"]), ("п‍орно", ["порно"]), ("$x_1$", ["@"]), ("r12:", ["r", "0"]), ("", []), ("$tupid", ["stupid"]), ("$hat(theta)$", ["@"]), ("$bold(v)", ["@"]), ("$lambda$,", ["@"]), ("`scum`", ["scum"]), ("\\section{Idiot", ["@", "idiot"]), ("\\textbf{scum}", ["@", "scum"]), ("a" + "b" * 150 + "c" * 150, ["abc"])],
 )
 def test_normal_words(chunk, words):
     if chunk == "1d10t":
