@@ -64,7 +64,7 @@ def best_of(queries: list[str], candidates: list[str], keys: list[str], threshol
 
 
 #: texts of a part of the candidates and of a block of the queries, about
-PART, BLOCK = 4096, 1024
+PART, BLOCK = 128, 64
 
 
 def best_matches(queries: DataFrame, candidates: DataFrame, threshold: float = 0.0, part: int = PART, block: int = BLOCK) -> DataFrame:
