@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +117,31 @@ def test_best_matches_against_brute_force(spark):
     assert {r.query_id: r.checksum for r in got.collect()} == expected and expected
 
 
+def test_best_matches_of_long_and_short_texts(spark):
+    """difflib's own scores, with popular characters (queries of 200 and more) and without, and no threshold."""
+    rng = random.Random(5)
+    make = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    texts = [make(rng.choice((0, 1, 5, 60, 150, 199, 200, 260, 500)), rng.choice(("ab", "etaoin shrdlu", "etaoinETAOIN0123456789бвгд😀-", "aaaaaaaaaaaaaaaaaaaaab"))) for _ in range(160)]
+    texts += ["aa" + t for t in texts[::4]] + [t[:90] + "x" + t[100:] for t in texts[::3]]
+    candidates = [("g", f"{i:03d}", t) for i, t in enumerate(texts)]
+    queries = [("g", i, t, f"{i:03d}") for i, t in enumerate(texts) if i % 2]
+    got = similarity.best_matches(spark.createDataFrame(queries, "grp string, query_id bigint, text string, own string"), spark.createDataFrame(candidates, "grp string, checksum string, text string"))
+    expected = {i: min((-similarity.ratio(t, x), c) for _, c, t in candidates if c != own) for _, i, x, own in queries}
+    assert {r.query_id: (-r.score, r.checksum) for r in got.collect()} == {i: best for i, best in expected.items() if best[0] < 0 and texts[i]}
+
+
+def test_best_matches_is_fast_enough(spark):
+    """600 unlike texts against 60 of them: 36,000 pairs, a minute and more with difflib itself."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("etaoinshrdlucmfwyp") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(600)]
+    candidates = spark.createDataFrame([("g", f"{i:03d}", t) for i, t in enumerate(texts)], "grp string, checksum string, text string")
+    queries = candidates.where("checksum < '060'").select("grp", F.col("checksum").alias("query_id"), "text", F.col("checksum").alias("own"))
+    began = time.monotonic()
+    assert similarity.best_matches(queries, candidates).count() == 60
+    assert time.monotonic() - began < 15
+
+
 def test_ratio_is_difflibs():
     assert (similarity.ratio("tide", "diet"), similarity.ratio("diet", "tide")) == (0.25, 0.5)
 
