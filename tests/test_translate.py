@@ -35,6 +35,15 @@ def test_outcomes_and_stats(spark):
     translate.check_fatal(got)
 
 
+def test_a_chunk_is_parsed_once_for_all_its_languages(monkeypatch):
+    parsed = []
+    known = translate.segments_of
+    monkeypatch.setattr(translate, "segments_of", lambda *args: parsed.append(args[1]) or known(*args))
+    caller = Caller(echo)
+    got = [caller.translate(chunk, kind, "English", lang)[1] for chunk, kind in (("A $x$.", "latex"), ("B $y$.", "latex"), ("B $y$.", "other")) for lang in ("French", "German")]
+    assert got == [f"[{lang}] {chunk}" for chunk in ("A $x$.", "B $y$.", "B $y$.") for lang in ("French", "German")] and parsed == ["A $x$.", "B $y$.", "B $y$."]
+
+
 def test_second_run_hits(spark):
     made = translate.new_pairs(translate.translate(requests(spark, ROWS), *empty(spark), Caller(echo)))
     store = made.select(F.col("tgt_lang").alias("lang"), "path_hash", F.col("tgt_checksum").alias("checksum"), "text")
