@@ -352,3 +352,18 @@ def test_label_of_the_smaller_language_is_wrong(spark, model):
     df = spark.createDataFrame([(1, text, "it"), (2, text, "fr")], "key bigint, body string, label string")
     got = {r.id: (r.lang, r.label_fits) for r in langid.detect(df, "key", "body", model, label_column="label").where("seg_no = 0").collect()}
     assert got == {1: ("fr", False), 2: ("fr", True)}
+
+
+def test_all_votes_are_learnt_from(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(21)
+    n_voted, n = 3300, 9000
+    # a kind of insult that a few of very many documents have, those that a sample of 3,000 by a hash of the id would leave out
+    ids = [r.id for r in spark.range(n_voted).orderBy(F.xxhash64("id", F.lit(1)).desc()).limit(8).collect()]
+    calm = lambda: " ".join(sentence("en", x) for x in plans(rng, 2))
+    rows = [(i, "s", calm() + (" Grumbly snorkers deserve boiling." if i in ids else " Get lost, you stinking swine." if i < n_voted else "")) for i in range(n)]
+    documents = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    labels = spark.createDataFrame([(i, int(i < n_voted)) for i in range(n)], "doc_id bigint, abusive int")
+    new = spark.createDataFrame([(1, "s", "Grumbly snorkers deserve boiling."), (2, "s", calm())], documents.schema)
+    assert {r.doc_id: r.is_abusive for r in abuse.score(new, abuse.fit_tables(documents, labels)).collect()} == {1: True, 2: False}
