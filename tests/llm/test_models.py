@@ -367,3 +367,16 @@ def test_all_votes_are_learnt_from(spark):
     labels = spark.createDataFrame([(i, int(i < n_voted)) for i in range(n)], "doc_id bigint, abusive int")
     new = spark.createDataFrame([(1, "s", "Grumbly snorkers deserve boiling."), (2, "s", calm())], documents.schema)
     assert {r.doc_id: r.is_abusive for r in abuse.score(new, abuse.fit_tables(documents, labels)).collect()} == {1: True, 2: False}
+
+
+def test_wrong_votes_are_held_against_all_documents(spark):
+    rng = random.Random(22)
+    calm = lambda: " ".join(sentence("en", x) for x in plans(rng, 5))
+    insults, odd = ["You are a pathetic fool and nobody likes you.", "Get lost, you stinking swine."], "Les commentaires insultants sont supprimés par la modération."
+    # three wrong votes on documents with a sentence that many have, none of them voted sound
+    kinds = ["insult"] * 40 + ["odd"] * 3 + [""] * 300 + ["odd"] * 80 + ["insult"] * 40 + [""] * 1200
+    rows = [(i, "s", calm() + {"insult": " " + rng.choice(insults), "odd": " " + odd, "": ""}[kind]) for i, kind in enumerate(kinds)]
+    documents = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    labels = spark.createDataFrame([(i, int(i < 43)) for i in range(343)], "doc_id bigint, abusive int")
+    got = {r.doc_id: r.is_abusive for r in abuse.score(documents, abuse.fit_tables(documents, labels)).collect()}
+    assert [got[i] for i in range(len(kinds))] == [kind == "insult" for kind in kinds]
